@@ -38,3 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="slopeworks-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder of the cluster, for tables a job writes and reads again."""
+    import uuid
+
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if root is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="slopeworks-shared-")
+    return f"{root.rstrip('/')}/slopeworks-{uuid.uuid4().hex}"
