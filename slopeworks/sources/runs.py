@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from slopeworks.operators.clean import concat_rows
 
 # Every place the result files of the different families keep a value.
-RESULT_SCHEMA = T.StructType.fromDDL("""
+RESULT_SCHEMA = """
     algorithm string, loss_function string, loss_type string, parameters map<string,string>,
     training_results struct<training_time:double, converged:boolean, final_iteration:int, final_epoch:int, total_iterations:int,
         final_loss:double, final_cost:double, final_gradient_norm:double, best_iteration:int, best_epoch:int, best_loss:double,
@@ -32,11 +31,12 @@ RESULT_SCHEMA = T.StructType.fromDDL("""
     final_loss double, final_gradient_norm double, function_evaluations bigint, weights array<double>,
     convergence struct<converged:boolean, iterations:int, final_loss:double, final_gradient_norm:double>,
     corrupt string
-""")
+"""
 
-HISTORY_SCHEMA = T.StructType.fromDDL(
-    "run_id string, iteration int, loss double, gradient_norm double, velocity_norm double, step_size double, "
-    "line_search_iterations int, condition_number double, learning_rate double")
+HISTORY_TYPES = {
+    "run_id": "string", "iteration": "int", "loss": "double", "gradient_norm": "double", "velocity_norm": "double",
+    "step_size": "double", "line_search_iterations": "int", "condition_number": "double", "learning_rate": "double",
+}
 
 # Other names of history columns in some families.
 HISTORY_NAMES = {"epoch": "iteration", "line_search_iter": "line_search_iterations"}
@@ -107,23 +107,22 @@ def read_histories(spark: SparkSession, pattern: str) -> DataFrame:
     """
     path = F.col("_metadata.file_path")
     lines = spark.read.text(pattern).select(F.col("value"), path.alias("path"))
-    names = [f.name for f in HISTORY_SCHEMA.fields] + list(HISTORY_NAMES)
+    names = [*HISTORY_TYPES, *HISTORY_NAMES]
     is_header = F.split("value", ",")[1] == "loss"
     headers: dict[str, list[str]] = {}
     for r in lines.filter(is_header).groupBy("value").agg(F.collect_set("path").alias("paths")).collect():
         headers[r["value"]] = r["paths"]
-    types = {f.name: f.dataType for f in HISTORY_SCHEMA}
     frames = []
     for header, files in sorted(headers.items()):
         columns = header.strip().split(",")
         unknown = [c for c in columns if c not in names]
-        schema = T.StructType([T.StructField(c, types.get(HISTORY_NAMES.get(c, c), T.StringType())) for c in columns])
+        schema = ", ".join(f"`{c}` {HISTORY_TYPES.get(HISTORY_NAMES.get(c, c), 'string')}" for c in columns)
         df = spark.read.schema(schema).option("header", True).csv(files)
         df = df.withColumns(_path_parts(path)).drop("family", "setup", *unknown)
         frames.append(df.withColumnsRenamed({k: v for k, v in HISTORY_NAMES.items() if k in columns}))
-    base = spark.createDataFrame([], HISTORY_SCHEMA)
+    base = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in HISTORY_TYPES.items()))
     out = concat_rows([base, *frames])
-    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY_SCHEMA])
+    return out.select(*[F.col(c).cast(t).alias(c) for c, t in HISTORY_TYPES.items()])
 
 
 def write_runs(runs: DataFrame, path: str, group_cols: Sequence[str] = (), mode: str = "append") -> None:

@@ -13,7 +13,7 @@ from slopeworks.operators.profile import string_columns
 
 
 # Column types of a raw listing table (preparation subset).
-LISTING_SCHEMA = T.StructType.fromDDL(
+LISTING_SCHEMA = (
     "price double, year int, make_name string, model_name string, body_type string, fuel_type string, engine_type string, "
     "transmission string, wheel_system string, exterior_color string, interior_color string, listing_color string, "
     "mileage double, horsepower double, engine_displacement double, city_fuel_economy double, highway_fuel_economy double, "
@@ -22,7 +22,7 @@ LISTING_SCHEMA = T.StructType.fromDDL(
     "is_new boolean, has_accidents boolean, frame_damaged boolean, fleet boolean")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, columns: Sequence[str] | None = None,
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: Sequence[str] | None = None,
                max_rows: int | None = None, order_by: Sequence[str] = (), fmt: str | None = None, normalise: bool = False) -> DataFrame:
     """CSV, JSON, ORC or Parquet with a column subset and an optional row cap.
 

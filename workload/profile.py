@@ -234,11 +234,11 @@ WITH t AS ({LABELLED_SQL}), x AS (SELECT n_chars::DOUBLE AS v FROM t WHERE n_cha
 q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x),
 o AS (SELECT count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * 100.0 / count(*) AS pct FROM x, q)
 SELECT type, priority, amount FROM (
-SELECT 'DROP_COLUMNS' AS type, 'HIGH' AS priority, ((SELECT count(*) - count(quality) > count(*) * 0.5 FROM t)::INT + (SELECT count(*) - count(toxic) > count(*) * 0.5 FROM t)::INT)::DOUBLE AS amount, amount > 0 AS on_ UNION ALL
-SELECT 'REMOVE_DUPLICATES', 'HIGH', ((SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)))::DOUBLE AS a, a > 0 UNION ALL
-SELECT 'HANDLE_OUTLIERS', 'MEDIUM', round((SELECT pct FROM o), 4)::DOUBLE AS a, a > 5 UNION ALL
-SELECT 'TRANSFORM_TARGET', 'MEDIUM', round((SELECT skewness(v) FROM x), 4)::DOUBLE AS a, a > 1 UNION ALL
-SELECT 'ENCODE_CATEGORICAL', 'HIGH', (((SELECT count(DISTINCT lang) FROM t) > 50)::INT + ((SELECT count(DISTINCT source) FROM t) > 50)::INT)::DOUBLE AS a, a > 0
-) WHERE on_""")
+SELECT 'DROP_COLUMNS' AS type, 'HIGH' AS priority, ((SELECT count(*) - count(quality) > count(*) * 0.5 FROM t)::INT + (SELECT count(*) - count(toxic) > count(*) * 0.5 FROM t)::INT)::DOUBLE AS amount, 0 AS least UNION ALL
+SELECT 'REMOVE_DUPLICATES', 'HIGH', ((SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)))::DOUBLE, 0 UNION ALL
+SELECT 'HANDLE_OUTLIERS', 'MEDIUM', round((SELECT pct FROM o), 4)::DOUBLE, 5 UNION ALL
+SELECT 'TRANSFORM_TARGET', 'MEDIUM', round((SELECT skewness(v) FROM x), 4)::DOUBLE, 1 UNION ALL
+SELECT 'ENCODE_CATEGORICAL', 'HIGH', (((SELECT count(DISTINCT lang) FROM t) > 50)::INT + ((SELECT count(DISTINCT source) FROM t) > 50)::INT)::DOUBLE, 0
+) WHERE amount > least""")
 def recommendations(spark, sf):
     return rounded(P.recommendations(labelled(spark, sf), "n_chars"), 4, "amount")

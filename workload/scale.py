@@ -1 +1,41 @@
-"""Empty for now."""
+"""Scalers and target transforms over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slopeworks.functions.vectors import standardise
+from slopeworks.operators.scale import fit_scaler, log_target, original_target
+from workload.registry import query, rounded, table
+
+COLUMNS = ["l_quantity", "l_extendedprice", "one"]
+# Shift and spread of each scaler; the third column is constant.
+_RULES = {
+    "standard": ("avg({c}) OVER ()", "stddev_pop({c}) OVER ()", "0"),
+    "sample": ("avg({c}) OVER ()", "stddev_samp({c}) OVER ()", "1"),
+    "minmax": ("min({c}) OVER ()", "max({c}) OVER () - min({c}) OVER ()", "1"),
+    "robust": ("median({c}) OVER ()", "quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER ()", "1"),
+}
+
+for _kind, (_shift, _spread, _one) in _RULES.items():
+    _cells = ", ".join(f"round(({c} - {_shift.format(c=c)}) / ({_spread.format(c=c)}), 6) + 0.0 AS {c}" for c in COLUMNS[:2])
+
+    @query(f"scale_{_kind}", f"SELECT l_orderkey, l_linenumber, {_cells}, {_one}::DOUBLE AS one FROM lineitem")
+    def scaled(spark, sf, kind=_kind):
+        df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.lit(1.0).alias("one"))
+        return rounded(fit_scaler(df, COLUMNS, kind).transform(df), 6, *COLUMNS)
+
+
+@query("scale_stored", """
+SELECT l_orderkey, l_linenumber, [round((l_quantity - 25) / 14, 6) + 0.0, round((l_tax - 0.5) / 1e-8, 2) + 0.0] AS features FROM lineitem""")
+def stored(spark, sf):
+    """Stored statistics; a zero deviation is replaced by the floor."""
+    x = standardise(F.array("l_quantity", "l_tax"), [25.0, 0.5], [14.0, 0.0])
+    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
+    return out.select("l_orderkey", "l_linenumber", F.array(F.round(F.col("x")[0], 6) + 0.0, F.round(F.col("x")[1], 2) + 0.0).alias("features"))
+
+
+@query("scale_log_target", "SELECT o_orderkey, round(ln(1 + o_totalprice), 8) AS label, round(o_totalprice, 4) AS target FROM orders")
+def log(spark, sf):
+    out = original_target(log_target(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"))
+    return rounded(rounded(out.drop("o_totalprice"), 8, "label"), 4, "target")
