@@ -43,10 +43,12 @@ def clean_listings(df: DataFrame, as_of: int, target: str = "price", year: str =
                    trim: float = 0.995) -> DataFrame:
     """Distinct rows, positive target below its upper quantile, plausible year and mileage.
 
-    The trim bound and the kept rows read the same de-duplicated exchange.
+    The trim bound and the kept rows read the same de-duplicated exchange. The row count of the input, an upper
+    bound of what is left, decides how the quantile is computed.
     """
-    out = drop_duplicate_rows(df)
-    out = below_quantile(positive(out, target), target, trim)
+    n_rows = df.count()
+    out = drop_duplicate_rows(positive(df, target))
+    out = below_quantile(out, target, trim, n_rows=n_rows)
     if year in df.columns:
         out = in_range(out, year, 1900, as_of + 1, closed_high=True)
     return in_range(out, mileage, 0, 500_000) if mileage in df.columns else out

@@ -67,6 +67,15 @@ class Quadratic:
         data = 0.5 * (w @ (self.h @ w) - 2 * (self.b @ w) + self.c)
         return float(data) + penalty_value(w[:-1], self.loss, self.lam, self.l1_ratio)
 
+    def change(self, w: np.ndarray, d: np.ndarray, step: float) -> float:
+        """value(w + step * d) - value(w), without cancelling two large numbers in the quadratic part."""
+        data = step * float((self.h @ w - self.b) @ d) + 0.5 * step * step * float(d @ (self.h @ d))
+        a, e = w[:-1], d[:-1]
+        if self.loss == "ridge":
+            return data + self.lam * (step * float(a @ e) + 0.5 * step * step * float(e @ e))
+        moved = penalty_value(a + step * e, self.loss, self.lam, self.l1_ratio)
+        return data + moved - penalty_value(a, self.loss, self.lam, self.l1_ratio)
+
     def gradient(self, w: np.ndarray) -> np.ndarray:
         g = self.h @ w - self.b
         g[:-1] += penalty_gradient(w[:-1], self.loss, self.lam, self.l1_ratio)

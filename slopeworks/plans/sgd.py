@@ -229,7 +229,7 @@ def _sequential_epoch(ordered: DataFrame, features, label, s: SgdSetup, lr, w, v
             a, m = _apply(a, m, _gradient(h, b, a, s), s, lr)
         return pd.DataFrame({"w": [a.tolist()], "v": [m.tolist()]})
 
-    row = ordered.groupBy(F.lit(0)).applyInPandas(run, "w array<double>, v array<double>").first()  # row count is checked
+    row = ordered.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "w array<double>, v array<double>").first()  # row count is checked
     return np.array(row["w"]), np.array(row["v"])
 
 

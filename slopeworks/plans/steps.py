@@ -41,9 +41,9 @@ def line_search(q: Quadratic, w, g, d, start: float, c1: float, rho: float, c2:
 
     When no trial meets both conditions, the first one that met Armijo is used.
     """
-    f0, slope, step, armijo = q.value(w), float(g @ d), start, None
+    slope, step, armijo = float(g @ d), start, None
     for trial in range(1, MAX_TRIALS + 1):
-        if q.value(w + step * d) <= f0 + c1 * step * slope:
+        if q.change(w, d, step) <= c1 * step * slope:
             armijo = step if armijo is None else armijo
             if c2 is None or abs(q.gradient(w + step * d) @ d) <= c2 * abs(slope):
                 return step, trial

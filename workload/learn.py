@@ -1 +1,260 @@
-"""Empty for now."""
+"""Trainers over whole tables (K), each against the same iteration in recursive SQL or the closed form."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slopeworks.operators.ranking import multiplicative_hash
+from slopeworks.plans import config as C
+from slopeworks.plans.passes import fit_by_passes
+from slopeworks.plans.sgd import SgdSetup, fit_sgd
+from slopeworks.plans.train import fit, history_of, library_baseline
+from workload.registry import query, rounded, table
+
+# One feature from the part number, log price as the label.
+_PARTS = "SELECT p_partkey, (p_partkey % 1000) / 500.0::DOUBLE - 1 AS x, ln(1 + p_retailprice) AS y FROM part"
+_SUMS = f"s AS (SELECT avg(x * x) AS a, avg(x) AS m, avg(x * y) AS c, avg(y) AS k, avg(y * y) AS q FROM ({_PARTS}))"
+
+
+def parts(spark, sf):
+    return table(spark, sf, "part").select(
+        "p_partkey", ((F.col("p_partkey") % 1000) / 500.0 - 1).alias("x"), F.log1p("p_retailprice").alias("y"))
+
+
+def _iteration_sql(update: str, steps: int, every: int, state: str = "", penalty: str = "0", slope: str = "0") -> str:
+    """History of (w, b) under a recursive update. `g1`, `g2` are the gradient parts; `state` lists further columns at 0."""
+    extra = [n for n in state.split() if n]
+    cols = "".join(f", {n}" for n in extra)
+    return f"""
+WITH RECURSIVE {_SUMS},
+r(t, w, b{cols}) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE{"".join(", 0.0::DOUBLE" for _ in extra)}
+  UNION ALL
+  SELECT t + 1, {update} FROM (SELECT r.*, s.*, a * w + m * b - c + {slope} AS g1, m * w + b - k AS g2 FROM r, s) WHERE t < {steps}),
+h AS (SELECT t, w, b, 0.5 * (a * w * w + 2 * m * w * b + b * b - 2 * (c * w + k * b) + q) + {penalty} AS loss, a * w + m * b - c + {slope} AS g1, m * w + b - k AS g2 FROM r, s)
+SELECT t::INTEGER AS iteration, round(loss, 7) + 0.0 AS loss, round(sqrt(g1 * g1 + g2 * g2), 7) AS gradient_norm, round(w, 7) + 0.0 AS w, round(b, 7) + 0.0 AS b
+FROM h WHERE t % {every} = 0 OR t = {steps}"""
+
+
+def _history(spark, sf, every=5, steps=40, **setup):
+    s = C.Setup(max_iter=steps, check_every=every, tolerance=0.0, keep_weights=True, **setup)
+    h = history_of(fit(parts(spark, sf), ["x"], "y", [s]))
+    out = h.select("iteration", "loss", "gradient_norm", F.col("weights")[0].alias("w"), F.col("weights")[1].alias("b"))
+    return rounded(out, 7, "loss", "gradient_norm", "w", "b")
+
+
+_RATES = {
+    "constant": "0.3", "inverse": "0.3 / (t + 1)", "inverse_sqrt": "0.3 / sqrt(t + 1)", "exponential": "0.3 * 0.95 ** t",
+    "linear": "0.3 * (1 - least(t / 40.0::DOUBLE, 0.99))", "staircase": "0.3 * 0.95 ** floor(t / 10)", "smooth_exponential": "0.3 * 0.95 ** (t / 10.0::DOUBLE)"}
+
+for _rule, _rate in _RATES.items():
+    @query(f"train_gd_{_rule}", _iteration_sql(f"w - {_rate} * g1, b - {_rate} * g2", 40, 5))
+    def gd(spark, sf, rule=_rule):
+        return _history(spark, sf, method="gd", step=rule, learning_rate=0.3, decay_steps=10.0)
+
+_PENALTIES = {"ridge": ("0.05 * w * w", "0.1 * w"), "lasso": ("0.1 * sqrt(w * w + 1e-8)", "0.1 * w / sqrt(w * w + 1e-8)"),
+              "elastic_net": ("0.1 * (0.5 * abs(w) + 0.25 * w * w)", "0.1 * (0.5 * sign(w) + 0.5 * w)")}
+for _loss, (_pen, _slope) in _PENALTIES.items():
+    @query(f"train_gd_{_loss}", _iteration_sql("w - 0.001 * g1, b - 0.001 * g2", 40, 5, penalty=_pen, slope=_slope))
+    def penalised(spark, sf, loss=_loss):
+        return _history(spark, sf, method="gd", loss=loss, regularization=0.1, learning_rate=0.001)
+
+# On a quadratic, a trial step s along -g meets Armijo when s * g'Hg <= 2 (1 - c1) g'g.
+_GHG = "(a * g1 * g1 + 2 * m * g1 * g2 + g2 * g2)"
+_GG = "(g1 * g1 + g2 * g2)"
+_ARMIJO = f"4.0::DOUBLE * 0.5 ** greatest(0, ceil(ln(1.98 * {_GG} / {_GHG} / 4) / ln(0.5::DOUBLE)))"
+# The strong curvature condition adds s * g'Hg <= 1.9 g'g; its lower bound 0.1 holds for the first halving that fits.
+_WOLFE = _ARMIJO.replace("1.98", "1.9")
+for _rule, _step in (("backtracking", _ARMIJO), ("wolfe", _WOLFE)):
+    @query(f"train_gd_{_rule}", _iteration_sql(f"w - {_step} * g1, b - {_step} * g2", 12, 3))
+    def searched(spark, sf, rule=_rule):
+        return _history(spark, sf, every=3, steps=12, method="gd", step=rule, learning_rate=4.0, c1=0.01, rho=0.5)
+
+
+@query("train_momentum", _iteration_sql(
+    "w - 0.05 * (0.9 * v1 + g1), b - 0.05 * (0.9 * v2 + g2), 0.9 * v1 + g1, 0.9 * v2 + g2", 40, 5, state="v1 v2"))
+def momentum(spark, sf):
+    return _history(spark, sf, method="momentum", learning_rate=0.05, momentum=0.9)
+
+
+_N1, _N2 = ("(a * (w - 0.045 * v1) + m * (b - 0.045 * v2) - c)", "(m * (w - 0.045 * v1) + (b - 0.045 * v2) - k)")
+_CUT = f"greatest(1.0, sqrt({_N1} * {_N1} + {_N2} * {_N2}) / 10)"
+
+
+@query("train_nesterov", _iteration_sql(
+    f"w - 0.05 * (0.9 * v1 + {_N1} / {_CUT}), b - 0.05 * (0.9 * v2 + {_N2} / {_CUT}), 0.9 * v1 + {_N1} / {_CUT}, 0.9 * v2 + {_N2} / {_CUT}", 40, 5, state="v1 v2"))
+def nesterov(spark, sf):
+    return _history(spark, sf, method="nesterov", learning_rate=0.05, momentum=0.9)
+
+
+_AW, _AB = ("(0.9 * m1 + 0.1 * g1) / (1 - 0.9::DOUBLE ** (t + 1)) / (sqrt((0.999 * u1 + 0.001 * g1 * g1) / (1 - 0.999::DOUBLE ** (t + 1))) + 1e-8)",
+            "(0.9 * m2 + 0.1 * g2) / (1 - 0.9::DOUBLE ** (t + 1)) / (sqrt((0.999 * u2 + 0.001 * g2 * g2) / (1 - 0.999::DOUBLE ** (t + 1))) + 1e-8)")
+
+
+@query("train_adam", _iteration_sql(
+    f"w - 0.2 * {_AW}, b - 0.2 * {_AB}, 0.9 * m1 + 0.1 * g1, 0.9 * m2 + 0.1 * g2, 0.999 * u1 + 0.001 * g1 * g1, 0.999 * u2 + 0.001 * g2 * g2",
+    40, 5, state="m1 m2 u1 u2"))
+def adam(spark, sf):
+    return _history(spark, sf, method="adam", learning_rate=0.2)
+
+
+_SUB = {"constant_step": "0.02", "constant_length": f"0.04 / sqrt({_GG})", "square_summable": "1.0::DOUBLE / (t + 1)", "diminishing": "1.0::DOUBLE / sqrt(t + 1)"}
+for _rule, _step in _SUB.items():
+    @query(f"train_subgradient_{_rule}", _iteration_sql(
+        f"w - {_step} * g1, b - {_step} * g2", 40, 5, penalty="0.01 * abs(w)", slope="0.01 * sign(w)"))
+    def subgradient(spark, sf, rule=_rule):
+        return _history(spark, sf, method="subgradient", loss="l1", regularization=0.01, step=rule)
+
+
+_BEST = "regr_slope(y, x) AS w, regr_intercept(y, x) AS b"
+_CLOSED = {
+    "ols": f"SELECT {_BEST} FROM ({_PARTS})",
+    "ridge": f"SELECT w, k - w * m AS b FROM (SELECT (c - m * k) / (a - m * m + 0.1) AS w, k, m FROM s)",
+    "l1": f"SELECT w, k - w * m AS b FROM (SELECT sign(c - m * k) * greatest(abs(c - m * k) - 0.01, 0) / (a - m * m) AS w, k, m FROM s)",
+}
+
+
+def _closed_sql(loss: str, converged: str = "true") -> str:
+    return f"WITH {_SUMS} SELECT round(w, 5) + 0.0 AS w, round(b, 5) + 0.0 AS b, {converged} AS converged FROM ({_CLOSED[loss]})"
+
+
+def _final(spark, sf, **setup):
+    s = C.Setup(**{"check_every": 1, "max_iter": 500, "tolerance": 1e-9, **setup})
+    runs = fit(parts(spark, sf), ["x"], "y", [s])
+    return rounded(runs.select(F.col("weights")[0].alias("w"), F.col("weights")[1].alias("b"), "converged"), 5, "w", "b")
+
+
+_CONVERGENT = {
+    "newton": {"method": "newton"}, "newton_ridge": {"method": "newton", "loss": "ridge", "regularization": 0.1},
+    "damped_newton": {"method": "damped_newton", "learning_rate": 0.5}, "damped_newton_search": {"method": "damped_newton", "step": "backtracking", "learning_rate": 1.0},
+    "bfgs": {"method": "bfgs"}, "bfgs_ridge": {"method": "bfgs", "loss": "ridge", "regularization": 0.1}, "lbfgs": {"method": "lbfgs", "memory": 5},
+    "lbfgs_ridge": {"method": "lbfgs", "loss": "ridge", "regularization": 0.1}, "sr1": {"method": "sr1"}, "conjugate_gradient": {"method": "cg"},
+    "newton_cg": {"method": "newton_cg"}, "newton_cg_ridge": {"method": "newton_cg", "loss": "ridge", "regularization": 0.1},
+    "proximal_l1": {"method": "prox", "learning_rate": 0.5, "regularization": 0.01},
+}
+for _name, _setup in _CONVERGENT.items():
+    @query(f"train_{_name}", _closed_sql("l1" if _setup["method"] == "prox" else _setup.get("loss", "ols")))
+    def convergent(spark, sf, setup=_setup):
+        return _final(spark, sf, **setup)
+
+
+@query("train_by_group", """
+SELECT l_suppkey, setup, round(regr_slope(y, x), 5) + 0.0 AS w, round(regr_intercept(y, x), 5) + 0.0 AS b, true AS converged
+FROM (SELECT l_suppkey, l_quantity / 25.0::DOUBLE - 1 AS x, ln(1 + l_extendedprice) AS y FROM lineitem), (VALUES ('newton'), ('lbfgs'), ('momentum')) AS v(setup)
+GROUP BY 1, 2""")
+def by_group(spark, sf):
+    """One model per supplier and setup, all trained in parallel from one statistics pass."""
+    df = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") / 25.0 - 1).alias("x"), F.log1p("l_extendedprice").alias("y"))
+    setups = [C.Setup(setup="newton", method="newton", check_every=1, tolerance=1e-9), C.Setup(setup="lbfgs", method="lbfgs", check_every=1, tolerance=1e-9),
+              C.Setup(setup="momentum", method="momentum", learning_rate=0.1, check_every=10, tolerance=1e-9)]
+    runs = fit(df, ["x"], "y", setups, ["l_suppkey"])
+    return rounded(runs.select("l_suppkey", "setup", F.col("weights")[0].alias("w"), F.col("weights")[1].alias("b"), "converged"), 5, "w", "b")
+
+
+@query("train_diverging", """SELECT count(*) > 0 AS stopped, false AS converged, true AS overflow FROM part""")
+def diverging(spark, sf):
+    """A hopeless learning rate must end as a stopped, unconverged run, not as an error."""
+    runs = fit(parts(spark, sf), ["x"], "y", [C.Setup(method="gd", learning_rate=1e10, check_every=1, tolerance=1e-9)])
+    return runs.select("stopped", "converged", F.col("reason").startswith("Inf").alias("overflow"))
+
+
+_H = "((p_partkey + 42) % 2147483648 * 2654435761) % 4294967296"
+
+
+def _sgd_sql(lr: str, momentum: float, epochs: int, lam: float = 0.0) -> str:
+    return f"""
+WITH RECURSIVE z AS (SELECT x, y, floor((row_number() OVER (ORDER BY {_H}, p_partkey) - 1) / 64)::BIGINT AS k FROM ({_PARTS})),
+bt AS MATERIALIZED (SELECT k, avg(x * x) AS a, avg(x) AS m, avg(x * y) AS c, avg(y) AS d FROM z GROUP BY k),
+nb AS (SELECT count(*) AS n FROM bt),
+r(t, w, b, v1, v2) AS (
+  SELECT 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT t + 1, w - {lr} * ({momentum} * v1 + g1), b - {lr} * ({momentum} * v2 + g2), {momentum} * v1 + g1, {momentum} * v2 + g2
+  FROM (SELECT r.*, floor(t / n)::BIGINT AS e, a * w + m * b - c + {lam} * w AS g1, m * w + b - d AS g2 FROM r, nb, bt WHERE bt.k = r.t % nb.n AND r.t < nb.n * {epochs}))
+SELECT e::INTEGER AS epoch, round(w, 7) + 0.0 AS w, round(b, 7) + 0.0 AS b FROM (SELECT t / n AS e, w, b FROM r, nb WHERE t = nb.n * {epochs})"""
+
+
+def _sgd(spark, sf, **setup):
+    s = SgdSetup(batch_size=64, order="once", tolerance=0.0, **setup)
+    model, _ = fit_sgd(parts(spark, sf), ["x"], "y", "p_partkey", s, mode="exact", hashed=multiplicative_hash("p_partkey", 42), chunk_rows=256)
+    out = model.select(F.col("final_epoch").alias("epoch"), F.col("last_weights")[0].alias("w"), F.col("last_weights")[1].alias("b"))
+    return rounded(out, 7, "w", "b")
+
+
+@query("train_sgd_constant", _sgd_sql("0.05", 0.0, 3))
+def sgd_constant(spark, sf):
+    """Three epochs by composed maps equal the batch-by-batch recursion."""
+    return _sgd(spark, sf, learning_rate=0.05, epochs=3)
+
+
+@query("train_sgd_momentum_ridge", _sgd_sql("0.02", 0.5, 2, 0.1))
+def sgd_momentum(spark, sf):
+    return _sgd(spark, sf, learning_rate=0.02, momentum=0.5, epochs=2, loss="ridge", regularization=0.1)
+
+
+_SGD_RATES = {"linear": "0.05 * greatest(1 - e / 3.0::DOUBLE, 0.01)", "exponential": "0.05 * 0.95 ** (e / 10.0::DOUBLE)", "sqrt": "0.05 / sqrt(e + 1)",
+              "step_down": "0.05 * 0.9 ** floor(e / 10)"}
+for _rule, _rate in _SGD_RATES.items():
+    @query(f"train_sgd_{_rule}", _sgd_sql(_rate, 0.0, 3))
+    def sgd_schedule(spark, sf, rule=_rule):
+        return _sgd(spark, sf, learning_rate=0.05, epochs=3, schedule=rule)
+
+
+def _sgd_model(spark, sf, mode, **setup):
+    s = SgdSetup(batch_size=64, learning_rate=0.05, epochs=3, **setup)
+    model, _ = fit_sgd(parts(spark, sf), ["x"], "y", "p_partkey", s, mode=mode)
+    return model.select("setup", "mode", "final_epoch", "final_loss", "weights")
+
+
+@query("train_sgd_reshuffled")
+def sgd_reshuffled(spark, sf):
+    return _sgd_model(spark, sf, "exact", order="each_epoch")
+
+
+@query("train_sgd_bootstrap")
+def sgd_bootstrap(spark, sf):
+    return _sgd_model(spark, sf, "exact", order="bootstrap")
+
+
+@query("train_sgd_fixed_length")
+def sgd_fixed_length(spark, sf):
+    return _sgd_model(spark, sf, "sequential", order="once", step_length=0.01)
+
+
+@query("train_sgd_averaged")
+def sgd_averaged(spark, sf):
+    return _sgd_model(spark, sf, "averaged", loss="l1", regularization=0.001)
+
+
+@query("train_huber_by_passes")
+def huber(spark, sf):
+    model, _ = fit_by_passes(parts(spark, sf), ["x"], "y", loss="huber", delta=0.01, max_iter=20)
+    return model
+
+
+@query("train_ols_by_passes", f"WITH {_SUMS} SELECT round(w, 4) + 0.0 AS w, round(b, 4) + 0.0 AS b FROM ({_CLOSED['ols']})")
+def ols_by_passes(spark, sf):
+    model, _ = fit_by_passes(parts(spark, sf), ["x"], "y", loss="ols", max_iter=30, tolerance=1e-8)
+    return rounded(model.select(F.col("weights")[0].alias("w"), F.col("weights")[1].alias("b")), 4, "w", "b")
+
+
+@query("train_library_baseline", f"""
+SELECT 'x' AS feature, round(regr_slope(y, x), 6) + 0.0 AS weight FROM ({_PARTS}) UNION ALL SELECT 'bias', round(regr_intercept(y, x), 6) FROM ({_PARTS})""")
+def baseline(spark, sf):
+    return rounded(library_baseline(parts(spark, sf), ["x"], "y"), 6, "weight")
+
+
+@query("train_grid_sweep", f"""
+WITH {_SUMS}, g AS (SELECT lr, lam FROM (VALUES (0.1::DOUBLE), (0.3)) AS a(lr), (VALUES (0.1::DOUBLE), (0.2), (0.4)) AS b(lam))
+SELECT lr AS learning_rate, lam AS regularization, true AS converged, round((c - m * k) / (a - m * m + lam), 5) + 0.0 AS w FROM g, s""")
+def grid_sweep(spark, sf):
+    """Six ridge setups as rows of one sweep."""
+    setups = C.grid(spark, learning_rate=[0.1, 0.3], regularization=[0.1, 0.2, 0.4], method=["gd"], loss=["ridge"], tolerance=[1e-9])
+    runs = fit(parts(spark, sf), ["x"], "y", setups)
+    return rounded(runs.select("learning_rate", "regularization", "converged", F.col("weights")[0].alias("w")), 5, "w")
+
+
+@query("train_random_sweep")
+def random_sweep(spark, sf):
+    setups = C.random_search(spark, 20, fixed={"method": "momentum", "loss": "ridge"}, learning_rate=(0.01, 0.1), regularization=(0.001, 1.0))
+    return fit(parts(spark, sf), ["x"], "y", setups).select("setup", "learning_rate", "regularization", "converged", "final_iteration", "best_loss")

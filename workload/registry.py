@@ -41,8 +41,8 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_extendedprice AS price, CAST(year(l.l_s
   CASE WHEN p.p_partkey % 25 = 3 THEN NULL ELSE ' ' || upper(p.p_brand) || '  Motors ' END AS make_name, p.p_type AS model_name,
   CASE l.l_returnflag WHEN 'A' THEN 'Electric' WHEN 'R' THEN 'Plug-in Hybrid' ELSE 'Gasoline' END AS fuel_type,
   CASE WHEN l.l_orderkey % 9 = 0 THEN NULL ELSE l.l_quantity * 11000 END AS mileage,
-  CASE WHEN l.l_partkey % 30 = 0 THEN NULL ELSE p.p_size * 9.5 END AS horsepower,
-  CASE WHEN l.l_suppkey % 4 = 0 THEN NULL ELSE l.l_quantity END AS city_fuel_economy, l.l_quantity * 1.25 + 2 AS highway_fuel_economy,
+  CASE WHEN l.l_partkey % 30 = 0 THEN NULL ELSE p.p_size * 9.5::DOUBLE END AS horsepower,
+  CASE WHEN l.l_suppkey % 4 = 0 THEN NULL ELSE l.l_quantity END AS city_fuel_economy, l.l_quantity * 1.25::DOUBLE + 2 AS highway_fuel_economy,
   CAST(round(l.l_tax * 1000) AS INTEGER) AS daysonmarket,
   CAST(p.p_size + 150 AS VARCHAR) || '.5 in' AS length, CAST(p.p_size + 60 AS VARCHAR) || ' in' AS width,
   CASE WHEN p.p_size = 7 THEN '--' ELSE CAST(p.p_size + 50 AS VARCHAR) || ' in' END AS height,
