@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from slopeworks.functions import constants as K
 from slopeworks.functions.numeric import is_finite, ordered_code
 from slopeworks.operators.profile import null_rates, numeric_columns
-from slopeworks.operators.quantiles import quantile_columns
+from slopeworks.operators.quantiles import quantile_values
 
 
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def positive(df: DataFrame, column: str) -> DataFrame:
 
 
 def below_quantile(df: DataFrame, column: str, p: float = 0.995, **quantile_options) -> DataFrame:
-    """Rows strictly below the exact quantile of the rows given (B3). The bound is one scalar subquery."""
-    bound = quantile_columns(df.select(column), {"bound": (column, p)}, **quantile_options)
-    return df.filter(F.col(column) < bound.scalar())
+    """Rows strictly below the exact quantile of the rows given (B3); the bound is a constant that reaches the scan."""
+    bound = quantile_values(df, {"bound": (column, p)}, **quantile_options)["bound"]
+    return df.filter(F.col(column) < F.lit(bound).cast("double"))
 
 
 def in_range(df: DataFrame, column: str, low=None, high=None, closed_high: bool = False) -> DataFrame:
@@ -43,12 +43,11 @@ def clean_listings(df: DataFrame, as_of: int, target: str = "price", year: str =
                    trim: float = 0.995) -> DataFrame:
     """Distinct rows, positive target below its upper quantile, plausible year and mileage.
 
-    The trim bound and the kept rows read the same de-duplicated exchange. The row count of the input, an upper
-    bound of what is left, decides how the quantile is computed.
+    The row filters run before duplicates are removed, which changes nothing but the size of the shuffle; only the
+    trim bound needs the target of all distinct rows, kept as one narrow column while it is computed.
     """
-    n_rows = df.count()
     out = drop_duplicate_rows(positive(df, target))
-    out = below_quantile(out, target, trim, n_rows=n_rows)
+    out = below_quantile(out, target, trim, reuse=True)
     if year in df.columns:
         out = in_range(out, year, 1900, as_of + 1, closed_high=True)
     return in_range(out, mileage, 0, 500_000) if mileage in df.columns else out

@@ -11,22 +11,21 @@ from pyspark.sql import types as T
 
 from slopeworks.operators.joins import lookup_join
 from slopeworks.operators.profile import categorical_summary, null_rates
-from slopeworks.operators.quantiles import quantile_columns
+from slopeworks.operators.quantiles import quantile_columns, quantile_values
 
 
-def group_median_table(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str], n_rows: int | None = None,
-                       **quantile_options) -> DataFrame:
+def group_median_table(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str], **quantile_options) -> DataFrame:
     """Rows (group..., m__column..., n_group) with exact medians of the known values."""
     known = df.filter(F.concat(*[F.lit("")] + [F.col(g).cast("string") for g in group_cols]).isNotNull())
-    medians = quantile_columns(known, {f"m__{c}": (c, 0.5) for c in columns}, group_cols, n_rows, **quantile_options)
+    medians = quantile_columns(known, {f"m__{c}": (c, 0.5) for c in columns}, group_cols, **quantile_options)
     sizes = known.groupBy(*group_cols).agg(F.count("*").alias("n_group"))
     return sizes.join(medians, list(group_cols), "left")
 
 
-def fill_group_median(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str], n_rows: int | None = None,
+def fill_group_median(df: DataFrame, columns: Sequence[str], group_cols: Sequence[str],
                       fallback: dict[str, float] | None = None, **quantile_options) -> DataFrame:
     """Known value, else the median of its group, else the fallback."""
-    table = group_median_table(df, columns, group_cols, n_rows, **quantile_options)
+    table = group_median_table(df, columns, group_cols, **quantile_options)
     joined = lookup_join(df, table, group_cols, "left", weight="n_group")
     fallback = fallback or {}
     fills = {c: F.coalesce(F.col(c).cast("double"), F.col(f"m__{c}"), F.lit(fallback.get(c)).cast("double")) for c in columns}
@@ -72,13 +71,13 @@ def fit_smart(df: DataFrame, group_cols: Sequence[str] = ("make_name", "model_na
     kept_groups = [g for g in group_cols if g in df.columns and g not in plan.dropped]
     by_group = [c for c in numeric if 0.05 <= share[c] < 0.2] if len(kept_groups) == len(group_cols) and group_cols else []
     if numeric:
-        medians = quantile_columns(df, {c: (c, 0.5) for c in numeric}, n_rows=n, **quantile_options).first().asDict()
+        medians = quantile_values(df, {c: (c, 0.5) for c in numeric}, **quantile_options)
         plan.flagged = [c for c in numeric if share[c] >= 0.2]
         plan.grouped = {c: medians[c] for c in by_group}
         plan.fills.update({c: medians[c] for c in numeric if c not in by_group})
     if by_group:
         plan.group_cols = tuple(kept_groups)
-        plan.group_table = group_median_table(df, by_group, kept_groups, n, **quantile_options)
+        plan.group_table = group_median_table(df, by_group, kept_groups, **quantile_options)
     modal = [c for c in strings if share[c] < 0.1]
     tops = {r["column"]: r["top_value"] for r in categorical_summary(df, modal).collect()} if modal else {}
     plan.fills.update({c: tops.get(c) or "unknown" for c in strings})
@@ -106,7 +105,7 @@ def impute(df: DataFrame, strategy: str = "auto", columns: Sequence[str] | None
     if numeric and strategy == "mean":
         fills.update(df.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict())
     elif numeric and strategy in ("auto", "median"):
-        fills.update(quantile_columns(df, {c: (c, 0.5) for c in numeric}, n_rows=n, **quantile_options).first().asDict())
+        fills.update(quantile_values(df, {c: (c, 0.5) for c in numeric}, **quantile_options))
     modal = (numeric if strategy == "mode" else []) + (strings if strategy in ("auto", "mode") else [])
     if modal:
         # Ties among numbers go to the smallest number, so numbers are compared as numbers.

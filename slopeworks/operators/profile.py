@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopeworks.functions.numeric import normal_quantiles, percent, right_closed_bin, sample_kurtosis, sample_skewness
-from slopeworks.operators.quantiles import exact_quantiles, quantile_columns
+from slopeworks.operators.quantiles import exact_quantiles, quantile_values
 
 CORR_IN_ONE_AGGREGATE = 16  # columns; more go through the block statistic in `gram`
 
@@ -92,12 +92,12 @@ def missing_tiers(df: DataFrame) -> DataFrame:
     return missing_report(df).groupBy("tier").agg(F.count("*").alias("n_columns"))
 
 
-def target_statistics(df: DataFrame, target: str, n_rows: int | None = None, **quantile_options) -> DataFrame:
+def target_statistics(df: DataFrame, target: str, **quantile_options) -> DataFrame:
     """Moments, quartiles and IQR outliers of a positive target."""
     kept = df.filter(F.col(target) > 0).select(F.col(target).cast("double").alias(target))
     wanted = {"q1": (target, 0.25), "median": (target, 0.5), "q3": (target, 0.75)}
-    q = quantile_columns(kept, wanted, n_rows=n_rows, **quantile_options).first()
-    if q is None:
+    q = quantile_values(kept, wanted, **quantile_options)
+    if q["median"] is None:
         raise ValueError(f"no positive values in {target}")
     iqr = q["q3"] - q["q1"]
     c = F.col(target)
@@ -141,8 +141,7 @@ def normal_qq(df: DataFrame, column: str, points: int = 20, **quantile_options)
     return q.select("p", theory[F.col("p")].alias("theoretical"), F.col("value").alias("sample"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, n_rows: int | None = None,
-                    **quantile_options) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, **quantile_options) -> DataFrame:
     """Describe plus missing, zero and distinct counts per numeric column."""
     columns = list(columns or numeric_columns(df))
     x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -159,7 +158,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, n_rows:
     # Values are counted in long form: one row per (column, value) after the partial step.
     distinct = (x.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull()).groupBy("column", "value")
                 .agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("distinct_count")))
-    quart = exact_quantiles(x, columns, [0.25, 0.5, 0.75], n_rows=n_rows, **quantile_options).groupBy("column").agg(*[
+    quart = exact_quantiles(x, columns, [0.25, 0.5, 0.75], **quantile_options).groupBy("column").agg(*[
         F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
     # Both sides have one row per column of the table.
     return (basics.join(F.broadcast(quart), "column", "left").join(F.broadcast(distinct), "column", "left")
@@ -268,7 +267,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
     return both.select(F.explode(rules).alias("issue"), "column")
 
 
-def recommendations(df: DataFrame, target: str, n_rows: int | None = None) -> DataFrame:
+def recommendations(df: DataFrame, target: str) -> DataFrame:
     """Preparation advice with a priority, from the reports above."""
     spark = df.sparkSession
     advice = F.struct
@@ -281,7 +280,7 @@ def recommendations(df: DataFrame, target: str, n_rows: int | None = None) -> Da
     dup = overview(df).select(row("REMOVE_DUPLICATES", "HIGH", F.col("duplicate_rows")).alias("r"), (F.col("duplicate_rows") > 0).alias("on"))
     card = categorical_summary(df).agg(F.count_if(F.col("distinct_count") > 50).alias("amount")).select(
         row("ENCODE_CATEGORICAL", "HIGH", F.col("amount")).alias("r"), (F.col("amount") > 0).alias("on"))
-    stats = target_statistics(df, target, n_rows=n_rows)
+    stats = target_statistics(df, target)
     out = stats.select(row("HANDLE_OUTLIERS", "MEDIUM", F.col("outliers_pct")).alias("r"), (F.col("outliers_pct") > 5).alias("on"))
     skew = stats.select(row("TRANSFORM_TARGET", "MEDIUM", F.col("skewness")).alias("r"), (F.col("skewness") > 1).alias("on"))
     parts = [over, dup, out, skew] + ([card] if string_columns(df) else [])

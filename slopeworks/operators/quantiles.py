@@ -1,40 +1,124 @@
-"""Exact quantiles with linear interpolation, global or per group.
+"""Exact quantiles with linear interpolation, global or per group. Nulls and NaN are ignored.
 
-Spark's `percentile` keeps a map of all distinct values of a group in one task. That is the plan for tables
-within `one_pass_rows`. Beyond it the same numbers come from counting: values fall into order-preserving
-buckets (logarithmic, then linear inside a bucket), only the buckets that hold a wanted rank are opened, and
-inside them equal values are counted together. No task then holds a whole group, however hot the group is.
+Spark's `percentile` keeps a map of all distinct values of a group in one task, which neither a whole column nor a
+hot group fits at scale.
+
+Global: an approximate quantile brackets the wanted rank, one pass counts the rows below and inside the bracket,
+and the rows inside are few enough for `percentile`. Wide brackets are narrowed again first. The counts prove that
+the rank is inside, so the result is exact whatever the approximation did.
+
+Per group: `percentile` for groups within `one_pass_rows`. Larger groups are counted: values fall into
+order-preserving buckets (logarithmic, then linear inside a bucket), only the buckets that hold a wanted rank are
+opened, and inside them equal values are counted together, so that no task holds a whole group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeworks.operators.joins import lookup_join
 
-ONE_PASS_ROWS = 5_000_000
+ONE_PASS_ROWS = 2_000_000
+ACCURACY = 10_000
 PER_OCTAVE = 256  # logarithmic buckets per doubling of |value|
 SUB_BUCKETS = 4096
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_rows: int | None = None,
-                    one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
-    """Rows (group..., column, p, value); nulls are ignored, a column without values has no row."""
-    n_rows = df.count() if n_rows is None else n_rows
-    if n_rows <= one_pass_rows:
-        return _one_pass(df, list(columns), list(probs), list(group_cols))
-    return _counted(df, list(columns), list(probs), list(group_cols))
+def _value(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], group_cols: Sequence[str] = (),
+                    one_pass_rows: int = ONE_PASS_ROWS, reuse: bool = False, accuracy: int = ACCURACY) -> DataFrame:
+    """Rows (group..., column, p, value); a column without values has no row.
+
+    Global quantiles run a few small jobs here. With `reuse` the needed columns are kept meanwhile: for frames that
+    are more than a scan.
+    """
+    columns, probs, groups = list(columns), sorted({float(p) for p in probs}), list(group_cols)
+    if not groups:
+        return _bracketed(df, columns, probs, max(one_pass_rows, accuracy), reuse, accuracy)
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("__n"))
+    hot = sizes.filter(F.col("__n") > one_pass_rows).drop("__n")
+    if hot.isEmpty():
+        return _one_pass(df, columns, probs, groups)
+    same = reduce(lambda a, b: a & b, [F.col(f"d.{g}").eqNullSafe(F.col(f"h.{g}")) for g in groups])
+    pair = (df.alias("d"), hot.alias("h"), same)
+    return _one_pass(pair[0].join(*pair[1:], "left_anti"), columns, probs, groups).unionByName(
+        _counted(pair[0].join(*pair[1:], "left_semi"), columns, probs, groups))
+
+
+def _bracketed(df: DataFrame, columns: list[str], probs: list[float], few_rows: int, reuse: bool, accuracy: int) -> DataFrame:
+    x = df.select(*[_value(c).alias(c) for c in columns])
+    x = x.persist(StorageLevel.MEMORY_AND_DISK) if reuse else x
+    step = 2.0 / accuracy
+
+    def around(p: float) -> list[float]:
+        return [max(0.0, p - step), min(1.0, p + step)]
+
+    def approx(values: Column, ps: list[float]) -> Column:
+        return F.percentile_approx(values, F.array(*[F.lit(q) for q in ps]), accuracy)
+
+    try:
+        first = x.agg(*[a for c in columns for a in (
+            F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
+            approx(F.col(c), [q for p in probs for q in around(p)]).alias(f"a_{c}"))]).first()
+        targets = []
+        for c in columns:
+            n = first[f"n_{c}"]
+            for i, p in enumerate(probs if n else []):
+                lo, hi = first[f"a_{c}"][2 * i], first[f"a_{c}"][2 * i + 1]
+                lo = first[f"lo_{c}"] if around(p)[0] == 0.0 else lo
+                hi = first[f"hi_{c}"] if around(p)[1] == 1.0 else hi
+                targets.append({"c": c, "p": p, "n": n, "pos": p * (n - 1), "lo": lo, "hi": hi,
+                                "all": (first[f"lo_{c}"], first[f"hi_{c}"])})
+        open_targets = list(targets)
+        while open_targets:
+            counts = x.agg(*[a for i, t in enumerate(open_targets) for a in (
+                F.count_if(F.col(t["c"]) < t["lo"]).alias(f"b{i}"), F.count_if(F.col(t["c"]).between(t["lo"], t["hi"])).alias(f"i{i}"),
+                F.count_if((F.col(t["c"]) > t["lo"]) & (F.col(t["c"]) < t["hi"])).alias(f"m{i}"))]).first()
+            wide, missed = [], []
+            for i, t in enumerate(open_targets):
+                t["below"], t["inside"] = counts[f"b{i}"], counts[f"i{i}"]
+                if not (t["below"] <= math.floor(t["pos"]) and math.ceil(t["pos"]) < t["below"] + t["inside"]):
+                    t["lo"], t["hi"] = t["all"]
+                    t["misses"] = t.get("misses", 0) + 1
+                    missed.append(t)
+                elif counts[f"m{i}"] > few_rows and t.get("misses", 0) < 2 and t.get("tried") != (t["lo"], t["hi"]):
+                    # Copies of the end values count once in the map of `percentile`, so only the rows between matter.
+                    t["tried"] = (t["lo"], t["hi"])
+                    wide.append(t)
+            if wide:
+                inner = [max(0.0, min(1.0, (t["pos"] - t["below"]) / max(t["inside"] - 1, 1))) for t in wide]
+                narrowed = x.agg(*[approx(F.when(F.col(t["c"]).between(t["lo"], t["hi"]), F.col(t["c"])), around(q)).alias(f"a{i}")
+                                   for i, (t, q) in enumerate(zip(wide, inner))]).first()
+                for i, (t, q) in enumerate(zip(wide, inner)):
+                    t["lo"] = narrowed[f"a{i}"][0] if around(q)[0] > 0.0 else t["lo"]
+                    t["hi"] = narrowed[f"a{i}"][1] if around(q)[1] < 1.0 else t["hi"]
+            open_targets = wide + missed
+        found = []
+        if targets:
+            row = x.agg(*[F.percentile(F.when(F.col(t["c"]).between(t["lo"], t["hi"]), F.col(t["c"])),
+                                       F.lit(min(1.0, (t["pos"] - t["below"]) / max(t["inside"] - 1, 1)))).alias(f"v{i}")
+                          for i, t in enumerate(targets)]).first()
+            found = [(t["c"], t["p"], row[f"v{i}"]) for i, t in enumerate(targets)]
+    finally:
+        if reuse:
+            x.unpersist()
+    return df.sparkSession.createDataFrame(found, "column string, p double, value double")
 
 
 def _one_pass(df, columns, probs, groups):
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.groupBy(*groups).agg(*[F.percentile(F.col(c).cast("double"), wanted).alias(c) for c in columns])
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("p"), F.col(c)[i].alias("value"))
+    wanted = F.array(*[F.lit(p) for p in probs])
+    wide = df.groupBy(*groups).agg(*[F.percentile(_value(c), wanted).alias(c) for c in columns])
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(c)[i].alias("value"))
              for c in columns for i, p in enumerate(probs)]
     long = wide.select(*groups, F.explode(F.array(*cells)).alias("cell"))
     return long.select(*groups, "cell.*").filter(F.col("value").isNotNull())
@@ -56,7 +140,7 @@ def _opened(ranked: DataFrame, targets) -> DataFrame:
 
 def _counted(df, columns, probs, groups):
     keys = [*groups, "column"]
-    long = df.select(*groups, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+    long = df.select(*groups, *[_value(c).alias(c) for c in columns]).unpivot(
         groups, columns, "column", "value").filter(F.col("value").isNotNull())
     # A null group key is a group of its own here, so joins below use a null-safe stand-in.
     safe = {g: F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")) for g in groups}
@@ -65,8 +149,7 @@ def _counted(df, columns, probs, groups):
 
     v = F.col("value")
     logarithmic = (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * PER_OCTAVE)).cast("long")
-    extreme = F.when(F.isnan(v), F.lit(2**40)).when(v == float("inf"), F.lit(2**39)).when(
-        v == float("-inf"), F.lit(-(2**39)))
+    extreme = F.when(v == float("inf"), F.lit(2**39)).when(v == float("-inf"), F.lit(-(2**39)))
     long = long.withColumn("bucket", F.coalesce(extreme, logarithmic))
 
     carried = [F.first(g).alias(g) for g in groups]
@@ -104,16 +187,23 @@ def _counted(df, columns, probs, groups):
 
 
 def quantile_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], group_cols: Sequence[str] = (),
-                     n_rows: int | None = None, one_pass_rows: int = ONE_PASS_ROWS) -> DataFrame:
+                     **quantile_options) -> DataFrame:
     """Wide form: one row per group, `wanted` maps an output name to (column, probability)."""
     columns = sorted({c for c, _ in wanted.values()})
-    probs = sorted({p for _, p in wanted.values()})
-    long = exact_quantiles(df, columns, probs, group_cols, n_rows, one_pass_rows)
+    long = exact_quantiles(df, columns, [p for _, p in wanted.values()], group_cols, **quantile_options)
     picks = [F.max(F.when((F.col("column") == c) & (F.col("p") == float(p)), F.col("value"))).alias(name)
              for name, (c, p) in wanted.items()]
     return long.groupBy(*group_cols).agg(*picks)
 
 
+def quantile_values(df: DataFrame, wanted: dict[str, tuple[str, float]], **quantile_options) -> dict[str, float]:
+    """Global quantiles as plain numbers; a column without values gives None."""
+    columns = sorted({c for c, _ in wanted.values()})
+    rows = exact_quantiles(df, columns, [p for _, p in wanted.values()], **quantile_options).collect()  # one row per wanted value
+    found = {(r["column"], r["p"]): r["value"] for r in rows}
+    return {name: found.get((c, float(p))) for name, (c, p) in wanted.items()}
+
+
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                           group_cols: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
     """Long form from `percentile_approx`, for callers that accept a rank error of 1/accuracy."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.operators.quantiles import quantile_columns
+from slopeworks.operators.quantiles import quantile_values
 
 
 @dataclass
@@ -33,7 +33,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard", **
     columns = list(columns)
     if kind == "robust":
         wanted = {f"{n}__{c}": (c, p) for c in columns for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
-        row = quantile_columns(df, wanted, **quantile_options).first().asDict()
+        row = quantile_values(df, wanted, **quantile_options)
         return Scaler({c: row[f"q2__{c}"] for c in columns}, {c: row[f"q3__{c}"] - row[f"q1__{c}"] for c in columns}, "skip")
     pairs = {"standard": (F.avg, F.stddev_pop), "sample": (F.avg, F.stddev_samp), "minmax": (F.min, F.max)}
     if kind not in pairs:

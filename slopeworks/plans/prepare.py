@@ -20,6 +20,7 @@ from slopeworks.operators.encode import fit_encoding
 from slopeworks.operators.features import add_features
 from slopeworks.operators.impute import fit_smart, impute
 from slopeworks.operators.profile import numeric_columns
+from slopeworks.operators.quantiles import quantile_values
 from slopeworks.operators.scale import fit_scaler, log_target
 from slopeworks.operators.split import split_exact
 from slopeworks.sources.tables import assemble
@@ -61,15 +62,12 @@ def prepare_listings(raw: DataFrame, as_of: int, target: str = "price", test_siz
 
 def _fill_from_train(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Leftover nulls get the median of the training rows."""
-    from slopeworks.operators.quantiles import quantile_columns
-
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
     open_cols = [c for c in columns if nulls[c]]
     if not open_cols:
         return df
-    row = quantile_columns(train, {c: (c, 0.5) for c in open_cols}).first()
-    medians = row.asDict() if row else {}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians.get(c) if medians.get(c) is not None else 0.0)) for c in open_cols})
+    medians = quantile_values(train, {c: (c, 0.5) for c in open_cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0 if medians[c] is None else medians[c])) for c in open_cols})
 
 
 def quick_prepare(df: DataFrame, target: str, strategy: str = "auto", columns: Sequence[str] | None = None) -> DataFrame:
