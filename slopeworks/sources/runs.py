@@ -43,15 +43,19 @@ HISTORY_NAMES = {"epoch": "iteration", "line_search_iter": "line_search_iteratio
 
 
 def _path_parts(path: Column) -> dict[str, Column]:
-    """`.../family/setup/file` to family, setup and run_id."""
+    """`.../family/setup/file` to family, setup and run_id; partition folders such as `family=x` count as `x`."""
+    path = F.regexp_replace(path, "/[a-z]+=", "/")
     family = F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1)
     setup = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     return {"family": family, "setup": setup, "run_id": F.concat_ws("/", family, setup)}
 
 
-def read_results(spark: SparkSession, pattern: str) -> DataFrame:
-    """Result files under a glob such as `runs/*/*/results.json`, unflattened; broken files are kept with `corrupt` set."""
-    raw = (spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+def read_results(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
+    """Result files under a glob such as `runs/*/*/results.json`, unflattened; broken files are kept with `corrupt` set.
+
+    Without `multi_line` every line of a file is one document.
+    """
+    raw = (spark.read.schema(RESULT_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")
            .option("columnNameOfCorruptRecord", "corrupt").json(pattern))
     path = F.col("_metadata.file_path")
     return raw.select("*", path.alias("path"), F.timestamp_seconds(F.unix_timestamp("_metadata.file_modification_time")).alias("modified")
