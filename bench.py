@@ -27,7 +27,8 @@ def reference_scale_training(spark, sf: str) -> dict[str, float]:
     from slopeworks.plans.train import fit_stats
 
     base = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey", "l_partkey"]
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    # The test file is one row group and would be one task; a real table has many.
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").repartition(spark.sparkContext.defaultParallelism)
     wide = li.select(F.log1p("l_extendedprice").alias("y"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), *[
         (F.sin(F.col(base[k % 6]) * (k + 1) / 7) + F.col(base[(k + 1) % 6]) * 0.001).alias(f"f{k}") for k in range(62)])
     features = [f"f{k}" for k in range(62)]

@@ -27,10 +27,10 @@ def shares(spark, sf):
 
 @query("segment_tiers", f"""
 WITH b AS (SELECT p_brand, count(*) AS n, avg(l_extendedprice) AS m FROM ({_PRICED}) GROUP BY 1),
-t AS (SELECT CASE WHEN m <= 49000 THEN 'low' WHEN m <= 50500 THEN 'mid' ELSE 'high' END AS tier, count(*) AS n_groups, sum(n)::BIGINT AS n_rows, sum(m * n) / sum(n) AS mt FROM b GROUP BY 1)
+t AS (SELECT CASE WHEN m <= 52500 THEN 'low' WHEN m <= 53500 THEN 'mid' ELSE 'high' END AS tier, count(*) AS n_groups, sum(n)::BIGINT AS n_rows, sum(m * n) / sum(n) AS mt FROM b GROUP BY 1)
 SELECT tier, n_groups, n_rows, round(mt, 4) AS mean_target, round(n_rows * 100.0 / (SELECT sum(n_rows) FROM t), 6)::DOUBLE AS share_pct FROM t""")
 def tiers(spark, sf):
-    out = G.group_tiers(_priced(spark, sf), "p_brand", "l_extendedprice", [0, 49000, 50500, float("inf")], ["low", "mid", "high"])
+    out = G.group_tiers(_priced(spark, sf), "p_brand", "l_extendedprice", [0, 52500, 53500, float("inf")], ["low", "mid", "high"])
     return rounded(rounded(out, 4, "mean_target"), 6, "share_pct")
 
 
