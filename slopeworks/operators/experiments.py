@@ -7,6 +7,7 @@ final_* and best_* columns. A history table has (run_id, iteration, loss, gradie
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,9 @@ def display_metrics(runs: DataFrame) -> DataFrame:
 
 
 def _first_by(value: Column, *order: Column) -> Column:
-    """Name of the run with the smallest order values; ties go to the smallest name."""
-    return F.min_by(value, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("name")))
+    """Name of the run with the smallest order values; ties go to the smallest name, unknown values do not compete."""
+    known = reduce(lambda a, b: a & b, [o.isNotNull() for o in order])
+    return F.min_by(value, F.when(known, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("name"))))
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
                  F.try_divide(F.count_if(conv) * 100.0, F.count("*")).alias("converged_pct"),
                  F.avg("training_time").alias("mean_time"), _first_by(name, loss).alias("best_loss_run"), F.min(loss).alias("best_loss"),
                  _first_by(name, F.col("training_time")).alias("fastest_run"), F.min("training_time").alias("fastest_time"),
-                 F.min_by(name, F.when(conv, F.struct(F.col("display_iteration"), name))).alias("fastest_converged_run"))
+                 _first_by(name, F.when(conv, F.col("display_iteration"))).alias("fastest_converged_run"))
 
 
 def family_breakdown(runs: DataFrame, family: Column | None = None) -> DataFrame:
@@ -71,7 +73,8 @@ def recommended_runs(runs: DataFrame) -> DataFrame:
     r = display_metrics(runs).filter("converged")
     picks = {"lowest_loss": "display_loss", "fastest": "training_time", "fewest_iterations": "display_iteration",
              "smallest_gradient": "display_gradient_norm"}
-    row = r.agg(*[F.min(F.struct(F.col(c).cast("double").alias("value"), F.col("run_id"))).alias(n) for n, c in picks.items()])
+    row = r.agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("value"), F.col("run_id")))).alias(n)
+                  for n, c in picks.items()])
     cells = F.array(*[F.struct(F.lit(n).alias("reason"), F.col(n)["run_id"].alias("run_id"), F.col(n)["value"].alias("value")) for n in picks])
     return row.select(F.explode(cells).alias("x")).select("x.*").filter(F.col("run_id").isNotNull())
 
@@ -174,7 +177,7 @@ def history_facts(history: DataFrame) -> DataFrame:
     at = F.col("iteration")
     out = history.groupBy("run_id").agg(
         F.count("*").alias("history_length"), F.min_by("loss", at).alias("first_loss"), F.max_by("loss", at).alias("last_loss"),
-        F.min("loss").alias("lowest_loss"), F.min(F.struct("gradient_norm", "iteration")).alias("b"))
+        F.min("loss").alias("lowest_loss"), F.min(F.when(F.col("gradient_norm").isNotNull(), F.struct("gradient_norm", "iteration"))).alias("b"))
     return out.select("run_id", "history_length", "first_loss", "last_loss", "lowest_loss",
                       (F.col("first_loss") - F.col("last_loss")).alias("loss_improvement"),
                       F.try_divide(F.col("first_loss"), F.col("lowest_loss")).alias("loss_reduction_ratio"),

@@ -1,10 +1,11 @@
-"""Session helpers: a local session for tests and benches, and lineage cuts that survive executor loss."""
+"""Session helpers: a local session for tests and benches, and the shared folder of the cluster."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "slopeworks", **conf: str) -> SparkSession:
@@ -27,24 +28,8 @@ def local_session(cpus: int = 8, app: str = "slopeworks", **conf: str) -> SparkS
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder the cluster names in `spark.checkpoint.dir`.
-
-    Only a local session without that setting (tests) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="slopeworks-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder of the cluster, for tables a job writes and reads again."""
-    import uuid
-
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if root is None:

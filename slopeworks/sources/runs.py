@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.operators.clean import concat_rows
+from slopeworks.operators.joins import lookup_join
 
 # Every place the result files of the different families keep a value.
 RESULT_SCHEMA = """
@@ -107,26 +107,20 @@ def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
 def read_histories(spark: SparkSession, pattern: str) -> DataFrame:
     """History files of all families under a glob, as one long table; columns a family lacks are null.
 
-    Headers differ per family, so the files are read once per distinct header.
+    Headers differ per family, so each line is matched with the header of its own file.
     """
-    path = F.col("_metadata.file_path")
-    lines = spark.read.text(pattern).select(F.col("value"), path.alias("path"))
-    names = [*HISTORY_TYPES, *HISTORY_NAMES]
-    is_header = F.split("value", ",")[1] == "loss"
-    headers: dict[str, list[str]] = {}
-    for r in lines.filter(is_header).groupBy("value").agg(F.collect_set("path").alias("paths")).collect():
-        headers[r["value"]] = r["paths"]
-    frames = []
-    for header, files in sorted(headers.items()):
-        columns = header.strip().split(",")
-        unknown = [c for c in columns if c not in names]
-        schema = ", ".join(f"`{c}` {HISTORY_TYPES.get(HISTORY_NAMES.get(c, c), 'string')}" for c in columns)
-        df = spark.read.schema(schema).option("header", True).csv(files)
-        df = df.withColumns(_path_parts(path)).drop("family", "setup", *unknown)
-        frames.append(df.withColumnsRenamed({k: v for k, v in HISTORY_NAMES.items() if k in columns}))
-    base = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in HISTORY_TYPES.items()))
-    out = concat_rows([base, *frames])
-    return out.select(*[F.col(c).cast(t).alias(c) for c, t in HISTORY_TYPES.items()])
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"))
+    is_header = F.col("value").rlike("^(iteration|epoch),")
+    headers = lines.filter(is_header).groupBy("path").agg(F.first("value").alias("header"))  # one row per file
+    rows = lookup_join(lines.filter(~is_header & (F.col("value") != "")), headers, ["path"], "inner")
+    names, cells = F.split("header", ","), F.split("value", ",")
+    rows = rows.withColumns(_path_parts(F.col("path"))).withColumn("cells", F.when(F.size(names) == F.size(cells), F.map_from_arrays(names, cells)))
+
+    def read(name: str, kind: str) -> Column:
+        options = [name, *[k for k, v in HISTORY_NAMES.items() if v == name]]
+        return F.coalesce(*[F.try_element_at("cells", F.lit(o)) for o in options]).try_cast(kind).alias(name)
+
+    return rows.select("run_id", *[read(c, t) for c, t in HISTORY_TYPES.items() if c != "run_id"])
 
 
 def write_runs(runs: DataFrame, path: str, group_cols: Sequence[str] = (), mode: str = "append") -> None:

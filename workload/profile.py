@@ -106,10 +106,10 @@ _QQ = [(i + 0.5) / 20 for i in range(20)]
 
 
 @query("profile_normal_qq", union_all([
-    f"SELECT {p}::DOUBLE AS p, round({z!r}::DOUBLE, 6) AS theoretical, round(quantile_cont(l_extendedprice, {p}), 4) AS sample FROM lineitem"
+    f"SELECT {p}::DOUBLE AS p, round({z!r}::DOUBLE, 6) AS theoretical, round(quantile_cont(l_extendedprice, {p}), 6) AS sample FROM lineitem"
     for p, z in zip(_QQ, normal_quantiles(_QQ))]))
 def normal_qq(spark, sf):
-    return rounded(rounded(P.normal_qq(table(spark, sf, "lineitem"), "l_extendedprice", 20), 6, "theoretical"), 4, "sample")
+    return rounded(rounded(P.normal_qq(table(spark, sf, "lineitem"), "l_extendedprice", 20), 6, "theoretical"), 6, "sample")
 
 
 @query("profile_numeric_summary", union_all([f"""

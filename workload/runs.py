@@ -104,10 +104,11 @@ FROM r LEFT JOIN h USING (run_id) CROSS JOIN x"""
 
 
 @query("runs_comparison", f"""SELECT run_id, category, round(performance_score, 6)::DOUBLE AS performance_score, round(efficiency_score, 6)::DOUBLE AS efficiency_score,
-  CASE WHEN isfinite(convergence_rate) THEN round(convergence_rate, 6) + 0.0 ELSE convergence_rate END::DOUBLE AS convergence_rate FROM ({_SCORED})""")
+  CASE WHEN isfinite(convergence_rate) THEN round(convergence_rate, 10) + 0.0 ELSE convergence_rate END::DOUBLE AS convergence_rate FROM ({_SCORED})""")
 def comparison(spark, sf):
     out = X.comparison_table(runs(spark, sf), history(spark, sf))
-    return rounded(out.select("run_id", "category", "performance_score", "efficiency_score", "convergence_rate"), 6, "performance_score", "efficiency_score", "convergence_rate")
+    out = out.select("run_id", "category", "performance_score", "efficiency_score", "convergence_rate")
+    return rounded(rounded(out, 6, "performance_score", "efficiency_score"), 10, "convergence_rate")
 
 
 @query("runs_by_category", f"""
