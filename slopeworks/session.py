@@ -31,7 +31,7 @@ def local_session(cpus: int = 8, app: str = "slopeworks", **conf: str) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the shared folder of the cluster, for tables a job writes and reads again."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")

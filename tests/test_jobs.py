@@ -215,6 +215,25 @@ def test_equal_times_score_zero(spark):
     assert {r["run_id"]: r["performance_score"] for r in X.with_scores(runs).collect()} == {"a": 40.0, "b": 0.0}
 
 
+def test_report_orders(spark):
+    rows = [("a", False, 1.0, 3), ("b", True, float("inf"), None), ("c", True, 0.5, 9), ("d", True, 0.5, 2), ("e", False, float("inf"), 1)]
+    runs = spark.createDataFrame(rows, "run_id string, converged boolean, final_loss double, iterations int").withColumns(
+        {"best_loss": F.lit(None).cast("double"), "best_gradient_norm": F.lit(None).cast("double"), "best_iteration": F.lit(None).cast("int"),
+         "final_gradient_norm": F.lit(0.1)})
+    assert [r["run_id"] for r in X.ordered_report(runs).collect()] == ["c", "d", "b", "a", "e"]
+    assert [r["run_id"] for r in X.by_iterations(runs).collect()] == ["d", "c", "b", "e", "a"]
+
+
+def test_unknown_values_do_not_win(spark):
+    rows = [("a", True, None, 1.0), ("b", True, 0.3, None), ("c", True, 0.2, 5.0)]
+    runs = spark.createDataFrame(rows, "run_id string, converged boolean, final_gradient_norm double, training_time double").withColumns(
+        {"final_loss": F.lit(1.0), "iterations": F.lit(4), "best_loss": F.lit(None).cast("double"), "best_gradient_norm": F.lit(None).cast("double"),
+         "best_iteration": F.lit(None).cast("int")})
+    got = {r["reason"]: r["run_id"] for r in X.recommended_runs(runs).collect()}
+    assert got["smallest_gradient"] == "c" and got["fastest"] == "a" and got["lowest_loss"] == "a"
+    assert X.run_summary(runs).first()["fastest_run"] == "a"
+
+
 def test_written_runs_read_back(spark, tmp_path):
     df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, y double")
     runs = R.as_comparison_runs(fit_stats(gram_stats(df, ["x"], "y"), [Setup(method="newton", check_every=1), Setup(setup="b", method="bfgs", check_every=1)]))

@@ -104,11 +104,12 @@ FROM r LEFT JOIN h USING (run_id) CROSS JOIN x"""
 
 
 @query("runs_comparison", f"""SELECT run_id, category, round(performance_score, 6)::DOUBLE AS performance_score, round(efficiency_score, 6)::DOUBLE AS efficiency_score,
-  CASE WHEN isfinite(convergence_rate) THEN round(convergence_rate, 10) + 0.0 ELSE convergence_rate END::DOUBLE AS convergence_rate FROM ({_SCORED})""")
+  CASE WHEN isfinite(convergence_rate) THEN round(convergence_rate * iterations, 6) + 0.0 ELSE convergence_rate END::DOUBLE AS gain FROM ({_SCORED})""")
 def comparison(spark, sf):
     out = X.comparison_table(runs(spark, sf), history(spark, sf))
-    out = out.select("run_id", "category", "performance_score", "efficiency_score", "convergence_rate")
-    return rounded(rounded(out, 6, "performance_score", "efficiency_score"), 10, "convergence_rate")
+    gain = F.col("convergence_rate") * F.when(F.col("iterations") > 0, F.col("iterations")).otherwise(1)
+    out = out.select("run_id", "category", "performance_score", "efficiency_score", gain.alias("gain"))
+    return rounded(out, 6, "performance_score", "efficiency_score", "gain")
 
 
 @query("runs_by_category", f"""
@@ -123,18 +124,14 @@ def top(spark, sf):
     return rounded(X.top_runs(X.with_scores(runs(spark, sf))).select("run_id", "performance_score"), 6, "performance_score")
 
 
-@query("runs_ordered", f"""
-SELECT run_id, row_number() OVER (ORDER BY converged DESC, display_loss, run_id) AS place FROM ({_DISPLAY}) QUALIFY place <= 25""")
+@query("runs_ordered", f"SELECT run_id, converged, round(display_loss, 6) AS display_loss FROM ({_DISPLAY}) ORDER BY converged DESC, display_loss, run_id")
 def ordered(spark, sf):
-    """The first 25 lines of the report order."""
-    first = X.ordered_report(runs(spark, sf)).limit(25).select("run_id", F.struct(~F.col("converged"), "display_loss", "run_id").alias("o"))
-    return first.agg(F.sort_array(F.collect_list(F.struct("o", "run_id"))).alias("a")).select(F.posexplode("a").alias("i", "r")).select(
-        F.col("r.run_id").alias("run_id"), (F.col("i") + 1).cast("long").alias("place"))
+    return rounded(X.ordered_report(runs(spark, sf)).select("run_id", "converged", "display_loss"), 6, "display_loss")
 
 
-@query("runs_by_iterations", f"SELECT run_id, converged, iterations FROM ({_RUNS}) ORDER BY converged DESC, iterations, run_id LIMIT 40")
+@query("runs_by_iterations", f"SELECT run_id, converged, iterations FROM ({_RUNS}) ORDER BY converged DESC, iterations, run_id")
 def by_iterations(spark, sf):
-    return X.by_iterations(runs(spark, sf)).select("run_id", "converged", "iterations").limit(40)
+    return X.by_iterations(runs(spark, sf)).select("run_id", "converged", "iterations")
 
 
 @query("runs_parameter_points", f"SELECT run_id, learning_rate AS parameter, round(performance_score, 6)::DOUBLE AS performance_score, iterations FROM ({_SCORED}) WHERE learning_rate IS NOT NULL")
