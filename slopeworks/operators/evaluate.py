@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from slopeworks.functions.numeric import is_finite
 from slopeworks.functions.vectors import linear_prediction, standardise, unrolled_prediction
-from slopeworks.operators.joins import lookup_join
+from slopeworks.operators.joins import BROADCAST_ROWS, lookup_join
 from slopeworks.operators.profile import histogram
 
+BROADCAST_WEIGHTS = 5_000_000  # numbers in all models together: 40 MB
+
 
 def predict(df: DataFrame, features: Sequence[str], weights: Sequence[float], name: str = "prediction") -> DataFrame:
     """Xw + b as a plain column sum (L1)."""
@@ -26,7 +28,8 @@ def predict_by_group(df: DataFrame, features: Sequence[str], models: DataFrame,
                      name: str = "prediction") -> DataFrame:
     """Each row is scored by the model of its group; `models` has `weights` per key and its row count `n`."""
     slim = models.select(*keys, "weights", *(["n"] if "n" in models.columns else []))
-    joined = lookup_join(df, slim, keys, "left", weight="n" if "n" in models.columns else None)
+    bound = min(BROADCAST_ROWS, BROADCAST_WEIGHTS // (len(features) + 1))
+    joined = lookup_join(df, slim, keys, "left", weight="n" if "n" in models.columns else None, bound=bound)
     x = F.array(*[F.col(c).cast("double") for c in features])
     return joined.withColumn(name, linear_prediction(x, F.col("weights"))).drop("weights", "n")
 

@@ -12,6 +12,7 @@ from slopeworks.operators.joins import lookup_join
 HASH_SPACE = 2**32
 CHUNK_ROWS = 1_000_000
 HIGH_BITS = 20
+MAX_BUCKETS = 2**20  # offsets of this many ranges are broadcast: 16 MB
 
 
 def key_hash(key: str, seed: int = 42) -> Column:
@@ -47,10 +48,10 @@ def smallest_by_hash(df: DataFrame, key: str, hashed: Column, take: int) -> Colu
 def hash_row_number(df: DataFrame, key: str, hashed: Column, name: str = "rank", n_rows: int | None = None) -> DataFrame:
     """0-based position of every row in (hash, key) order, ranked inside hash ranges and offset by their sizes."""
     n_rows = df.count() if n_rows is None else n_rows
-    buckets = min(65_536, max(1, n_rows // 100_000))
+    buckets = min(MAX_BUCKETS, max(1, n_rows // 100_000))
     h = df.withColumns({"__h": hashed, "__b": F.floor(hashed * buckets / HASH_SPACE).cast("int")})
     local = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    sizes = h.groupBy("__b").agg(F.count("*").alias("n"))  # at most 65,536 rows
+    sizes = h.groupBy("__b").agg(F.count("*").alias("n"))  # at most MAX_BUCKETS rows
     offsets = sizes.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__o"))
     out = h.withColumn("__r", local).join(F.broadcast(offsets), "__b")
     return out.withColumn(name, F.col("__r") + F.col("__o")).drop("__b", "__h", "__r", "__o")

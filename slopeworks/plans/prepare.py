@@ -30,6 +30,11 @@ from slopeworks.sources.tables import assemble
 class Prepared:
     matrix: DataFrame  # row_id, split, features, label
     features: list[str]
+    kept: DataFrame  # cleaned rows held on the executors while the plan is fitted and read
+
+    def release(self) -> None:
+        """Frees the held rows once the matrix is written."""
+        self.kept.unpersist()
 
 
 def prepare_listings(raw: DataFrame, as_of: int, target: str = "price", test_size: float = 0.2, seed: int = 42,
@@ -57,7 +62,7 @@ def prepare_listings(raw: DataFrame, as_of: int, target: str = "price", test_siz
     whole = _fill_from_train(doubled, train(doubled), features)
     scaled = fit_scaler(train(whole), features, scaler).transform(whole)
     labelled = log_target(scaled.filter(F.col(target).isNotNull()), target)
-    return Prepared(assemble(labelled, features, "label", ["row_id", "split"]), features)
+    return Prepared(assemble(labelled, features, "label", ["row_id", "split"]), features, parsed)
 
 
 def _fill_from_train(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:

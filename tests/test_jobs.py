@@ -75,6 +75,7 @@ def test_prepare_and_train(spark):
     metrics = V.full_metrics(V.predict(wide.filter("split = 'test'"), names, w)).first()
     assert metrics["r2"] > 0.8
     m.unpersist()
+    prepared.release()
 
 
 def test_smart_imputation_tiers(spark):

@@ -70,9 +70,10 @@ def drop_null_target(spark, sf):
     return labelled(spark, sf).select("doc_id", "quality").dropna(subset=["quality"])
 
 
-@query("clean_numeric_matrix", "SELECT p_partkey, [p_size::DOUBLE, p_retailprice] AS features FROM part")
+@query("clean_numeric_matrix", "SELECT p_partkey, 2 AS width, p_size::DOUBLE AS f0, p_retailprice AS f1 FROM part")
 def numeric_matrix(spark, sf):
-    return C.numeric_matrix(table(spark, sf, "part"), keep=["p_partkey"])
+    out = C.numeric_matrix(table(spark, sf, "part"), keep=["p_partkey"])
+    return out.select("p_partkey", F.size("features").alias("width"), F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
 
 
 @query("clean_final_types", f"""

@@ -78,13 +78,13 @@ def luxury_share(spark, sf):
 @query("scalar_bins_codes", """
 SELECT o_orderkey, CASE WHEN o_totalprice <= 10000 THEN NULL WHEN o_totalprice <= 100000 THEN 'low' WHEN o_totalprice <= 300000 THEN 'mid' ELSE 'top' END AS bin,
   CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END::INTEGER AS code, round(ln(1 + o_totalprice), 8) AS log1p, round(o_totalprice, 4) AS back,
-  round(log10(o_totalprice), 8) AS log10, make_timestamp(o_orderkey * 1000000) AS at FROM orders""")
+  round(log10(o_totalprice), 8) AS log10, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S') AS at FROM orders""")
 def bins_codes(spark, sf):
     p = F.col("o_totalprice")
     out = table(spark, sf, "orders").select(
         "o_orderkey", N.right_closed_bin(p, [10000, 100000, 300000, float("inf")], ["low", "mid", "top"]).alias("bin"),
         N.ordered_code(F.col("o_orderstatus"), ["O", "F"]).cast("int").alias("code"), F.log1p(p).alias("log1p"), F.expm1(F.log1p(p)).alias("back"),
-        F.log10(p).alias("log10"), F.timestamp_seconds("o_orderkey").alias("at"))
+        F.log10(p).alias("log10"), F.date_format(F.timestamp_seconds("o_orderkey"), "yyyy-MM-dd HH:mm:ss").alias("at"))
     return rounded(rounded(out, 8, "log1p", "log10"), 4, "back")
 
 

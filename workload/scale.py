@@ -27,12 +27,13 @@ for _kind, (_shift, _spread, _one) in _RULES.items():
 
 
 @query("scale_stored", """
-SELECT l_orderkey, l_linenumber, [round((l_quantity - 25) / 14, 6) + 0.0, round((l_tax - 0.5) / 1e-8, 2) + 0.0] AS features FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round((l_quantity - 25) / 14, 6) + 0.0 AS f0, round((l_tax - 0.5) / 1e-8, 2) + 0.0 AS f1 FROM lineitem""")
 def stored(spark, sf):
     """Stored statistics; a zero deviation is replaced by the floor."""
     x = standardise(F.array("l_quantity", "l_tax"), [25.0, 0.5], [14.0, 0.0])
     out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
-    return out.select("l_orderkey", "l_linenumber", F.array(F.round(F.col("x")[0], 6) + 0.0, F.round(F.col("x")[1], 2) + 0.0).alias("features"))
+    out = out.select("l_orderkey", "l_linenumber", F.col("x")[0].alias("f0"), F.col("x")[1].alias("f1"))
+    return rounded(rounded(out, 6, "f0"), 2, "f1")
 
 
 @query("scale_log_target", "SELECT o_orderkey, round(ln(1 + o_totalprice), 8) AS label, round(o_totalprice, 4) AS target FROM orders")

@@ -123,11 +123,12 @@ def metadata(spark, sf):
     return rounded(out, 3, "min_target", "max_target", "mean_target")
 
 
-@query("matrix_align", "SELECT o_orderkey AS row_id, [o_custkey::DOUBLE] AS features, o_totalprice AS label FROM orders")
+@query("matrix_align", "SELECT o_orderkey AS row_id, o_custkey::DOUBLE AS feature, o_totalprice AS label FROM orders")
 def align(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "row_id")
     x = o.select("row_id", F.array(F.col("o_custkey").cast("double")).alias("features"))
-    return S.align(x, o.select("row_id", F.col("o_totalprice").alias("label")))
+    both = S.align(x, o.select("row_id", F.col("o_totalprice").alias("label")))
+    return both.select("row_id", F.col("features")[0].alias("feature"), "label")
 
 
 @query("model_state", """
