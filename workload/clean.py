@@ -217,3 +217,26 @@ def smart(spark, sf):
 WITH t AS ({_HOLES}) SELECT o_orderkey, round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM t)), 4) AS price FROM t""")
 def leftover(spark, sf):
     return rounded(I.fill_leftover(_holes(spark, sf).select("o_orderkey", "price"), ["price"]), 4, "price")
+
+
+@query("clean_split_target", "SELECT o_totalprice AS target, count(*) AS n FROM orders GROUP BY 1")
+def split_target(spark, sf):
+    _, y = C.split_target(table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("target")), "target")
+    return y.groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query("source_read_capped", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
+def read_capped(spark, sf):
+    """A row cap with a column subset, taken in key order."""
+    return S.read_table(spark, f"{sf}/orders.parquet", columns=["o_orderkey", "o_totalprice"], max_rows=1000, order_by=["o_orderkey"])
+
+
+@query("source_csv", "SELECT o_orderkey AS order_key, o_totalprice AS total_price, o_orderpriority AS priority FROM orders")
+def csv(spark, sf):
+    """The whole table written as CSV with untidy headers, read back with a declared schema and tidy names."""
+    from slopeworks.session import shared_folder
+
+    path = f"{shared_folder(spark)}/orders.csv"
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_totalprice").alias("Total-Price"), F.col("o_orderpriority").alias("PRIORITY "))
+    o.write.option("header", True).csv(path)
+    return S.read_table(spark, path, "`Order Key` long, `Total-Price` double, `PRIORITY ` string", normalise=True)

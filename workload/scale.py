@@ -40,3 +40,23 @@ def stored(spark, sf):
 def log(spark, sf):
     out = original_target(log_target(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"))
     return rounded(rounded(out.drop("o_totalprice"), 8, "label"), 4, "target")
+
+
+@query("vector_bias", "SELECT vec_id, len(embedding) + 1 AS length, 1.0::DOUBLE AS bias FROM embeddings")
+def bias(spark, sf):
+    """Every feature vector followed by a constant 1."""
+    from slopeworks.functions.vectors import with_bias
+
+    e = table(spark, sf, "embeddings").select("vec_id", with_bias(F.col("embedding").cast("array<double>")).alias("x"))
+    return e.select("vec_id", F.size("x").cast("long").alias("length"), F.element_at("x", -1).alias("bias"))
+
+
+@query("vector_head", "SELECT vec_id, 5::BIGINT AS kept, round(list_sum(embedding[1:5]::DOUBLE[]), 6) + 0.0 AS total FROM embeddings")
+def head(spark, sf):
+    """The first five weights of every vector."""
+    from slopeworks.functions.vectors import array_sum
+    from slopeworks.operators.experiments import head_of_weights
+
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("weights"))
+    out = head_of_weights(e, 5).select("vec_id", F.size("weights").cast("long").alias("kept"), array_sum(F.col("weights")).alias("total"))
+    return rounded(out, 6, "total")
