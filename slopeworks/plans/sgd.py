@@ -98,10 +98,14 @@ def _batches(pdf: pd.DataFrame, features: list[str], label: str) -> Iterator[tup
 
 
 def _batch_map(h: np.ndarray, b: np.ndarray, lr: float, mu: float, lam: float) -> np.ndarray:
-    """Affine map of (weights, velocity, 1) for one update."""
+    """Affine map of (weights, velocity, 1) for one update; without momentum the velocity is left out."""
     p = len(b)
     eye = np.eye(p)
     g = h + lam * np.diag([1.0] * (p - 1) + [0.0])
+    if not mu:
+        m = np.eye(p + 1)
+        m[:p, :p], m[:p, -1] = eye - lr * g, lr * b
+        return m
     m = np.zeros((2 * p + 1, 2 * p + 1))
     m[:p, :p], m[:p, p:2 * p], m[:p, -1] = eye - lr * g, -lr * mu * eye, lr * b
     m[p:2 * p, :p], m[p:2 * p, p:2 * p], m[p:2 * p, -1] = g, mu * eye, -b
@@ -115,7 +119,7 @@ def epoch_maps(df: DataFrame, features: Sequence[str], label: str, key: str, s:
     features, rates = list(features), [float(r) for r in rates]
     per_chunk = max(1, chunk_rows // s.batch_size)
     mu, lam = s.momentum, s.regularization if s.loss == "ridge" else 0.0
-    width = 2 * (len(features) + 1) + 1
+    width = (len(features) + 1) * (2 if mu else 1) + 1
     rows = _ordered(df, key, s, epoch, n, hashed).select(
         *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label), "__w", "__rank", "__batch",
         F.floor(F.col("__batch") / per_chunk).cast("long").alias("chunk"))
@@ -176,15 +180,16 @@ def fit_sgd(df: DataFrame, features: Sequence[str], label: str, key: str, s: Sgd
         if mode == "exact" and s.order == "once":
             rates = sorted({epoch_rate(s, e) for e in range(s.epochs)})
             rows = epoch_maps(table, features, label, key, s, 0, rates, n, hashed, chunk_rows).collect()  # one matrix per rate
-            maps = {rates[r["i"]]: np.asarray(r["m"]).reshape(2 * p + 1, -1) for r in rows}
+            maps = {rates[r["i"]]: r["m"] for r in rows}
         for epoch in range(s.epochs):
             lr = epoch_rate(s, epoch)
             if mode == "exact":
                 if s.order != "once":
                     one = epoch_maps(table, features, label, key, s, epoch, [lr], n, hashed, chunk_rows).first()["m"]
-                    maps = {lr: np.asarray(one).reshape(2 * p + 1, -1)}
-                state = maps[lr] @ np.concatenate([w, v, [1.0]])
-                w, v = state[:p], state[p:2 * p]
+                    maps = {lr: one}
+                state = np.concatenate([w, v, [1.0]] if s.momentum else [w, [1.0]])
+                state = np.asarray(maps[lr]).reshape(len(state), -1) @ state
+                w, v = state[:p], state[p:2 * p] if s.momentum else v
             elif mode == "sequential":
                 w, v = _sequential_epoch(_ordered(table, key, s, epoch, n, hashed), features, label, s, lr, w, v)
             elif mode == "averaged":
