@@ -146,7 +146,7 @@ def epoch_maps(df: DataFrame, features: Sequence[str], label: str, key: str, s:
     return maps.select("i", "m")
 
 
-def _stats(df: DataFrame, features, label) -> Quadratic:
+def _stats(df: DataFrame, features, label) -> np.ndarray:
     zz = np.array(gram_stats(df, features, label).first()["zz"])
     return zz.reshape(len(features) + 2, -1)
 
