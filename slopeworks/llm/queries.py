@@ -52,3 +52,10 @@ def op10(spark, sf):
     from slopeworks.llm.token_files import token_files
 
     return token_files(spark, table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op2_pii")
+def op2(spark, sf):
+    from slopeworks.llm.pii import find_pii, pii_digest
+
+    return pii_digest(find_pii(table(spark, sf, "documents").select("doc_id", "text")))
