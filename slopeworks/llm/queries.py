@@ -59,3 +59,17 @@ def op2(spark, sf):
     from slopeworks.llm.pii import find_pii, pii_digest
 
     return pii_digest(find_pii(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def _op3_sql() -> str:
+    from slopeworks.llm.quality import ORACLE
+
+    return ORACLE
+
+
+@query("op3_quality_rules", _op3_sql())
+def op3(spark, sf):
+    from slopeworks.llm.quality import judge
+
+    judged = judge(table(spark, sf, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
