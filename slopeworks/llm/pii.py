@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.llm.plans import fenced
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")  # their order among spans of one start
 CONTEXT_CHARS = 40
 LEAST_SCORE = 0.5
@@ -101,7 +103,7 @@ def pii_spans(text: Column) -> Column:
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds `pii`: array of (start, kind, end, score, value), replacing a column of that name. Null and empty texts have none."""
-    return docs.withColumn("pii", pii_spans(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn("pii", fenced(pii_spans(F.coalesce(F.col(text), F.lit("")))))
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.llm.plans import fenced
+
 BLANK = r"[\x20\x09-\x0D]"
 # Frequent function words of the languages that are kept, in lower case and with a capital.
 STOP_WORDS = (
@@ -36,7 +38,7 @@ RULES = (
     Rule("symbols_per_word", None, 0.1),
     Rule("exclamations_per_word", None, 0.25),
     Rule("n_stop_words", 2, None),
-    Rule("dup_line_share", None, 0.3),
+    Rule("dup_line_share", None, 0.5),
     Rule("short_line_share", None, 0.9),
     Rule("ellipsis_line_share", None, 0.3),
     Rule("letter_word_share", 0.8, None),
@@ -97,14 +99,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "mean_word_length": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"),
         "exclamations_per_word": per("_exclamations", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"),
         "short_line_share": per("_short", "n_lines"), "ellipsis_line_share": per("_ellipsis", "n_lines"),
-        "letter_word_share": per("_letters", "n_words"), "repeat_word_share": per("n_repeat_words", "n_words"),
+        "letter_word_share": fenced(per("_letters", "n_words")), "repeat_word_share": per("n_repeat_words", "n_words"),
     }).drop("_text", "_words", "_lines", "_windows", "_placed", "_exclamations", "_short", "_ellipsis", "_letters")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Adds the measures, `base_failed` (under 50 words, or more than half of them in repeated windows) and `kept`."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measure(docs, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & _compiled(rules))
+    return measure(docs, text).withColumns({"base_failed": base, "kept": fenced(~base & _compiled(rules))})
 
 
 ORACLE = f"""
@@ -123,7 +125,7 @@ m AS (SELECT s.doc_id, len(w) AS n_words, coalesce(length(list_aggregate(w, 'str
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   n_words BETWEEN 50 AND 100000 AND n_repeat_words / n_words <= 0.5 AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1
-  AND bangs / n_words <= 0.25 AND n_stop >= 2 AND n_dup_lines / n_lines <= 0.3 AND short / n_lines <= 0.9 AND ellipsis / n_lines <= 0.3
+  AND bangs / n_words <= 0.25 AND n_stop >= 2 AND n_dup_lines / n_lines <= 0.5 AND short / n_lines <= 0.9 AND ellipsis / n_lines <= 0.3
   AND letters / n_words >= 0.8 AS kept
 FROM m
 """
