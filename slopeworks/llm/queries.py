@@ -73,3 +73,10 @@ def op3(spark, sf):
 
     judged = judge(table(spark, sf, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_ngram_jaccard")
+def op8(spark, sf):
+    from slopeworks.llm.jaccard import shingle_components
+
+    return shingle_components(table(spark, sf, "documents"))
