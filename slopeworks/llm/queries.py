@@ -80,3 +80,17 @@ def op8(spark, sf):
     from slopeworks.llm.jaccard import shingle_components
 
     return shingle_components(table(spark, sf, "documents"))
+
+
+def _op1_sql() -> str:
+    from slopeworks.llm.lines import ORACLE
+
+    return ORACLE
+
+
+@query("op1_line_dedup", _op1_sql())
+def op1(spark, sf):
+    from slopeworks.llm.lines import drop_shared_lines
+
+    freed = drop_shared_lines(table(spark, sf, "documents"))
+    return freed.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lines_removed")
