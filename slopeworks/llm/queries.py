@@ -94,3 +94,16 @@ def op1(spark, sf):
 
     freed = drop_shared_lines(table(spark, sf, "documents"))
     return freed.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "lines_removed")
+
+
+def _op5_sql() -> str:
+    from slopeworks.llm.decontaminate import ORACLE
+
+    return ORACLE
+
+
+@query("op5_decontamination", _op5_sql())
+def op5(spark, sf):
+    from slopeworks.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
