@@ -3,11 +3,12 @@
 One global order of all shingles (rare ones by hash, then frequent ones by frequency) is cut into fragments.
 
 1. Copies: documents of one set are one class, and the smallest doc_id stands for it from here on.
-2. Prefix fragment: two similar sets share a shingle among the first n - ceil(0.75 n) + 1 of each. Frequent shingles come
-   last in the order, so common passages are seldom in a prefix. Any set of frequent shingles gives the same links; the
-   count finds the set that saves most work.
-3. Stars: every shingle's group compares all its members with its first member only. The overlap of a pair is counted
-   fragment by fragment, in separate rows, and summed per pair.
+2. Prefix fragment: two similar sets share k shingles among the first n - ceil(0.75 n) + k of each, with k a twentieth of the
+   smaller set and one more; sets that share fewer with all others together are done. Frequent shingles come last in the
+   order, so common passages are seldom in a prefix. Any set of frequent shingles gives the same links; the count finds the
+   set that saves most work.
+3. Stars: every document is compared with one first member of its shingles' groups, the one it meets most often, in two
+   rounds. The overlap of a pair is counted fragment by fragment, in separate rows, and summed per pair.
 4. Groups whose members are one component already are done. Of the others, small ones compare the pairs across components.
    Large ones (frequent shingles) are gathered to families, cut into blocks, and blocks are compared with blocks; a task
    returns a spanning forest of the links it found and never the pairs.
@@ -30,6 +31,7 @@ FREQUENT = 50  # documents of a shingle above which it goes to the end of the or
 MOST_FREQUENT = 500_000  # shingles in that list; with more of them the limit above is raised
 IDS_BROADCAST = 1_000_000
 FRAGMENTS = 4
+STAR_ROUNDS = 2
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 MIXED = -2**63  # stands for the labels of few members, which share blocks
 
@@ -150,25 +152,41 @@ class _Job:
             ordered = ordered.join(others, "doc_id", "left_anti")
         tokens = ordered.select(F.explode("prefix").alias("t"), F.col("doc_id").alias("id"), "n")
         group = Window.partitionBy("t")
-        shared = self.store(tokens.withColumn("k", F.count(F.lit(1)).over(group)).filter("k > 1"), "shared")
+        shared = self.store(self.promising(tokens), "shared")
         involved, _ = broadcast_within(self.store(shared.select("id").distinct(), "involved"), IDS_BROADCAST)
         segments = self.store(originals.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").select("id", "text").mapInArrow(_segments_task(self.words), SEGMENTS), "segments")
-
-        hubs = shared.groupBy("t").agg(F.min(F.struct("id", "n")).alias("hub"))
-        star = shared.join(hubs, "t").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hub.n").alias("na"))
-        star = star.filter((F.col("a") != F.col("b")) & self.may_be(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        star_links = self.store(self.verify(star, segments), "star")
-
-        parts = connected_components(star_links)
-        labelled = shared.join(parts, "id", "left").select("t", "id", "n", "k", F.coalesce("component", "id").alias("label"))
-        mixed = labelled.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t")
-        open_groups = self.store(labelled.join(mixed, "t"), "open")
-        light = open_groups.filter(F.col("k") <= FREQUENT)
+        links, groups = None, shared.withColumn("label", F.col("id"))
+        for k in range(STAR_ROUNDS):
+            found = self.store(self.verify(self.star(groups, k), segments), f"star{k}")
+            links = found if links is None else links.unionByName(found)
+            parts = connected_components(links)
+            labelled = shared.join(parts, "id", "left").select("t", "id", "n", "k", F.coalesce("component", "id").alias("label"))
+            mixed = labelled.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t")
+            groups = self.store(labelled.join(mixed, "t"), f"open{k}")
+        light = groups.filter(F.col("k") <= FREQUENT)
         x, y = (light.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label")]) for s in "xy")
         across = x.join(y, "t").filter((F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & self.may_be(F.col("n_x"), F.col("n_y")))
-        pair_links = self.store(self.verify(across.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct(), segments), "pairs")
-        block_links = self.store(self.families(open_groups.filter(F.col("k") > FREQUENT), segments), "blocks")
-        return thin.join(copies.select("doc_id", "class"), "doc_id", "left"), star_links.unionByName(pair_links).unionByName(block_links)
+        # A pair that shares a frequent shingle too is compared in the blocks; of others all shared ones are counted here.
+        counted = across.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.least(F.min("n_x"), F.min("n_y")).alias("least"))
+        pairs = counted.filter(F.col("c") >= 1 + F.expr("least div 20")).select("a", "b")
+        pair_links = self.store(self.verify(pairs, segments), "pairs")
+        block_links = self.store(self.families(groups.filter(F.col("k") > FREQUENT), segments), "blocks")
+        return thin.join(copies.select("doc_id", "class"), "doc_id", "left"), links.unionByName(pair_links).unionByName(block_links)
+
+    def promising(self, tokens: DataFrame) -> DataFrame:
+        """Shingles of two documents or more, of documents that share enough of them with others to be alike to one at all."""
+        size = lambda df: df.drop("k").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("k > 1")
+        once = self.store(size(tokens), "once")
+        enough = once.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).filter(F.col("c") >= 1 + F.expr(f"cast(ceil({self.percent} * n / 100.0) as bigint) div 20"))
+        return size(once.join(enough.select("id"), "id"))
+
+    def star(self, groups: DataFrame, k: int) -> DataFrame:
+        """(a, b): each document with the one among its groups' first members with which it shares most of its groups."""
+        order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
+        hubs = groups.groupBy("t").agg(F.min_by(F.struct("id", "n", "label"), order).alias("hub"))
+        near = groups.join(hubs, "t").filter((F.col("label") != F.col("hub.label")) & self.may_be(F.col("n"), F.col("hub.n")))
+        best = near.groupBy(F.col("id").alias("b"), F.col("hub.id").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", F.col("a"))).alias("m"))
+        return best.select(F.col("m.a").alias("a"), "b")
 
     def families(self, heavy: DataFrame, segments: DataFrame) -> DataFrame:
         """A spanning forest of the links across labels among members of groups of frequent shingles."""

@@ -31,6 +31,11 @@ def shingle_set(text: bytes | None, words: int = WORDS):
     return np.unique(mixed)
 
 
+def shared_at_least(n):
+    """How many shingles two alike sets share inside their prefixes at least: the smaller of this for both sizes."""
+    return 1 + n // 20
+
+
 def prefix_length(n: int, percent: int = 75) -> int:
-    """How many of n ordered shingles hold at least one in common with any set that is similar enough."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+    """How many of n ordered shingles hold `shared_at_least` in common with any set that is similar enough."""
+    return min(n, n - -(-percent * n // 100) + shared_at_least(n)) if n else 0
