@@ -107,3 +107,12 @@ def op5(spark, sf):
     from slopeworks.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op9_language_id")
+def op9(spark, sf):
+    from slopeworks.llm.language import fit_languages, held_out, predict_language
+
+    docs = table(spark, sf, "documents")
+    network = fit_languages(docs)
+    return predict_language(docs.select("doc_id", "text", held_out().alias("held_out")), network).select("doc_id", "held_out", "lang_pred", "score")
