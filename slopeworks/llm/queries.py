@@ -116,3 +116,11 @@ def op9(spark, sf):
     docs = table(spark, sf, "documents")
     network = fit_languages(docs)
     return predict_language(docs.select("doc_id", "text", held_out().alias("held_out")), network).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_html_text")
+def op6(spark, sf):
+    from slopeworks.llm.html_text import extract_text, fit_blocks
+
+    pages = table(spark, sf, "pages")
+    return extract_text(pages, fit_blocks(pages))
