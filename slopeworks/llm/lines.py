@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.llm.plans import broadcast_within
+from slopeworks.llm.plans import broadcast_within, spare_names
 from slopeworks.session import shared_folder
 
 MIN_SITES = 8
@@ -53,16 +53,15 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     shared, _ = broadcast_within(shared_lines(docs, min_sites), LINES_BROADCAST)
     hits = _lines(docs).join(shared, "line").filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    marks = hits.groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    marks = marks.withColumnRenamed("doc_id", "_doc")
-    joined = docs.drop("lines_removed").join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    gone, doc, rest = spare_names(docs, "_gone", "_doc", "_rest")
+    marks = hits.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(gone))
+    joined = docs.drop("lines_removed").join(marks, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains("_gone", F.sha2(F.trim(x), 256).substr(1, 32)))
-    names = [c for c in docs.columns if c not in ("text", "lines_removed")]
-    texts = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    out = texts.select(*names, F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
-                       F.when(F.col("_kept").isNull(), 0).otherwise(F.size(split) - F.size("_kept")).cast("long").alias("lines_removed"))
-    return out.select(*docs.drop("lines_removed").columns, "lines_removed")
+    kept = F.filter(split, lambda x: ~F.array_contains(gone, F.sha2(F.trim(x), 256).substr(1, 32)))
+    texts = joined.withColumn(rest, F.when(F.col(gone).isNotNull(), kept))
+    changed = F.col(rest).isNotNull()
+    return texts.select(*[F.when(changed, F.array_join(rest, "\n")).otherwise(F.col(c)).alias(c) if c == "text" else c for c in docs.columns if c != "lines_removed"],
+                        F.when(changed, F.size(split) - F.size(rest)).otherwise(0).cast("long").alias("lines_removed"))
 
 
 ORACLE = f"""

@@ -16,3 +16,15 @@ def broadcast_within(small: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """`small`, which must be stored or persisted, marked for broadcast if it has at most `rows` rows; and whether it has."""
     fits = small.count() <= rows
     return (F.broadcast(small) if fits else small), fits
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out

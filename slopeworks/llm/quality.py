@@ -63,44 +63,44 @@ def _without(text: Column, characters: str) -> Column:
 
 def _repeat_words() -> Column:
     """Words inside 3-word windows that occur twice or more, from `_windows` and, sorted, `_placed`."""
-    same = lambda x, j: ((j > 0) & (F.get("_placed", j - 1)["h"] == x["h"])) | F.coalesce(F.get("_placed", j + 1)["h"] == x["h"], F.lit(False))
-    at = F.sort_array(F.transform(F.filter("_placed", same), lambda x: x["p"]))
+    same = lambda x, j: ((j > 0) & (F.get("__quality_placed", j - 1)["h"] == x["h"])) | F.coalesce(F.get("__quality_placed", j + 1)["h"] == x["h"], F.lit(False))
+    at = F.sort_array(F.transform(F.filter("__quality_placed", same), lambda x: x["p"]))
     add = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
     return F.aggregate(at, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), add, lambda acc: acc["n"])
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds all measures of the rules and the counts they come from."""
-    words = F.filter(F.split(F.col("_text"), f"{BLANK}+"), lambda w: w != "")
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+    words = F.filter(F.split(F.col("__quality_text"), f"{BLANK}+"), lambda w: w != "")
+    lines = F.filter(F.split(F.col("__quality_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    window = lambda i: F.xxhash64(F.get("__quality_words", i), F.get("__quality_words", i + 1), F.get("__quality_words", i + 2))
     no_windows = F.array().cast("array<bigint>")
-    split = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumns({"_words": words, "_lines": lines})
+    split = docs.withColumn("__quality_text", F.coalesce(F.col(text), F.lit(""))).withColumns({"__quality_words": words, "__quality_lines": lines})
     counted = split.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": _without(F.col("_text"), r"[#*$%&|<>]+").cast("long"),
-        "_exclamations": _without(F.col("_text"), "!+"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_short": F.size(F.filter("_lines", lambda x: F.octet_length(x) < 20)),
-        "_ellipsis": F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))),
-        "_letters": F.size(F.filter("_words", lambda w: w.rlike(r"\p{L}"))),
-        "n_stop_words": F.size(F.array_intersect("_words", F.array(*[F.lit(v) for w in STOP_WORDS for v in (w, w.capitalize())]))).cast("long"),
-        "_windows": F.when(F.size("_words") > 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)).otherwise(no_windows),
+        "n_words": F.size("__quality_words").cast("long"),
+        "word_chars": F.char_length(F.array_join("__quality_words", "")).cast("long"),
+        "n_symbols": _without(F.col("__quality_text"), r"[#*$%&|<>]+").cast("long"),
+        "__quality_exclamations": _without(F.col("__quality_text"), "!+"),
+        "n_lines": F.size("__quality_lines").cast("long"),
+        "n_dup_lines": (F.size("__quality_lines") - F.size(F.array_distinct("__quality_lines"))).cast("long"),
+        "__quality_short": F.size(F.filter("__quality_lines", lambda x: F.octet_length(x) < 20)),
+        "__quality_ellipsis": F.size(F.filter("__quality_lines", lambda x: x.endswith("...") | x.endswith("…"))),
+        "__quality_letters": F.size(F.filter("__quality_words", lambda w: w.rlike(r"\p{L}"))),
+        "n_stop_words": F.size(F.array_intersect("__quality_words", F.array(*[F.lit(v) for w in STOP_WORDS for v in (w, w.capitalize())]))).cast("long"),
+        "__quality_windows": F.when(F.size("__quality_words") > 3, F.transform(F.sequence(F.lit(0), F.size("__quality_words") - 3), window)).otherwise(no_windows),
     })
     # Only texts with a repeated window are sorted.
-    placed = counted.withColumn("_placed", F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.sort_array(F.transform("_windows", lambda h, p: F.struct(h.alias("h"), p.alias("p"))))))
-    done = placed.withColumn("n_repeat_words", F.when(F.col("_placed").isNull(), 0).otherwise(_repeat_words()).cast("long"))
+    placed = counted.withColumn("__quality_placed", F.when(
+        F.size(F.array_distinct("__quality_windows")) < F.size("__quality_windows"),
+        F.sort_array(F.transform("__quality_windows", lambda h, p: F.struct(h.alias("h"), p.alias("p"))))))
+    done = placed.withColumn("n_repeat_words", F.when(F.col("__quality_placed").isNull(), 0).otherwise(_repeat_words()).cast("long"))
     per = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     return done.withColumns({
         "mean_word_length": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"),
-        "exclamations_per_word": per("_exclamations", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"),
-        "short_line_share": per("_short", "n_lines"), "ellipsis_line_share": per("_ellipsis", "n_lines"),
-        "letter_word_share": fenced(per("_letters", "n_words")), "repeat_word_share": per("n_repeat_words", "n_words"),
-    }).drop("_text", "_words", "_lines", "_windows", "_placed", "_exclamations", "_short", "_ellipsis", "_letters")
+        "exclamations_per_word": per("__quality_exclamations", "n_words"), "dup_line_share": per("n_dup_lines", "n_lines"),
+        "short_line_share": per("__quality_short", "n_lines"), "ellipsis_line_share": per("__quality_ellipsis", "n_lines"),
+        "letter_word_share": fenced(per("__quality_letters", "n_words")), "repeat_word_share": per("n_repeat_words", "n_words"),
+    }).drop("__quality_text", "__quality_words", "__quality_lines", "__quality_windows", "__quality_placed", "__quality_exclamations", "__quality_short", "__quality_ellipsis", "__quality_letters")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

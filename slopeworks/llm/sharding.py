@@ -12,6 +12,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopeworks.llm.plans import broadcast_within, spare_names
+
 ROUNDS = 6
 WALK = 64  # steps outside [0, n) that a row may take; each is outside with a chance below 1 / sqrt(n)
 SEED = 20_240_611
@@ -49,13 +51,12 @@ def numbered(table: DataFrame, name: str = "row_number") -> DataFrame:
 
     They depend on the stored table alone, not on how Spark splits it, and no rows move. The window sees one row for each file.
     """
-    parts = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = table.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")).persist()
-    small = firsts.count() <= FILES_BROADCAST
-    joined = parts.join(F.broadcast(firsts) if small else firsts, "_file")
-    return joined.withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
+    file, row, first = spare_names(table, "_file", "_row", "_first")
+    parts = table.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    counts = table.select(F.col("_metadata.file_path").alias(file)).groupBy(file).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    firsts, _ = broadcast_within(counts.select(file, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first)).persist(), FILES_BROADCAST)
+    return parts.join(firsts, file).withColumn(name, F.col(first) + F.col(row)).drop(file, row, first)
 
 
 def shard_rows(table: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
@@ -65,9 +66,9 @@ def shard_rows(table: DataFrame, shards: int = 16, seed: int = SEED) -> DataFram
     of the input are replaced.
     """
     n = table.count()
-    rows = numbered(table.drop("shard", "slot"), "_number")
-    place = feistel(F.col("_number"), max(n, 1), seed)
-    return rows.withColumn("_place", place).withColumn("shard", (F.col("_place") % shards).cast("int")).withColumn("slot", F.call_function("div", F.col("_place"), F.lit(shards))).drop("_number", "_place")
+    number, place = spare_names(table, "_number", "_place")
+    rows = numbered(table.drop("shard", "slot"), number).withColumn(place, feistel(F.col(number), max(n, 1), seed))
+    return rows.withColumns({"shard": (F.col(place) % shards).cast("int"), "slot": F.call_function("div", F.col(place), F.lit(shards))}).drop(number, place)
 
 
 def row_of(shard: int, slot: int, n: int, shards: int = 16) -> int:
