@@ -21,7 +21,8 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def positive(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(F.col(column) > 0)
+    """Rows with a target above zero; NaN is not (Spark orders it above all numbers)."""
+    return df.filter((F.col(column) > 0) & ~F.isnan(F.col(column).cast("double")))
 
 
 def below_quantile(df: DataFrame, column: str, p: float = 0.995, **quantile_options) -> DataFrame:
@@ -122,8 +123,9 @@ def finite_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
     The verdict is an aggregate per group; the groups that fail are anti-joined away.
     """
     ok = reduce(lambda a, b: a & b, [F.coalesce(is_finite(F.col(c).cast("double")), F.lit(False)) for c in columns])
-    bad = df.filter(~ok).select(*keys).distinct()
-    return df.join(bad, list(keys), "left_anti")
+    bad = df.filter(~ok).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(bad, same, "left_anti")
 
 
 def change_summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeworks.functions import constants as K
@@ -14,7 +14,6 @@ from slopeworks.operators.joins import lookup_join
 from slopeworks.operators.profile import categorical_summary, string_columns
 
 MAX_LEVELS = 10_000
-LITERAL_LEVELS = 64
 
 
 def target_means(df: DataFrame, key: str, target: str) -> DataFrame:
@@ -54,17 +53,36 @@ def label_code(column: str, levels: Sequence[str]) -> Column:
 
 
 def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """Code column from the levels of the frame itself; many levels go through a broadcast lookup, not a literal map."""
-    name, levels = name or f"{column}_label_encoded", levels_of(df, column)
-    if len(levels) <= LITERAL_LEVELS:
-        return df.withColumn(name, label_code(column, levels))
-    codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(levels)], f"__level string, {name} int")
-    return df.join(F.broadcast(codes), F.col(column).cast("string") == F.col("__level"), "left").drop("__level")
+    """Code column from the levels of the frame itself, of any number; the levels are numbered and looked up as a table."""
+    name = name or f"{column}_label_encoded"
+    level = F.col(column).cast("string").alias("__level")
+    counts = df.select(level).filter(F.col("__level").isNotNull()).groupBy("__level").agg(F.count("*").alias("__n"))
+    codes = ordered_codes(counts, "__level", name)
+    return lookup_join(df.withColumn("__level", level), codes, ["__level"], "left", weight="__n").drop("__level", "__n")
+
+
+def ordered_codes(levels: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the place of each row in the order of a column of distinct values, from range partitions and their sizes."""
+    parts = int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = levels.repartitionByRange(parts, column).withColumn("__b", F.spark_partition_id()).persist()
+    sizes = placed.groupBy("__b").agg(F.count("*").alias("__m"))
+    offsets = sizes.select("__b", (F.sum("__m").over(Window.orderBy("__b")) - F.col("__m")).alias("__o"))  # one row for each partition
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
+    numbered = placed.withColumn("__r", inside).join(F.broadcast(offsets), "__b")
+    return numbered.withColumn(name, (F.col("__r") + F.col("__o")).cast("int")).drop("__b", "__r", "__o")
 
 
 def one_hot_columns(column: str, levels: Sequence[str]) -> dict[str, Column]:
     """One 0/1 column per level but the first; a null row is all zero."""
-    return {f"{column}_{normal_name(v)}": F.coalesce((F.col(column).cast("string") == v).cast("int"), F.lit(0)) for v in levels[1:]}
+    out: dict[str, Column] = {}
+    for v in levels[1:]:
+        name = base = f"{column}_{normal_name(v)}"
+        k = 1
+        while name in out:  # levels whose names are alike once tidied
+            k += 1
+            name = f"{base}_{k}"
+        out[name] = F.coalesce((F.col(column).cast("string") == v).cast("int"), F.lit(0))
+    return out
 
 
 def one_hot(df: DataFrame, column: str) -> DataFrame:

@@ -82,6 +82,8 @@ def gram_stats(df: DataFrame, features: Sequence[str], label: str, group_cols: S
     """One row (group..., zz) per group; zz is Z'Z of [features, 1, label], row-major."""
     features, groups = list(features), list(group_cols)
     d = len(features) + 2
+    if weight:  # a row of unknown weight is left out, at any width
+        df = df.filter(F.col(weight).isNotNull())
     if len(features) <= wide_features:
         z = [*[F.col(c) for c in features], F.lit(1.0), F.col(label)]
         w = F.col(weight) if weight else F.lit(1.0)

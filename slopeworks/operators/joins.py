@@ -13,8 +13,8 @@ SALTS = 64
 
 
 def within(df: DataFrame, rows: int) -> bool:
-    """Whether a frame has at most `rows` rows; stops counting just beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a frame, which should be persisted or a scan, has at most `rows` rows."""
+    return df.count() <= rows
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",

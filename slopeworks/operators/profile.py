@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slopeworks.functions.numeric import normal_quantiles, percent, right_closed_bin, sample_kurtosis, sample_skewness
+from slopeworks.functions.numeric import is_finite, normal_quantiles, percent, right_closed_bin, sample_kurtosis, sample_skewness
 from slopeworks.operators.quantiles import exact_quantiles, quantile_values
 
 CORR_IN_ONE_AGGREGATE = 16  # columns; more go through the block statistic in `gram`
@@ -87,6 +87,19 @@ def missing_report(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("missing_count"), "column"))
 
 
+def _number(column: str) -> Column:
+    """As a double, with NaN as null: unknown values count alike however they were stored."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """r over the rows where both are known; null where one of them does not vary there."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
+    return F.when(F.min(a) < F.max(a), F.when(F.min(b) < F.max(b), F.try_divide(F.covar_pop(a, b), spread)))
+
+
 def missing_tiers(df: DataFrame) -> DataFrame:
     """Number of columns per severity tier (D3)."""
     return missing_report(df).groupBy("tier").agg(F.count("*").alias("n_columns"))
@@ -94,7 +107,7 @@ def missing_tiers(df: DataFrame) -> DataFrame:
 
 def target_statistics(df: DataFrame, target: str, **quantile_options) -> DataFrame:
     """Moments, quartiles and IQR outliers of a positive target."""
-    kept = df.filter(F.col(target) > 0).select(F.col(target).cast("double").alias(target))
+    kept = df.select(_number(target).alias(target)).filter(F.col(target) > 0)
     wanted = {"q1": (target, 0.25), "median": (target, 0.5), "q3": (target, 0.75)}
     q = quantile_values(kept, wanted, **quantile_options)
     if q["median"] is None:
@@ -112,7 +125,7 @@ def target_statistics(df: DataFrame, target: str, **quantile_options) -> DataFra
 def histogram(df: DataFrame, column: str, bins: int = 50, transform=None) -> DataFrame:
     """Equal-width bins between minimum and maximum, the last one closed; empty bins are kept."""
     c = F.col(column).cast("double")
-    x = df.select((transform(c) if transform else c).alias("x")).filter(F.col("x").isNotNull())
+    x = df.select((transform(c) if transform else c).alias("x")).filter(is_finite(F.col("x")))
     bounds = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     if bounds["lo"] is None:
         return df.sparkSession.range(0).select(F.lit(0).alias("bin"), F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper"),
@@ -144,7 +157,7 @@ def normal_qq(df: DataFrame, column: str, points: int = 20, **quantile_options)
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, **quantile_options) -> DataFrame:
     """Describe plus missing, zero and distinct counts per numeric column."""
     columns = list(columns or numeric_columns(df))
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    x = df.select(*[_number(c).alias(c) for c in columns])
     aggs = []
     for c in columns:
         v = F.col(c)
@@ -168,13 +181,13 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, **quant
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every pair of columns over the rows where both are known."""
     columns = list(columns or numeric_columns(df))
+    x = df.select(*[_number(c).alias(c) for c in columns])
     if len(columns) > CORR_IN_ONE_AGGREGATE:
         from slopeworks.operators.gram import pairwise_correlations
 
-        return pairwise_correlations(df, columns)
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        return pairwise_correlations(x, columns)
     pairs = list(combinations(range(len(columns)), 2))
-    row = x.agg(*[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
+    row = x.agg(*[pearson(F.col(columns[i]), F.col(columns[j])).alias(f"r_{i}_{j}") for i, j in pairs])
     cells = [F.struct(F.lit(columns[i]).alias("column_1"), F.lit(columns[j]).alias("column_2"), F.col(f"r_{i}_{j}").alias("r"))
              for i, j in pairs]
     return row.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
@@ -183,7 +196,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """r of each column with the target, strongest first."""
     columns = [c for c in (columns or numeric_columns(df)) if c != target]
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r__{c}") for c in columns])
+    row = df.agg(*[pearson(_number(c), _number(target)).alias(f"r__{c}") for c in columns])
     return (_long(row, columns, {"r": "double"}).filter(F.col("r").isNotNull()).withColumn("abs_r", F.abs("r"))
             .orderBy(F.desc("abs_r"), "column"))
 

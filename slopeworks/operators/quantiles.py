@@ -78,7 +78,7 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], few_rows:
                 lo = first[f"lo_{c}"] if around(p)[0] == 0.0 else lo
                 hi = first[f"hi_{c}"] if around(p)[1] == 1.0 else hi
                 targets.append({"c": c, "p": p, "n": n, "pos": p * (n - 1), "lo": lo, "hi": hi,
-                                "all": (first[f"lo_{c}"], first[f"hi_{c}"])})
+                                "outer": (first[f"lo_{c}"], first[f"hi_{c}"])})
         open_targets = list(targets)
         while open_targets:
             counts = x.agg(*[a for i, t in enumerate(open_targets) for a in (
@@ -88,10 +88,12 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], few_rows:
             for i, t in enumerate(open_targets):
                 t["below"], t["inside"] = counts[f"b{i}"], counts[f"i{i}"]
                 if not (t["below"] <= math.floor(t["pos"]) and math.ceil(t["pos"]) < t["below"] + t["inside"]):
-                    t["lo"], t["hi"] = t["all"]
-                    t["misses"] = t.get("misses", 0) + 1
+                    # The rank is on the missed side, inside the last bracket that held it.
+                    low, high = t["outer"]
+                    t["lo"], t["hi"] = (low, t["lo"]) if math.floor(t["pos"]) < t["below"] else (t["hi"], high)
                     missed.append(t)
-                elif counts[f"m{i}"] > few_rows and t.get("misses", 0) < 2 and t.get("tried") != (t["lo"], t["hi"]):
+                elif counts[f"m{i}"] > few_rows and t.get("tried") != (t["lo"], t["hi"]):
+                    t["outer"] = (t["lo"], t["hi"])
                     # Copies of the end values count once in the map of `percentile`, so only the rows between matter.
                     t["tried"] = (t["lo"], t["hi"])
                     wide.append(t)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +62,23 @@ def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def _chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
-    """Adds the exact rank of a row in its group (`__rank`) and a chunk number of `chunk_rows` rows (`__chunk`)."""
-    spans = df.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.count("*").alias("__n"))
-    cut = lookup_join(df, spans, keys, "inner", weight="__n").withColumn(
-        "__b", F.floor((F.col(order) - F.col("__lo")) * F.ceil(F.col("__n") / chunk_rows)
-                       / (F.col("__hi") - F.col("__lo") + 1)).cast("long")).drop("__lo", "__hi")
-    sizes = cut.groupBy(*keys, "__b").agg(F.count("*").alias("__m"))
-    before = F.sum("__m").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__m")
+def _chunked(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Adds the group as text (`__g`, nulls are a value), the exact rank of a row in it (`__rank`) and a chunk of `chunk_rows` rows.
+
+    Ranks come from range partitions of (group, order), so neither a hot group nor an outlying order value fills one task.
+    Null orders come first. The second value releases what is kept.
+    """
+    spark = df.sparkSession
+    group = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // chunk_rows))
+    cut = df.withColumn("__g", group).repartitionByRange(parts, "__g", order).withColumn("__b", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = cut.groupBy("__g", "__b").agg(F.count("*").alias("__m"))
+    before = F.sum("__m").over(Window.partitionBy("__g").orderBy("__b")) - F.col("__m")
     offsets = sizes.withColumn("__o", before)
-    local = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(order)) - 1
-    ranked = lookup_join(cut.withColumn("__r", local), offsets, [*keys, "__b"], "inner", weight="__m")
-    ranked = ranked.withColumn("__rank", F.col("__r") + F.col("__o")).drop("__b", "__m", "__o", "__r", "__n")
-    return ranked.withColumn("__chunk", F.floor(F.col("__rank") / chunk_rows).cast("long"))
+    local = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(order)) - 1
+    ranked = lookup_join(cut.withColumn("__r", local), offsets, ["__g", "__b"], "inner", weight="__m")
+    ranked = ranked.withColumn("__rank", F.col("__r") + F.col("__o")).drop("__b", "__m", "__o", "__r")
+    return ranked.withColumn("__chunk", F.floor(F.col("__rank") / chunk_rows).cast("long")), cut.unpersist
 
 
 def with_lags(df: DataFrame, keys: Sequence[str], order: str, lags: dict[str, tuple[str, int]],
@@ -91,12 +96,13 @@ def with_lags(df: DataFrame, keys: Sequence[str], order: str, lags: dict[str, tu
     reach = max(k for _, k in lags.values())
     if reach > chunk_rows:
         raise ValueError("chunk_rows must be at least the largest lag")
-    ranked = _chunked(df, keys, order, chunk_rows).withColumn("__halo", F.lit(False))
+    ranked, _ = _chunked(df, keys, order, chunk_rows)
+    ranked = ranked.withColumn("__halo", F.lit(False))
     tail = ranked.filter(F.col("__rank") % chunk_rows >= chunk_rows - reach)
     both = ranked.unionByName(tail.withColumns({"__chunk": F.col("__chunk") + 1, "__halo": F.lit(True)}))
-    w = Window.partitionBy(*keys, "__chunk").orderBy("__rank")
+    w = Window.partitionBy("__g", "__chunk").orderBy("__rank")
     out = both.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in lags.items()})
-    return out.filter(~F.col("__halo")).drop("__halo", "__chunk", "__rank")
+    return out.filter(~F.col("__halo")).drop("__halo", "__chunk", "__rank", "__g")
 
 
 def with_running_min(df: DataFrame, keys: Sequence[str], order: str, column: str, name: str = "running_min",
@@ -109,15 +115,15 @@ def with_running_min(df: DataFrame, keys: Sequence[str], order: str, column: str
         if previous:
             out = out.withColumn(previous, F.min(column).over(w.rowsBetween(Window.unboundedPreceding, -1)))
         return out
-    ranked = _chunked(df, keys, order, chunk_rows)
-    mins = ranked.groupBy(*keys, "__chunk").agg(F.min(column).alias("__m"), F.count("*").alias("__n"))
-    over_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = mins.select(*keys, "__chunk", "__n", F.min("__m").over(over_chunks).alias("__before"))
-    joined = lookup_join(ranked, carried, [*keys, "__chunk"], "inner", weight="__n")
-    w = Window.partitionBy(*keys, "__chunk").orderBy("__rank")
+    ranked, _ = _chunked(df, keys, order, chunk_rows)
+    mins = ranked.groupBy("__g", "__chunk").agg(F.min(column).alias("__m"), F.count("*").alias("__n"))
+    over_chunks = Window.partitionBy("__g").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = mins.select("__g", "__chunk", "__n", F.min("__m").over(over_chunks).alias("__before"))
+    joined = lookup_join(ranked, carried, ["__g", "__chunk"], "inner", weight="__n")
+    w = Window.partitionBy("__g", "__chunk").orderBy("__rank")
     here = F.min(column).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = joined.withColumn(name, F.least(F.col("__before"), here))
     if previous:
         before = F.min(column).over(w.rowsBetween(Window.unboundedPreceding, -1))
         out = out.withColumn(previous, F.least(F.col("__before"), before))
-    return out.drop("__chunk", "__rank", "__n", "__before")
+    return out.drop("__chunk", "__rank", "__n", "__before", "__g")

@@ -39,7 +39,7 @@ def group_anova(df: DataFrame, key: str, target: str) -> DataFrame:
     grand = per.agg((F.sum(n * m) / F.sum("n")).alias("g")).scalar()
     sums = per.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(n * F.pow(m - grand, F.lit(2.0))).alias("between"),
                    F.sum((n - 1) * F.coalesce("variance", F.lit(0.0))).alias("within"))
-    f = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))
+    f = F.try_divide(F.col("between") / (F.col("k") - 1), F.try_divide("within", F.col("n") - F.col("k")))
     return sums.select("k", "n", F.when(F.col("k") > 1, f).alias("f_value"),
                        F.try_divide(F.col("between"), F.col("between") + F.col("within")).alias("eta_squared"))
 
@@ -52,10 +52,10 @@ def group_variation(df: DataFrame, key: str, target: str) -> DataFrame:
 
 
 def retention(df: DataFrame, key: str, age: str, target: str) -> DataFrame:
-    """Mean target by age as a percent of the same group's mean at age 0 (P5)."""
+    """Mean target by age as a percent of the same group's mean at age 0 (P5); null for groups without rows of that age."""
     means = df.groupBy(key, F.col(age).cast("int").alias("age")).agg(F.avg(target).alias("mean_target"), F.count("*").alias("n"))
-    new = means.filter(F.col("age") == 0).select(key, F.col("mean_target").alias("new_mean"))
-    return means.join(new, key).withColumn("retention_pct", F.try_divide(F.col("mean_target") * 100.0, F.col("new_mean")))
+    new = means.filter(F.col("age") == 0).select(F.col(key).alias("__key"), F.col("mean_target").alias("new_mean"))
+    return means.join(new, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key").withColumn("retention_pct", F.try_divide(F.col("mean_target") * 100.0, F.col("new_mean")))
 
 
 def retention_extremes(df: DataFrame, key: str, age: str, target: str, at_age: int = 5, n: int = 5, slowest: bool = True) -> DataFrame:

@@ -85,10 +85,17 @@ def fit_by_passes(df: DataFrame, features: Sequence[str], label: str, loss: str
             d = d if g @ d < 0 else -g
             first = learning_rate if method == "gd" or pairs else min(1.0, learning_rate / max(gnorm, 1e-12))
             steps = [first * 0.5 ** i for i in range(TRIALS)] if method == "lbfgs" else [first]
-            losses, grads = full([w + a * d for a in steps])
-            passes += 1
-            fits = [i for i, a in enumerate(steps) if losses[i] <= value + c1 * a * (g @ d)] if method == "lbfgs" else [0]
-            i = fits[0] if fits else len(steps) - 1
+            while True:  # halves on, a few trials in each pass, until a step descends enough or is lost in rounding
+                losses, grads = full([w + a * d for a in steps])
+                passes += 1
+                fits = [i for i, a in enumerate(steps) if losses[i] <= value + c1 * a * (g @ d)] if method == "lbfgs" else [0]
+                if fits or steps[-1] * float(np.abs(d).max()) < 1e-16 * max(1.0, float(np.abs(w).max())):
+                    break
+                steps = [a * 0.5 ** TRIALS for a in steps]
+            if not fits:
+                converged, reason = False, "no step descends"
+                break
+            i = fits[0]
             step, new = steps[i], w + steps[i] * d
             sv, y = new - w, grads[i] - g
             if sv @ y > 1e-14:

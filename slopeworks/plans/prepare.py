@@ -39,10 +39,12 @@ class Prepared:
 
 def prepare_listings(raw: DataFrame, as_of: int, target: str = "price", test_size: float = 0.2, seed: int = 42,
                      scaler: str = "standard", max_categories: int = 50, group_cols: Sequence[str] = ("make_name", "model_name")) -> Prepared:
-    """Model matrix from raw listings. `row_id` is a hash of the row, so it does not depend on file or task order."""
+    """Model matrix from raw listings. `row_id` is a 128-bit hash of the row, so it does not depend on file or task order."""
     chosen = listing_projection(raw)
-    cleaned = clean_text_columns(clean_listings(chosen, as_of, target))
-    cleaned = cleaned.withColumn("row_id", F.xxhash64(*cleaned.columns))
+    distinct = clean_listings(chosen, as_of, target)
+    # Of the values before cleaning: rows that differ only by case or blanks keep ids of their own.
+    identity = F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in distinct.columns]), {"ignoreNullFields": "false"}))
+    cleaned = clean_text_columns(distinct.withColumn("row_id", identity))
     parsed = parse_units(cleaned).drop("power", "torque")
     # Several fits read these rows; kept on disk and memory of the executors, recomputed if one is lost.
     parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)

@@ -4,9 +4,9 @@
 Row chunks turn into one composed map each, in parallel; maps are then multiplied in order, level by level, so an
 epoch over any number of rows ends in one small matrix. The result is that of the sequential algorithm.
 
-`sequential`: step rules that are not affine (unit-length steps, L1 signs) run in order in one task, up to a checked
-number of rows. Beyond it use `averaged`: every partition runs SGD on its own rows from the same start, and the
-row-weighted mean starts the next epoch. Averaged weights are not those of the sequential algorithm.
+`averaged`: for step rules that are not affine (unit-length steps, L1 signs). Blocks of rows, fixed by the hash of the
+key, run SGD on their own rows from the same start, and the row-weighted mean starts the next epoch. Averaged weights are
+not those of one sequential run, unless there is one block.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ from slopeworks.plans.steps import stop_reason
 
 CHUNK_ROWS = 50_000
 FAN_IN = 128
-SEQUENTIAL_ROWS = 2_000_000
+BLOCK_ROWS = 50_000  # rows that one task trains on before weights are averaged
 
 
 @dataclass(frozen=True)
@@ -69,17 +68,24 @@ def epoch_rate(s: SgdSetup, epoch: int) -> float:
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) count from a uniform number: the bootstrap weight of a row."""
     cumulative, term, out = 0.0, math.exp(-1.0), None
-    for k in range(12):
+    for k in range(20):  # the rest is below the precision of a double
         cumulative += term
         out = F.when(u < cumulative, F.lit(float(k))) if out is None else out.when(u < cumulative, F.lit(float(k)))
         term /= k + 1
-    return out.otherwise(F.lit(12.0))
+    return out.otherwise(F.lit(20.0))
+
+
+def _hash_of(key: str, seed: int, hashed, epoch: int) -> Column:
+    """The place of a row in the order of an epoch; `hashed` may be a column (one order for all) or a function of the epoch."""
+    if hashed is None:
+        return key_hash(key, seed)
+    return hashed if isinstance(hashed, Column) else hashed(epoch)
 
 
 def _ordered(df: DataFrame, key: str, s: SgdSetup, epoch: int, n: int, hashed: Column | None) -> DataFrame:
     """Rows with their batch, place in the shuffled order of the epoch, and weight."""
     seed = s.seed + (epoch if s.order != "once" else 0)
-    ranked = hash_row_number(df, key, key_hash(key, seed) if hashed is None else hashed, "__rank", n)
+    ranked = hash_row_number(df, key, _hash_of(key, seed, hashed, epoch if s.order != "once" else 0), "__rank", n)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("bootstrap")), F.lit(HASH_SPACE)) / F.lit(float(HASH_SPACE))
     weight = poisson_weight(u) if s.order == "bootstrap" else F.lit(1.0)
     return ranked.withColumns({"__w": weight, "__batch": F.floor(F.col("__rank") / s.batch_size).cast("long")})
@@ -136,8 +142,19 @@ def epoch_maps(df: DataFrame, features: Sequence[str], label: str, key: str, s:
             total = np.asarray(m).reshape(width, width) @ total
         return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "i": [int(pdf["i"].iloc[0])], "m": [total.ravel().tolist()]})
 
+    def from_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for chunk, zz in zip(pdf["__batch"], pdf["zz"]):
+                m = np.asarray(zz, dtype=float).reshape(len(features) + 2, -1)
+                if m[-2, -2] > 0:
+                    h, b = m[:-1, :-1] / m[-2, -2], m[:-1, -1] / m[-2, -2]
+                    yield pd.DataFrame({"chunk": chunk, "i": range(len(rates)), "m": [_batch_map(h, b, lr, mu, lam).ravel().tolist() for lr in rates]})
+
     schema = "chunk long, i int, m array<double>"
-    maps = rows.groupBy("chunk").applyInPandas(compose_rows, schema)
+    if s.batch_size > chunk_rows:  # a batch is more than a task should hold: its sums come from partial aggregates
+        maps = gram_stats(rows, features, label, ["__batch"], "__w").mapInPandas(from_sums, schema)
+    else:
+        maps = rows.groupBy("chunk").applyInPandas(compose_rows, schema)
     chunks = math.ceil(math.ceil(n / s.batch_size) / per_chunk)
     while chunks > 1:
         above = maps.select(F.col("chunk").alias("below"), F.floor(F.col("chunk") / fan_in).cast("long").alias("chunk"), "i", "m")
@@ -161,18 +178,16 @@ def _finish(spark, s: SgdSetup, mode: str, w, best, history, converged, reason)
 
 
 def fit_sgd(df: DataFrame, features: Sequence[str], label: str, key: str, s: SgdSetup, mode: str = "exact",
-            hashed: Column | None = None, chunk_rows: int = CHUNK_ROWS, sequential_rows: int = SEQUENTIAL_ROWS) -> tuple[DataFrame, DataFrame]:
+            hashed: Column | None = None, chunk_rows: int = CHUNK_ROWS, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(model row, history rows). Losses after each epoch come from the statistic of the whole table, not from a pass."""
     features = list(features)
     affine = s.loss in ("ols", "ridge") and not s.step_length
     if mode == "exact" and not affine:
-        raise ValueError("exact mode needs OLS or ridge without unit-length steps; use sequential or averaged")
+        raise ValueError("exact mode needs OLS or ridge without unit-length steps; use averaged")
     table = df.select(key, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         zz = _stats(table, features, label)
         n = int(zz[-2, -2])
-        if mode == "sequential" and n > sequential_rows:
-            raise ValueError(f"{n} rows are too many for one task (limit {sequential_rows}); use mode='averaged'")
         q = Quadratic(zz, "l1" if s.loss == "l1" else s.loss, s.regularization)
         p = len(q.b)
         w, v = np.zeros(p), np.zeros(p)
@@ -190,10 +205,8 @@ def fit_sgd(df: DataFrame, features: Sequence[str], label: str, key: str, s: Sgd
                 state = np.concatenate([w, v, [1.0]] if s.momentum else [w, [1.0]])
                 state = np.asarray(maps[lr]).reshape(len(state), -1) @ state
                 w, v = state[:p], state[p:2 * p] if s.momentum else v
-            elif mode == "sequential":
-                w, v = _sequential_epoch(_ordered(table, key, s, epoch, n, hashed), features, label, s, lr, w, v)
             elif mode == "averaged":
-                w, v = _averaged_epoch(table, features, label, s, epoch, lr, w, v)
+                w, v = _averaged_epoch(table, features, label, key, s, epoch, lr, w, v, n, hashed, blocks)
             else:
                 raise ValueError(f"unknown mode {mode!r}")
             loss, gnorm = q.value(w), float(np.linalg.norm(q.gradient(w)))
@@ -227,38 +240,35 @@ def _gradient(h, b, w, s: SgdSetup):
     return g
 
 
-def _sequential_epoch(ordered: DataFrame, features, label, s: SgdSetup, lr, w, v):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, m = w.copy(), v.copy()
-        for h, b in _batches(pdf, features, label):
-            a, m = _apply(a, m, _gradient(h, b, a, s), s, lr)
-        return pd.DataFrame({"w": [a.tolist()], "v": [m.tolist()]})
-
-    row = ordered.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, "w array<double>, v array<double>").first()  # row count is checked
-    return np.array(row["w"]), np.array(row["v"])
-
+def _averaged_epoch(table: DataFrame, features, label, key: str, s: SgdSetup, epoch: int, lr, w, v, n: int, hashed=None, blocks: int | None = None):
+    """Every block of rows runs the epoch on its own and the weights are averaged by rows.
 
-def _averaged_epoch(table: DataFrame, features, label, s: SgdSetup, epoch: int, lr, w, v):
+    A key's block, its place in the order and its bootstrap weight come from hashes of the key, so that the result does not
+    depend on partitions or batches of the transport.
+    """
     names = [*features, label]
+    seed = s.seed + (epoch if s.order != "once" else 0)
+    blocks = blocks or max(1, -(-n // BLOCK_ROWS))
+    place = _hash_of(key, seed, hashed, epoch if s.order != "once" else 0)
+    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("bootstrap")), F.lit(HASH_SPACE)) / F.lit(float(HASH_SPACE))
+    rows = table.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(key).alias("__key"), place.alias("__h"),
+                        (poisson_weight(u) if s.order == "bootstrap" else F.lit(1.0)).alias("__w"),
+                        F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(blocks)).alias("__block"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([s.seed, epoch if s.order != "once" else 0, TaskContext.get().partitionId()])
-        a, m, n = w.copy(), v.copy(), 0
-        for batch in batches:
-            z = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            picks = rng.integers(len(z), size=len(z)) if s.order == "bootstrap" else rng.permutation(len(z))
-            x, y = np.hstack([z[picks, :-1], np.ones((len(z), 1))]), z[picks, -1]
-            for i in range(0, len(z), s.batch_size):
-                xs, ys = x[i:i + s.batch_size], y[i:i + s.batch_size]
-                g = xs.T @ (xs @ a - ys) / len(ys)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__h", "__key"])
+        a, m = w.copy(), v.copy()
+        x, y = np.hstack([pdf[features].to_numpy(float), np.ones((len(pdf), 1))]), pdf[label].to_numpy(float)
+        weight = pdf["__w"].to_numpy(float)
+        for i in range(0, len(pdf), s.batch_size):
+            xs, ys, ws = x[i:i + s.batch_size], y[i:i + s.batch_size], weight[i:i + s.batch_size]
+            if ws.sum() > 0:
+                g = xs.T @ (ws * (xs @ a - ys)) / ws.sum()
                 g[:-1] += penalty_gradient(a[:-1], s.loss, s.regularization)
                 a, m = _apply(a, m, g, s, lr)
-            n += len(z)
-        if n:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n], "int64"), "s": pa.array([(np.concatenate([a, m]) * n).tolist()], pa.list_(pa.float64()))})
+        return pd.DataFrame({"n": [len(pdf)], "s": [(np.concatenate([a, m]) * len(pdf)).tolist()]})
 
-    cols = [F.col(c).cast("double").alias(c) for c in names]
-    parts = table.select(*cols).mapInArrow(run, "n long, s array<double>")
+    parts = rows.groupBy("__block").applyInPandas(run, "n long, s array<double>")
     p = len(w)
     row = parts.agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(2 * p)]).first()
     mean = np.array([row[f"s{j}"] for j in range(2 * p)]) / row["n"]

@@ -48,7 +48,7 @@ def line_search(q: Quadratic, w, g, d, start: float, c1: float, rho: float, c2:
             if c2 is None or abs(q.gradient(w + step * d) @ d) <= c2 * abs(slope):
                 return step, trial
         step *= rho
-    return (armijo if armijo is not None else step), MAX_TRIALS
+    return (armijo if armijo is not None else 0.0), MAX_TRIALS  # no step descends: stay
 
 
 def _soft(w: np.ndarray, by: float) -> np.ndarray:
@@ -232,6 +232,11 @@ def stop_reason(gnorm: float, loss: float, change: float | None, t: int, toleran
     return (True, False, "iteration limit") if t >= max_iter else (False, False, "")
 
 
+# Second-order methods reach the accuracy of the arithmetic in few steps; beyond it they would repeat one point.
+STALLING = frozenset(("newton", "damped_newton", "bfgs", "lbfgs", "sr1", "cg", "newton_cg"))
+STILL_CHECKS = 5
+
+
 def minimise(zz: np.ndarray, s: dict) -> dict:
     """Runs one setup. Loss and gradient norm of a history record belong to the same weights."""
     q = Quadratic(zz, s["loss"] if s["method"] != "prox" else "l1", s["regularization"], s["l1_ratio"])
@@ -239,7 +244,7 @@ def minimise(zz: np.ndarray, s: dict) -> dict:
     by_loss = s["method"] == "subgradient"
     w = np.zeros(len(q.b))
     history, best, last_loss, update = [], None, None, make_update(q, s, spent)
-    step, t = 0.0, 0
+    step, t, still, least = 0.0, 0, 0, np.inf
     with np.errstate(all="ignore"):
         while True:
             g = q.gradient(w)
@@ -259,6 +264,11 @@ def minimise(zz: np.ndarray, s: dict) -> dict:
                 stopped, converged, reason = stop_reason(gnorm, loss, change, t, s["tolerance"], s["max_iter"], w)
                 if by_loss and not stopped and better and before is not None and abs(before[1] - loss) < s["tolerance"]:
                     stopped, converged, reason = True, True, "minimum loss stopped changing"
+                # Rounding: the loss stands still and the gradient norm has stopped falling.
+                still = still + 1 if change is not None and abs(change) <= 1e-15 * max(1.0, abs(loss)) and gnorm > 0.5 * least else 0
+                least = min(least, gnorm)
+                if not stopped and s["method"] in STALLING and still >= STILL_CHECKS:
+                    stopped, converged, reason = True, False, "no further progress"
                 if stopped:
                     break
                 last_loss = loss
@@ -270,7 +280,8 @@ def minimise(zz: np.ndarray, s: dict) -> dict:
             t += 1
     best = best or (t, loss, gnorm, w)
     n, p = q.n, len(w)
-    ops = spent["loss"] * (n * p + n) + spent["gradient"] * 2 * n * p + t * 2 * p  # as if every evaluation read the table
+    # Multiplications that were done: the statistic of the table once, then work on the p x p matrix.
+    ops = n * (p + 1) ** 2 + (spent["loss"] + spent["gradient"]) * p * p + spent["hessian"] * p ** 3 + t * 2 * p
     return {
         "stopped": True, "converged": converged, "reason": reason, "final_iteration": t, "final_loss": loss,
         "final_gradient_norm": gnorm, "best_iteration": best[0], "best_loss": best[1], "best_gradient_norm": best[2],

@@ -29,12 +29,18 @@ SETUP_FIELDS = [f.name for f in fields(Setup)]
 
 
 def pair_with_setups(stats: DataFrame, setups: DataFrame | Sequence[Setup]) -> DataFrame:
-    """Each statistic row next to each setup: the bounded setup list is one scalar array that every row explodes."""
+    """Each statistic row next to each setup: a bounded list of setups is one scalar array that every row explodes."""
     frame = setups if isinstance(setups, DataFrame) else setups_frame(stats.sparkSession, setups)
-    if frame.limit(MAX_SETUPS + 1).count() > MAX_SETUPS:
-        raise ValueError(f"more than {MAX_SETUPS} setups in one sweep")
-    packed = frame.agg(F.collect_list(F.struct(*SETUP_FIELDS)).alias("all")).scalar()
-    return stats.withColumn("s", F.explode(packed)).select(*stats.columns, "s.*")
+    count = frame.count()
+    if count <= MAX_SETUPS:
+        packed = frame.agg(F.collect_list(F.struct(*SETUP_FIELDS)).alias("all")).scalar()
+        return stats.withColumn("s", F.explode(packed)).select(*stats.columns, "s.*")
+    # A larger sweep is cut into packs of about that size, and every statistic meets every pack.
+    packs = -(-count // MAX_SETUPS)
+    pack = F.pmod(F.xxhash64(*SETUP_FIELDS), F.lit(packs)).cast("int")
+    packed = frame.groupBy(pack.alias("__pack")).agg(F.collect_list(F.struct(*SETUP_FIELDS)).alias("all"))
+    spread = stats.withColumn("__pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    return spread.join(packed, "__pack").withColumn("s", F.explode("all")).select(*stats.columns, "s.*")
 
 
 def fit_stats(stats: DataFrame, setups: DataFrame | Sequence[Setup], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -52,15 +58,13 @@ def fit_stats(stats: DataFrame, setups: DataFrame | Sequence[Setup], group_cols:
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
             for _, row in pdf.iterrows():
                 started = time.perf_counter()
                 m = np.asarray(row["zz"], dtype=float)
                 setup = {k: row[k] for k in SETUP_FIELDS}
                 result = minimise(m.reshape(int(len(m) ** 0.5), -1), setup)
-                out.append({**{g: row[g] for g in groups}, **setup, **result, "training_time": time.perf_counter() - started})
-            if out:
-                yield pd.DataFrame(out, columns=schema.names)
+                made = {**{g: row[g] for g in groups}, **setup, **result, "training_time": time.perf_counter() - started}
+                yield pd.DataFrame([made], columns=schema.names)  # histories can be long: one at a time
 
     family = F.create_map(*[x for k, v in FAMILY.items() for x in (F.lit(k), F.lit(v))])
     key = F.concat_ws("/", family[F.col("method")], "setup", *[F.col(g).cast("string") for g in groups])

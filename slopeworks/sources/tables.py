@@ -38,7 +38,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     df = normalise_columns(df) if normalise else df
     df = df.select(*columns) if columns else df
     if max_rows is not None:
-        df = (df.orderBy(*order_by) if order_by else df).limit(max_rows)
+        if not order_by:
+            raise ValueError("a row cap needs order_by: without an order it would keep arbitrary rows")
+        df = df.orderBy(*order_by).limit(max_rows)
     return df
 
 

@@ -175,11 +175,11 @@ def brute_sgd(frame, s, order):
 
 
 @pytest.mark.parametrize("options, mode", [
-    ({}, "exact"), ({"momentum": 0.6, "loss": "ridge", "regularization": 0.2, "schedule": "sqrt"}, "exact"), ({}, "sequential"),
-    ({"step_length": 0.05, "momentum": 0.3}, "sequential"), ({"loss": "l1", "regularization": 0.1}, "sequential")])
+    ({}, "exact"), ({"momentum": 0.6, "loss": "ridge", "regularization": 0.2, "schedule": "sqrt"}, "exact"), ({}, "averaged"),
+    ({"step_length": 0.05, "momentum": 0.3}, "averaged"), ({"loss": "l1", "regularization": 0.1}, "averaged")])
 def test_sgd_equals_the_plain_loop(spark, lin2, options, mode):
     s = S.SgdSetup(**{"batch_size": 8, "epochs": 4, "learning_rate": 0.05, "order": "once", "tolerance": 0.0, **options})
-    model, history = S.fit_sgd(lin2, ["x1", "x2"], "y", "id", s, mode=mode, hashed=F.col("id") * 7 % 50, chunk_rows=16)
+    model, history = S.fit_sgd(lin2, ["x1", "x2"], "y", "id", s, mode=mode, hashed=F.col("id") * 7 % 50, chunk_rows=16, blocks=1)  # one block is the plain loop
     order = sorted(range(50), key=lambda i: (i * 7 % 50, i))
     assert np.allclose(model.first()["last_weights"], brute_sgd(line_frame(), s, order)) and history.count() == 4
 
@@ -206,10 +206,29 @@ def test_averaged_sgd_converges(spark, lin2):
 
 
 def test_sgd_guards(spark, lin2):
-    with pytest.raises(ValueError, match="sequential or averaged"):
-        S.fit_sgd(lin2, ["x1"], "y", "id", S.SgdSetup(step_length=0.1))
     with pytest.raises(ValueError, match="averaged"):
-        S.fit_sgd(lin2, ["x1"], "y", "id", S.SgdSetup(step_length=0.1), mode="sequential", sequential_rows=10)
+        S.fit_sgd(lin2, ["x1"], "y", "id", S.SgdSetup(step_length=0.1))
+    with pytest.raises(ValueError, match="unknown mode"):
+        S.fit_sgd(lin2, ["x1"], "y", "id", S.SgdSetup(step_length=0.1), mode="sequential")
+
+
+@pytest.mark.parametrize("order", ["each_epoch", "bootstrap"])
+def test_averaged_sgd_does_not_depend_on_partitions(spark, lin2, order):
+    s = S.SgdSetup(batch_size=4, epochs=3, learning_rate=0.1, order=order, tolerance=0.0, loss="l1", regularization=0.01)
+    results = [S.fit_sgd(lin2.repartition(k), ["x1", "x2"], "y", "id", s, mode="averaged", blocks=4)[0].first()["last_weights"] for k in (1, 8)]
+    assert np.allclose(*results, atol=1e-12)
+
+
+def test_large_batches_are_summed_before_they_become_maps(spark, lin2):
+    s = S.SgdSetup(batch_size=20, learning_rate=0.05)
+    args = (lin2, ["x1", "x2"], "y", "id", s, 0, [0.05], 50, F.col("id") * 7 % 50)
+    assert np.allclose(S.epoch_maps(*args).first()["m"], S.epoch_maps(*args, chunk_rows=10).first()["m"])
+
+
+def test_order_may_be_a_function_of_the_epoch(spark, lin2):
+    s = S.SgdSetup(batch_size=8, epochs=3, learning_rate=0.05, tolerance=0.0)
+    fit = lambda hashed: S.fit_sgd(lin2, ["x1", "x2"], "y", "id", s, hashed=hashed)[0].first()["last_weights"]
+    assert not np.allclose(fit(lambda e: F.col("id") * (7 + 2 * e) % 50), fit(F.col("id") * 7 % 50), atol=1e-9)
 
 
 def test_poisson_weights_have_mean_and_variance_one(spark):

@@ -218,7 +218,7 @@ def sgd_bootstrap(spark, sf):
 
 @query("train_sgd_fixed_length")
 def sgd_fixed_length(spark, sf):
-    return _sgd_model(spark, sf, "sequential", order="once", step_length=0.01)
+    return _sgd_model(spark, sf, "averaged", order="once", step_length=0.01)
 
 
 @query("train_sgd_averaged")

@@ -242,3 +242,54 @@ SELECT 'ENCODE_CATEGORICAL', 'HIGH', (((SELECT count(DISTINCT lang) FROM t) > 50
 ) WHERE amount > least""")
 def recommendations(spark, sf):
     return rounded(P.recommendations(labelled(spark, sf), "n_chars"), 4, "amount")
+
+
+# NaN stands for unknown like null, and a column that does not vary has no correlation.
+_AWKWARD = """SELECT CASE WHEN l_orderkey % 7 = 0 THEN 'NaN'::DOUBLE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS a, l_extendedprice AS b, 3.0::DOUBLE AS k FROM lineitem"""
+_KNOWN = f"SELECT CASE WHEN isnan(a) THEN NULL ELSE a END AS a, b, k FROM ({_AWKWARD})"
+
+
+def _awkward(spark, sf):
+    key, nan = F.col("l_orderkey"), F.lit(float("nan"))
+    a = F.when(key % 7 == 0, nan).when(key % 11 != 0, F.col("l_quantity"))
+    return table(spark, sf, "lineitem").select(a.alias("a"), F.col("l_extendedprice").alias("b"), F.lit(3.0).alias("k"))
+
+
+def _guarded(x: str, y: str, source: str) -> str:
+    return f"""SELECT '{x}' AS column_1, '{y}' AS column_2, (SELECT CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 6) END
+      FROM (SELECT {x} AS x, {y} AS y FROM ({source}) WHERE {x} IS NOT NULL AND {y} IS NOT NULL)) AS r"""
+
+
+@query("profile_correlations_with_nan_and_constant", union_all([_guarded(x, y, _KNOWN) for x, y in combinations("abk", 2)]))
+def correlations_awkward(spark, sf):
+    return rounded(P.correlations(_awkward(spark, sf)), 6, "r")
+
+
+_WIDE = [f"c{i}" for i in range(20)]
+
+
+def _wide_sql() -> str:
+    columns = [f"CASE WHEN b IS NULL THEN NULL ELSE {'k' if i % 6 == 5 else 'a' if i % 3 == 0 else 'b'} * {i + 1} END AS c{i}" for i in range(20)]
+    return f"SELECT {', '.join(columns)} FROM ({_KNOWN})"
+
+
+@query("profile_correlations_wide_with_nan_and_constant", union_all([_guarded(x, y, _wide_sql()) for x, y in combinations(_WIDE, 2)]))
+def correlations_wide_awkward(spark, sf):
+    df = _awkward(spark, sf)
+    wide = df.select(*[(F.col("k" if i % 6 == 5 else "a" if i % 3 == 0 else "b") * (i + 1)).alias(f"c{i}") for i in range(20)])
+    return rounded(P.correlations(wide), 6, "r")
+
+
+@query("profile_target_statistics_with_nan", f"""
+WITH x AS (SELECT a AS v FROM ({_KNOWN}) WHERE a > 0),
+q AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x)
+SELECT count(*) AS count, round(avg(v), 4) AS mean, round(any_value(median), 4) AS median, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3,
+  max(v) AS max, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers_count FROM x, q""")
+def target_statistics_awkward(spark, sf):
+    out = P.target_statistics(_awkward(spark, sf), "a")
+    return rounded(out, 4, "mean", "median", "q1", "q3").select("count", "mean", "median", "q1", "q3", "max", "outliers_count")
+
+
+@query("profile_histogram_with_nan", _histogram_sql("a", f"({_KNOWN})", 12))
+def histogram_awkward(spark, sf):
+    return rounded(P.histogram(_awkward(spark, sf), "a", 12), 4, "lower", "upper")

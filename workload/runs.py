@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.operators import experiments as X
 from slopeworks.operators import losses as L
+from slopeworks.operators.ranking import with_lags, with_running_min
 from slopeworks.plans import config as C
 from slopeworks.plans.train import fit, history_of
 from slopeworks.session import shared_folder
@@ -313,3 +314,38 @@ def trained_comparison(spark, sf):
 @query("trained_history")
 def trained_history(spark, sf):
     return history_of(trained(spark, sf), ["l_returnflag"]).drop("weights")
+
+
+# One run under a null key, and an outlying place in the order of every run.
+_NULL_KEYS = f"""SELECT CASE WHEN run_id = (SELECT min(run_id) FROM ({_HISTORY})) THEN NULL ELSE run_id END AS run_id,
+  CASE WHEN iteration = (SELECT max(iteration) FROM ({_HISTORY})) THEN iteration * 1000000 ELSE iteration END AS iteration, loss FROM ({_HISTORY})"""
+
+
+def _null_keys(spark, sf):
+    h = history(spark, sf)
+    first, last = h.agg(F.min("run_id"), F.max("iteration")).first()
+    i = F.col("iteration")
+    return h.select(F.when(F.col("run_id") != first, F.col("run_id")).alias("run_id"), F.when(i == last, i * 1000000).otherwise(i).alias("iteration"), "loss")
+
+
+def _both_plans(frame):
+    return frame(1_000_000).withColumn("plan", F.lit("window")).unionByName(frame(8).withColumn("plan", F.lit("chunks")))
+
+
+def _both_sql(sql: str) -> str:
+    return union_all([f"SELECT *, '{p}' AS plan FROM ({sql})" for p in ("window", "chunks")])
+
+
+@query("history_cost_change_null_keys", _both_sql(f"""
+SELECT *, lag(loss) OVER (PARTITION BY run_id ORDER BY iteration) AS previous, lag(loss, 5) OVER (PARTITION BY run_id ORDER BY iteration) AS fifth FROM ({_NULL_KEYS})"""))
+def cost_change_null_keys(spark, sf):
+    df = _null_keys(spark, sf)
+    return _both_plans(lambda rows: with_lags(df, ["run_id"], "iteration", {"previous": ("loss", 1), "fifth": ("loss", 5)}, chunk_rows=rows))
+
+
+@query("history_running_minimum_null_keys", _both_sql(f"""
+SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY iteration) AS lowest,
+  min(loss) OVER (PARTITION BY run_id ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_NULL_KEYS})"""))
+def running_minimum_null_keys(spark, sf):
+    df = _null_keys(spark, sf)
+    return _both_plans(lambda rows: with_running_min(df, ["run_id"], "iteration", "loss", "lowest", "before", chunk_rows=rows))
