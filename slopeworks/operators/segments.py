@@ -60,7 +60,7 @@ def retention(df: DataFrame, key: str, age: str, target: str) -> DataFrame:
 
 def retention_extremes(df: DataFrame, key: str, age: str, target: str, at_age: int = 5, n: int = 5, slowest: bool = True) -> DataFrame:
     """Groups that keep most (or least) of their value at an age (P5)."""
-    r = retention(df, key, age, target).filter(F.col("age") == at_age)
+    r = retention(df, key, age, target).filter((F.col("age") == at_age) & F.col("retention_pct").isNotNull())
     order = F.desc("retention_pct") if slowest else F.asc("retention_pct")
     return r.orderBy(order, key).limit(n)
 

@@ -240,3 +240,25 @@ def csv(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("Order Key"), F.col("o_totalprice").alias("Total-Price"), F.col("o_orderpriority").alias("PRIORITY "))
     o.write.option("header", True).csv(path)
     return S.read_table(spark, path, "`Order Key` long, `Total-Price` double, `PRIORITY ` string", normalise=True)
+
+
+# The whole preparation job over all listings and copies of every tenth that differ by case only.
+_PREPARED = f"""
+WITH a AS (SELECT * EXCLUDE (l_orderkey, l_linenumber) FROM (SELECT * FROM ({LISTINGS_SQL})
+  UNION ALL SELECT * REPLACE (upper(fuel_type) AS fuel_type) FROM ({LISTINGS_SQL}) WHERE l_orderkey % 10 = 0)),
+d AS (SELECT DISTINCT * FROM a WHERE price > 0), q AS (SELECT quantile_cont(price, 0.995) AS q FROM d),
+k AS (SELECT price FROM d, q WHERE price < q AND year >= 1900 AND year <= 1991 AND mileage >= 0 AND mileage < 500000)
+SELECT count(*) AS n_rows, count(*) AS n_ids, ceil(count(*) * 0.2 - 1e-9)::BIGINT AS n_test, 0::BIGINT AS n_unknown, round(sum(ln(1 + price)), 4) AS label_sum FROM k"""
+
+
+@query("prepare_listings", _PREPARED)
+def prepared(spark, sf):
+    from slopeworks.plans.prepare import prepare_listings
+
+    raw = listings(spark, sf)
+    cased = raw.filter(F.col("l_orderkey") % 10 == 0).withColumn("fuel_type", F.upper("fuel_type"))
+    job = prepare_listings(raw.unionByName(cased), as_of=1990)
+    unknown = F.exists("features", lambda x: x.isNull() | F.isnan(x))
+    out = job.matrix.agg(F.count("*").alias("n_rows"), F.count_distinct("row_id").alias("n_ids"), F.count_if(F.col("split") == "test").alias("n_test"),
+                         F.count_if(unknown).alias("n_unknown"), F.sum("label").alias("label_sum"))
+    return rounded(out, 4, "label_sum")

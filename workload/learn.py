@@ -258,3 +258,44 @@ def grid_sweep(spark, sf):
 def random_sweep(spark, sf):
     setups = C.random_search(spark, 20, fixed={"method": "momentum", "loss": "ridge"}, learning_rate=(0.01, 0.1), regularization=(0.001, 1.0))
     return fit(parts(spark, sf), ["x"], "y", setups).select("setup", "learning_rate", "regularization", "converged", "final_iteration", "best_loss")
+
+
+# Three features, solved in SQL by Cramer's rule on the covariances (the intercept is never penalised).
+_THREE = """SELECT (p_partkey % 7) / 3.0::DOUBLE - 1 AS x1, (p_partkey % 11) / 5.0::DOUBLE - 1 AS x2, p_size / 25.0::DOUBLE - 1 AS x3, ln(1 + p_retailprice) AS y FROM part"""
+
+
+def _three(spark, sf):
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").select(((key % 7) / 3.0 - 1).alias("x1"), ((key % 11) / 5.0 - 1).alias("x2"), (F.col("p_size") / 25.0 - 1).alias("x3"), F.log1p("p_retailprice").alias("y"))
+
+
+def _three_sql(penalty: float) -> str:
+    s = {(i, j): f"c{min(i, j)}{max(i, j)}" for i in (1, 2, 3) for j in (1, 2, 3)}
+    cov = ", ".join(f"covar_pop(x{i}, x{j}){f' + {penalty}' if i == j else ''} AS c{i}{j}" for i in (1, 2, 3) for j in range(i, 4))
+
+    def det(m):
+        return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+    full = [[s[i, j] for j in (1, 2, 3)] for i in (1, 2, 3)]
+    weights = [f"{det([[f'd{i}' if j == k else s[i, j] for j in (1, 2, 3)] for i in (1, 2, 3)])} / {det(full)}" for k in (1, 2, 3)]
+    return f"""WITH c AS (SELECT {cov}, covar_pop(x1, y) AS d1, covar_pop(x2, y) AS d2, covar_pop(x3, y) AS d3, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM ({_THREE})),
+w AS (SELECT c.*, {', '.join(f'{w} AS w{k + 1}' for k, w in enumerate(weights))} FROM c)
+SELECT round(w1, 5) + 0.0 AS w1, round(w2, 5) + 0.0 AS w2, round(w3, 5) + 0.0 AS w3, round(my - w1 * m1 - w2 * m2 - w3 * m3, 5) + 0.0 AS b FROM w"""
+
+
+def _three_fit(spark, sf, **setup):
+    run = fit(_three(spark, sf), ["x1", "x2", "x3"], "y", [C.Setup(max_iter=2000, check_every=1, tolerance=1e-11, **setup)])
+    return rounded(run.select(*[F.col("last_weights")[k].alias(f"w{k + 1}") for k in range(3)], F.col("last_weights")[3].alias("b")), 5, "w1", "w2", "w3", "b")
+
+
+_SECOND = {"newton": {}, "bfgs": {}, "lbfgs": {}, "sr1": {}, "momentum": {"learning_rate": 0.2, "momentum": 0.8}, "cg": {}}
+for _method, _more in _SECOND.items():
+    @query(f"train_three_features_{_method}", _three_sql(0.0))
+    def three(spark, sf, method=_method, more=_more):
+        return _three_fit(spark, sf, method=method, **more)
+
+for _method in ("newton", "lbfgs"):
+    @query(f"train_three_features_ridge_{_method}", _three_sql(0.1))
+    def three_ridge(spark, sf, method=_method):
+        return _three_fit(spark, sf, method=method, loss="ridge", regularization=0.1)

@@ -51,7 +51,7 @@ def anova(spark, sf):
 
 
 _KEPT = f"""WITH a AS (SELECT p_brand, (p_size - 1)::INTEGER AS age, avg(l_extendedprice) AS m, count(*) AS n FROM ({_PRICED}) GROUP BY 1, 2),
-r AS (SELECT a.*, z.m AS new_mean, a.m * 100 / z.m AS retention_pct FROM a JOIN a z ON z.p_brand = a.p_brand AND z.age = 0)"""
+r AS (SELECT a.*, z.m AS new_mean, a.m * 100 / z.m AS retention_pct FROM a LEFT JOIN a z ON z.p_brand IS NOT DISTINCT FROM a.p_brand AND z.age = 0)"""
 
 
 @query("segment_retention", f"{_KEPT} SELECT p_brand, age, n, round(m, 4) AS mean_target, round(new_mean, 4) AS new_mean, round(retention_pct, 6) AS retention_pct FROM r")
@@ -60,7 +60,7 @@ def retention(spark, sf):
     return rounded(rounded(out, 4, "mean_target", "new_mean"), 6, "retention_pct")
 
 
-@query("segment_retention_slowest", f"{_KEPT} SELECT p_brand, round(retention_pct, 6) AS retention_pct FROM r WHERE age = 5 ORDER BY r.retention_pct DESC, p_brand LIMIT 5")
+@query("segment_retention_slowest", f"{_KEPT} SELECT p_brand, round(retention_pct, 6) AS retention_pct FROM r WHERE age = 5 AND retention_pct IS NOT NULL ORDER BY r.retention_pct DESC, p_brand LIMIT 5")
 def slowest(spark, sf):
     out = G.retention_extremes(_priced(spark, sf).withColumn("age", F.col("p_size") - 1), "p_brand", "age", "l_extendedprice")
     return rounded(out.select("p_brand", "retention_pct"), 6, "retention_pct")
