@@ -61,6 +61,7 @@ def test_salted_join_equals_plain_join(spark):
     table = df.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
     plain = sorted(map(str, df.join(table, "k", "left").select("id", "k", "n").collect()))
     for out in (salted_join(df.repartition(7), table, ["k"], "left", [("hot",)], 5), lookup_join(df.repartition(7), table, ["k"], "left", "n", bound=3),
+                lookup_join(df.repartition(7), table, ["k"], "left", "n", bound=3, rows_per_task=5),
                 lookup_join(df, table, ["k"])):
         assert sorted(map(str, out.select("id", "k", "n").collect())) == plain
 
