@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
-CACHED_PIECES = 400_000  # per Python worker; later pieces are kept for their batch only
+CACHED_PIECES = 1_000_000  # per Python worker, about 200 MB; later pieces are kept for their batch only
 
 
 def _load(path: str):
@@ -22,6 +24,13 @@ def _load(path: str):
     return tokenizer
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Known(dict):
     """Ids by piece; `rare` has those of the batch at hand only."""
 
@@ -43,15 +52,13 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; the new pieces of all `texts` go to the library in one call."""
-        import numpy as np
-
         known = self.known
         known.rare = {}
         cut = [self.pieces(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(known))
         kept = known if len(known) < CACHED_PIECES else known.rare
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (kept if len(piece) <= 40 else known.rare)[piece] = np.array(found.ids, "<u4").tobytes()
+            (kept if len(piece) <= 40 else known.rare)[piece] = _packed(found.ids)
         for pieces in cut:
             yield b"".join(map(known.__getitem__, pieces))
 
