@@ -71,7 +71,7 @@ def fit_smart(df: DataFrame, group_cols: Sequence[str] = ("make_name", "model_na
     kept_groups = [g for g in group_cols if g in df.columns and g not in plan.dropped]
     by_group = [c for c in numeric if 0.05 <= share[c] < 0.2] if len(kept_groups) == len(group_cols) and group_cols else []
     if numeric:
-        medians = quantile_values(df, {c: (c, 0.5) for c in numeric}, **quantile_options)
+        medians = quantile_values(df, {c: (c, 0.5) for c in numeric}, **{"reuse": True, **quantile_options})  # its passes share one read
         plan.flagged = [c for c in numeric if share[c] >= 0.2]
         plan.grouped = {c: medians[c] for c in by_group}
         plan.fills.update({c: medians[c] for c in numeric if c not in by_group})
@@ -108,15 +108,27 @@ def impute(df: DataFrame, strategy: str = "auto", columns: Sequence[str] | None
         fills.update(quantile_values(df, {c: (c, 0.5) for c in numeric}, **quantile_options))
     modal = (numeric if strategy == "mode" else []) + (strings if strategy in ("auto", "mode") else [])
     if modal:
-        # Ties among numbers go to the smallest number, so numbers are compared as numbers.
-        for c in modal:
-            top = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-                   .agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col(c).alias("v"))).alias("t")).first()["t"])
-            fills[c] = top["v"] if top else None
+        fills.update(_modes(df, modal))
     known = {c: v for c, v in fills.items() if v is not None}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in known.items()}) if known else df
 
 
+def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """The most frequent known value of each column, the smallest on ties; one job for each type among the columns.
+
+    Values are compared in their own type, so ties among numbers go to the smallest number.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    out: dict[str, object] = dict.fromkeys(columns)
+    for names in kinds.values():
+        counts = df.select(*names).unpivot([], names, "column", "v").filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
+        tops = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg"), "v")).alias("t"))
+        out.update({r["column"]: r["t"]["v"] for r in tops.collect()})  # one row for each column
+    return out
+
+
 def fill_leftover(df: DataFrame, columns: Sequence[str], **quantile_options) -> DataFrame:
     """Median fill of what is still null in numeric columns."""
     return impute(df.withColumns({c: F.col(c).cast("double") for c in columns}), "median", columns, **quantile_options)

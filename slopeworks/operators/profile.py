@@ -55,8 +55,10 @@ def overview(df: DataFrame) -> DataFrame:
     """Size, null cells, exact duplicates and column kinds."""
     kinds = [kind_of(f.dataType) for f in df.schema]
     missing = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns])
-    # Equal rows meet in one hash aggregate whose partial step already merges copies, so copies cannot pile up.
-    distinct = df.withColumn("__missing", missing).groupBy(*df.columns, "__missing").agg(F.count("*").alias("__n"))
+    # Equal rows meet in one hash aggregate whose partial step already merges copies, so copies cannot pile up. A row is
+    # told apart by 128 hash bits, so whole rows are not shuffled.
+    slim = df.select(F.xxhash64(*df.columns).alias("__h1"), F.xxhash64(F.lit("second"), *df.columns).alias("__h2"), missing.alias("__missing"))
+    distinct = slim.groupBy("__h1", "__h2", "__missing").agg(F.count("*").alias("__n"))
     totals = distinct.agg(F.sum("__n").alias("n_rows"), F.count("*").alias("distinct_rows"),
                           F.sum(F.col("__missing") * F.col("__n")).alias("missing_cells"))
     rows = F.coalesce(F.col("n_rows"), F.lit(0))

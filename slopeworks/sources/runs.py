@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,20 +125,27 @@ def read_histories(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select("run_id", *[read(c, t) for c, t in HISTORY_TYPES.items() if c != "run_id"])
 
 
-def write_runs(runs: DataFrame, path: str, group_cols: Sequence[str] = (), mode: str = "append") -> None:
-    """Trained runs partitioned by family; results and histories go to sibling tables.
+def write_runs(runs: DataFrame, path: str, group_cols: Sequence[str] = (), mode: str = "append", batch: str | None = None) -> None:
+    """Trained runs partitioned by batch and family; results and histories go to sibling tables.
 
-    The nested rows are written first and read back, so training happens once.
+    The nested rows are written first and read back, so training happens once. `append` writes the partitions of its own
+    batch only; a retry under the same batch name replaces them. `overwrite` replaces all.
     """
-    runs.write.mode(mode).partitionBy("family").parquet(f"{path}/nested")
-    stored = runs.sparkSession.read.parquet(f"{path}/nested")
-    stored.drop("history").write.mode("overwrite").partitionBy("family").parquet(f"{path}/runs")
-    (stored.select("family", "run_id", *group_cols, F.explode("history").alias("h")).select("family", "run_id", *group_cols, "h.*")
-     .write.mode("overwrite").partitionBy("family").parquet(f"{path}/history"))
+    batch = batch or uuid.uuid4().hex
+
+    def store(df: DataFrame, name: str) -> None:
+        kind = "static" if mode == "overwrite" else "dynamic"
+        (df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", kind)
+         .partitionBy("batch", "family").parquet(f"{path}/{name}"))
+
+    store(runs, "nested")
+    stored = runs.sparkSession.read.parquet(f"{path}/nested").filter(F.col("batch") == batch).drop("batch")
+    store(stored.drop("history"), "runs")
+    store(stored.select("family", "run_id", *group_cols, F.explode("history").alias("h")).select("family", "run_id", *group_cols, "h.*"), "history")
 
 
 def read_written_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/runs"), spark.read.parquet(f"{path}/history")
+    return spark.read.parquet(f"{path}/runs").drop("batch"), spark.read.parquet(f"{path}/history").drop("batch")
 
 
 def as_comparison_runs(trained: DataFrame) -> DataFrame:

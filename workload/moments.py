@@ -115,10 +115,23 @@ for _loss, _diagonal in _CURVES.items():
         return rounded(L.hessian_cells(stats, FEATURES, WEIGHTS, kind, lam=0.1), 6, "value")
 
 
-@query("regression_cubic_trend")
+def _cubic_sql() -> str:
+    """Cramer's rule on the covariances of the powers of p_size / max(p_size)."""
+    s = {(i, j): f"c{min(i, j)}{max(i, j)}" for i in (1, 2, 3) for j in (1, 2, 3)}
+    det = lambda m: (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+                     f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+    full = det([[s[i, j] for j in (1, 2, 3)] for i in (1, 2, 3)])
+    weights = [f"{det([[f'd{i}' if j == k else s[i, j] for j in (1, 2, 3)] for i in (1, 2, 3)])} / {full} AS w{k}" for k in (1, 2, 3)]
+    cov = ", ".join(f"covar_pop(u{i}, u{j}) AS c{i}{j}" for i in (1, 2, 3) for j in range(i, 4))
+    return f"""WITH t AS (SELECT u AS u1, u * u AS u2, u * u * u AS u3, y FROM (SELECT p_size / (SELECT max(p_size) FROM part)::DOUBLE AS u, p_retailprice AS y FROM part)),
+c AS (SELECT {cov}, covar_pop(u1, y) AS d1, covar_pop(u2, y) AS d2, covar_pop(u3, y) AS d3, var_pop(y) AS v FROM t), w AS (SELECT c.*, {', '.join(weights)} FROM c)
+SELECT round(w1, 2) + 0.0 AS p1, round(w2, 2) + 0.0 AS p2, round(w3, 2) + 0.0 AS p3, round((w1 * d1 + w2 * d2 + w3 * d3) / v, 6) + 0.0 AS r2 FROM w"""
+
+
+@query("regression_cubic_trend", _cubic_sql())
 def cubic_trend(spark, sf):
-    """Coefficients are tested against a direct solution in the unit tests."""
-    return G.poly_fit(table(spark, sf, "part"), "p_size", "p_retailprice", 3)
+    fit = G.poly_fit(table(spark, sf, "part"), "p_size", "p_retailprice", 3)
+    return rounded(rounded(fit.select(*[F.col("weights")[k].alias(f"p{k + 1}") for k in range(3)], "r2"), 2, "p1", "p2", "p3"), 6, "r2")
 
 
 @query("regression_quadratic_trend", """
