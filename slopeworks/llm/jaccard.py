@@ -142,7 +142,9 @@ class _Job:
         thin = base.select("doc_id", "n", "sig")
         # Of rows of one doc_id with different texts, one stands for all.
         known = thin.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min_by("n", "sig").alias("n"))
-        firsts = known.groupBy("sig").agg(F.min("doc_id").alias("class"))
+        known = self.store(known, "known")
+        # Stored, so that the join below has a shuffle of its own, which can split a signature of very many copies.
+        firsts = self.store(known.groupBy("sig").agg(F.min("doc_id").alias("class")), "firsts")
         copies = self.store(known.join(firsts, "sig").select("doc_id", "class", "sig", "n"), "classes")
         others, _ = broadcast_within(copies.filter("doc_id <> class").select("doc_id"), IDS_BROADCAST)
         originals = text.filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
