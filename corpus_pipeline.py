@@ -14,11 +14,17 @@ from slopeworks.llm.plans import broadcast_within
 from slopeworks.llm.queries import table, vocabulary
 from slopeworks.session import shared_folder
 
+ARROW_ROWS = "1000"  # documents that pass between Spark and Python at once: they can be long
 LEAST_SCORE = 0.4  # of the predicted language; four languages by chance have 0.25
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and those of no clear language; a missing lang is filled in."""
+    _small_batches(spark)
     known = predict_language(docs, fit_languages(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
@@ -32,6 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of alike documents, and one row of each doc_id."""
+    _small_batches(spark)
     folder = shared_folder(spark)
     shingle_components(docs).write.parquet(folder)
     groups = spark.read.parquet(folder)
@@ -48,6 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
+    _small_batches(spark)
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 

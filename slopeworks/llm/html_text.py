@@ -15,6 +15,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.llm.tasks import released
+
 SAMPLE_PAGES = 250  # pages the labeller is fitted on, chosen by the hash of page_id
 PATH_BUCKETS, WORD_BUCKETS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 12, 6, 4, 12
 STEPS, BATCH = 300, 16
@@ -313,4 +315,4 @@ def extract_text(pages: DataFrame, network: BlockNetwork | None) -> DataFrame:
     Other columns are left out, whatever their names. An empty table gives an empty result.
     """
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "html").mapInArrow(_extract_task(network), f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(released(_extract_task(network)), f"page_id {kind}, url string, text string, n_chars long")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from slopeworks.llm.components import connected_components
 from slopeworks.llm.plans import broadcast_within
 from slopeworks.llm.shingles import WORDS, prefix_length, shingle_set
+from slopeworks.llm.tasks import released
 from slopeworks.session import shared_folder
 
 PERCENT = 75
@@ -138,7 +139,7 @@ class _Job:
     def links(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(all documents with n and class, links between classes)."""
         text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
-        base = self.store(text.mapInArrow(_sets_task(self.words, self.percent), SETS), "sets")
+        base = self.store(text.mapInArrow(released(_sets_task(self.words, self.percent)), SETS), "sets")
         thin = base.select("doc_id", "n", "sig")
         # Of rows of one doc_id with different texts, one stands for all.
         known = thin.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min_by("n", "sig").alias("n"))
@@ -149,14 +150,14 @@ class _Job:
         others, _ = broadcast_within(copies.filter("doc_id <> class").select("doc_id"), IDS_BROADCAST)
         originals = text.filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
         frequent = self.frequent(base.filter("doc_id IS NOT NULL").select("doc_id", "prefix").join(others, "doc_id", "left_anti"))
-        ordered = (base if frequent is None else originals.mapInArrow(_sets_task(self.words, self.percent, frequent), SETS)).filter("n > 0 AND doc_id IS NOT NULL")
+        ordered = (base if frequent is None else originals.mapInArrow(released(_sets_task(self.words, self.percent, frequent)), SETS)).filter("n > 0 AND doc_id IS NOT NULL")
         if frequent is None:
             ordered = ordered.join(others, "doc_id", "left_anti")
         tokens = ordered.select(F.explode("prefix").alias("t"), F.col("doc_id").alias("id"), "n")
         group = Window.partitionBy("t")
         shared = self.store(self.promising(tokens), "shared")
         involved, _ = broadcast_within(self.store(shared.select("id").distinct(), "involved"), IDS_BROADCAST)
-        segments = self.store(originals.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").select("id", "text").mapInArrow(_segments_task(self.words), SEGMENTS), "segments")
+        segments = self.store(originals.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").select("id", "text").mapInArrow(released(_segments_task(self.words)), SEGMENTS), "segments")
         links, groups = None, shared.withColumn("label", F.col("id"))
         for k in range(STAR_ROUNDS):
             found = self.store(self.verify(self.star(groups, k), segments), f"star{k}")

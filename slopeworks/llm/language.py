@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.llm.tasks import released
+
 SAMPLE = 300  # labelled documents for each language that the network is fitted on
 SAMPLE_CHARS = 600  # of each, from a place that the hash of the doc_id fixes
 LANGUAGES = 200  # most that can be told apart
@@ -253,4 +255,4 @@ def predict_language(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
     """
     rows = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", lang_pred string, score double"
-    return rows.mapInArrow(_predict_task(network), schema)
+    return rows.mapInArrow(released(_predict_task(network)), schema)

@@ -21,6 +21,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopeworks.llm.tasks import released
 from slopeworks.llm.tokens import WordEncoder, encoder
 from slopeworks.session import shared_folder
 
@@ -184,7 +185,7 @@ PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document, with the ids of its text and the end id; a null text is an empty one."""
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(_piece_task(tokenizer, end_id, capacity), PIECES)
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(released(_piece_task(tokenizer, end_id, capacity)), PIECES)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:

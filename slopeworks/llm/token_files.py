@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slopeworks.llm.tasks import released
 from slopeworks.llm.tokens import ByteEncoder, encoder
 from slopeworks.session import shared_folder
 
@@ -184,7 +185,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The second key parts rows of one doc_id, should there be very many.
     placed = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(count, "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    made = placed.select("doc_id", "text").mapInArrow(_write_task(f"{folder}/data", tokenizer, end_id), MANIFEST)
+    made = placed.select("doc_id", "text").mapInArrow(released(_write_task(f"{folder}/data", tokenizer, end_id)), MANIFEST)
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -216,7 +217,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("file", "place", "first")
     spread = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
-    return spread.mapInArrow(_read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(released(_read_task), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

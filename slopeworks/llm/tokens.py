@@ -12,7 +12,6 @@ import sys
 from array import array
 from collections.abc import Iterable, Iterator
 
-CACHED_PIECES = 1_000_000  # per Python worker, about 200 MB; later pieces are kept for their batch only
 
 
 def _load(path: str):
@@ -43,6 +42,8 @@ class _Known(dict):
 class Encoder:
     """Encodes batches of texts; a null text is an empty one. `pieces` cuts a text where the vocabulary always does."""
 
+    most_known = 200_000  # pieces a Python worker keeps, about 200 bytes each; later ones are kept for their batch only
+
     def __init__(self, path: str):
         self.tokenizer = _load(path)
         self.known = _Known()
@@ -56,7 +57,7 @@ class Encoder:
         known.rare = {}
         cut = [self.pieces(t) if t else [] for t in texts]
         new = list(set().union(*cut).difference(known))
-        kept = known if len(known) < CACHED_PIECES else known.rare
+        kept = known if len(known) < self.most_known else known.rare
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             (kept if len(piece) <= 40 else known.rare)[piece] = _packed(found.ids)
         for pieces in cut:
@@ -80,6 +81,8 @@ class ByteEncoder(Encoder):
     Texts with other white space, or with two such characters in a row or at an end, stay whole.
     """
 
+    most_known = 1_000_000
+
     _cut = staticmethod(re.compile(rf" ?{_LETTERS}|{_MARKS}|\n| ?[^ \n]+").findall)
 
     def pieces(self, text: str) -> list[str]:
