@@ -349,3 +349,27 @@ SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY iteration) AS lowest,
 def running_minimum_null_keys(spark, sf):
     df = _null_keys(spark, sf)
     return _both_plans(lambda rows: with_running_min(df, ["run_id"], "iteration", "loss", "lowest", "before", chunk_rows=rows))
+
+
+_FILES = """
+WITH o AS (SELECT o_custkey % 24 AS g, ((year(o_orderdate) - 1990) * 12 + month(o_orderdate))::INTEGER AS iteration,
+  sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS loss, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT CASE g % 3 WHEN 0 THEN 'gradient_descent' WHEN 1 THEN 'stochastic_gd' ELSE 'newton_method' END || '/s' || g AS run_id, iteration,
+  loss::DOUBLE AS loss, n::DOUBLE AS gradient_norm, CASE WHEN g % 3 = 2 THEN 0.5::DOUBLE END AS step_size FROM o"""
+
+
+@query("history_read_from_files", _FILES)
+def history_files(spark, sf):
+    """Writes history files of three families, each with a header of its own, and reads them back as one table."""
+    month = ((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")).alias("iteration")
+    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 24).alias("g"), month).agg(
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("loss"), F.count("*").alias("n"))
+    third = F.col("g") % 3
+    family = F.when(third == 0, "gradient_descent").when(third == 1, "stochastic_gd").otherwise("newton_method")
+    header = F.when(third == 0, "iteration,loss,gradient_norm").when(third == 1, "epoch,loss,gradient_norm").otherwise("iteration,loss,gradient_norm,step_size")
+    line = F.concat_ws(",", "iteration", "loss", "n", F.when(third == 2, "0.5"))
+    # One file for each run; a run has one line for each month.
+    files = o.groupBy(family.alias("family"), F.concat(F.lit("s"), F.col("g")).alias("setup"), header.alias("header")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    path = shared_folder(spark)
+    files.select("family", "setup", F.concat_ws("\n", "header", "lines").alias("value")).write.partitionBy("family", "setup").text(path)
+    return R.read_histories(spark, f"{path}/*/*").select("run_id", "iteration", "loss", "gradient_norm", "step_size")

@@ -163,3 +163,20 @@ def sparsified(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", sparsify(F.col("embedding").cast("array<double>"), 0.05).alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     return rounded(e.select("vec_id", F.size(F.filter("w", lambda x: x == 0.0)).cast("long").alias("zeros"), total.alias("total")), 5, "total")
+
+
+@query("score_with_loaded_model", """
+WITH f AS (SELECT regr_slope(ln(1 + l_extendedprice), l_quantity) AS w, regr_intercept(ln(1 + l_extendedprice), l_quantity) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(w * l_quantity + b, 6) AS prediction, 'night' AS run FROM lineitem, f""")
+def loaded_model(spark, sf):
+    """Fits on scaled features, stores the model with their statistics, loads it, scores all rows, writes and reads them."""
+    df = _lines(spark, sf)
+    mean, spread = df.agg(F.avg("l_quantity"), F.stddev_pop("l_quantity")).first()
+    scaled = df.withColumn("z", (F.col("l_quantity") - mean) / spread)
+    model = normal_equations(gram_stats(scaled, ["z"], "label")).select(F.lit("night").alias("run_id"), "weights")
+    path = shared_folder(spark)
+    S.save_state(S.model_state(df, model, ["l_quantity"], "label"), f"{path}/model")
+    state = S.load_state(spark, f"{path}/model", "night")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity").alias("x"))
+    V.score_table(rows, "x", state, state["run_id"]).drop("x", "model").write.parquet(f"{path}/scored")
+    return rounded(spark.read.parquet(f"{path}/scored"), 6, "prediction")
