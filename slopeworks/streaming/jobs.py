@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +38,17 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parq
 
 
 def accumulate_stats(stream: DataFrame, features: Sequence[str], label: str, path: str, checkpoint: str,
-                     group_cols: Sequence[str] = ()) -> StreamingQuery:
-    """Adds each micro-batch's statistic to a table keyed by batch id.
+                     group_cols: Sequence[str] = (), stream_id: str | None = None) -> StreamingQuery:
+    """Adds each micro-batch's statistic to a table keyed by stream and batch id.
 
-    A batch that is delivered again overwrites its own partition, so a repeat changes nothing.
+    A batch that is delivered again overwrites its own partition, so a repeat changes nothing. Batch ids start anew with
+    every checkpoint, so the stream's id comes from the checkpoint's place unless it is given.
     """
+    stream_key = stream_id or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def add(batch: DataFrame, batch_id: int) -> None:
-        stats = gram_stats(batch, features, label, group_cols).withColumn("batch_id", F.lit(batch_id))
-        stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        stats = gram_stats(batch, features, label, group_cols).withColumns({"stream_id": F.lit(stream_key), "batch_id": F.lit(batch_id)})
+        stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -57,5 +61,11 @@ def merged_stats(spark: SparkSession, path: str, group_cols: Sequence[str] = ())
     return cells.groupBy(*group_cols).agg(F.transform(ordered, lambda c: c["v"]).alias("zz"))
 
 
+def compact_stats(spark: SparkSession, path: str, target: str, group_cols: Sequence[str] = ()) -> None:
+    """Writes the sum of all batches as one batch of a new table, which a later stream can go on from."""
+    merged = merged_stats(spark, path, group_cols).withColumns({"stream_id": F.lit("compacted"), "batch_id": F.lit(0)})
+    merged.write.mode("errorifexists").partitionBy("stream_id", "batch_id").parquet(target)
+
+
 def current_model(spark: SparkSession, path: str, group_cols: Sequence[str] = (), ridge: float = 0.0) -> DataFrame:
     return normal_equations(merged_stats(spark, path, group_cols), group_cols, ridge)

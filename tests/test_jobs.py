@@ -267,8 +267,21 @@ def test_streaming_statistics_are_idempotent(spark, tmp_path):
     assert again.count() == 1
     kept = spark.read.parquet(path).filter("batch_id = 0").persist()
     kept.count()
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "batch_id").parquet(path)
     assert J.current_model(spark, path).first()["n"] == 30
     J.accumulate_stats(stream, ["x"], "y", path, ckpt).awaitTermination()  # nothing new: nothing changes
     assert J.current_model(spark, path).first()["n"] == 30
     kept.unpersist()
+
+
+def test_streams_of_two_checkpoints_add_up_and_compact(spark, tmp_path):
+    from slopeworks.streaming import jobs as J
+
+    for k in range(2):
+        spark.createDataFrame([(float(i), 2.0 * i + k) for i in range(10)], "x double, y double").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+        stream = J.read_stream(spark, f"{tmp_path}/in{k}", "x double, y double")
+        J.accumulate_stats(stream, ["x"], "y", f"{tmp_path}/stats", f"{tmp_path}/checkpoint{k}").awaitTermination()
+    both = J.current_model(spark, f"{tmp_path}/stats").first()
+    assert both["n"] == 20 and both["weights"] == pytest.approx([2.0, 0.5])
+    J.compact_stats(spark, f"{tmp_path}/stats", f"{tmp_path}/compact")
+    assert J.current_model(spark, f"{tmp_path}/compact").first()["weights"] == pytest.approx([2.0, 0.5])
