@@ -23,7 +23,9 @@ STEPS, BATCH = 300, 16
 PAGES_AT_ONCE = 256
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|template|noscript|iframe|svg|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # A raw name ends at a blank, / or >: <svg-icon> is an element of its own. Only a self-closed svg has no content.
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>"
+    r"|<(?P<raw>script|style|title|textarea|template|noscript|iframe|svg|select)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>[^>]*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 # Elements that part blocks, and the open elements that a new one ends.

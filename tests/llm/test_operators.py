@@ -375,6 +375,22 @@ def test_blocks():
         (("html", "body", "nav", "ul", "li"), "Home"), (("html", "body", "nav", "ul", "li"), "Two"), (("html", "body", "p", "lead", "big"), "A & b c d"), (("html", "body", "p"), "e")]
 
 
+@pytest.mark.parametrize("inner", [
+    "<svg-icon name=x></svg-icon>", "<select-box></select-box>", "<title-bar></title-bar>", "<template-x>", "<iframe-lazy src=x></iframe-lazy>", "<svg class=i/>", "<svg/>", '<svg class="i" />',
+    "<SVG viewBox='0 0 1 1'/>", "<svg><path d=x/></svg>", "<svg><path d=x/></svg x>", "<script>var a='<p>no</p>'</script >", "<select><option>no</select>", "<title>no</title\n>"])
+def test_only_raw_elements_hide_what_follows(inner):
+    from slopeworks.llm.html_text import blocks
+
+    page = f"<article><p>One.</p>{inner}<p>Two.</p><p>Three <b>x</b>.</p></article>"
+    assert [t for _, t, _ in blocks(page)] == ["One.", "Two.", "Three x."]
+
+
+def test_text_inside_custom_elements_stays():
+    from slopeworks.llm.html_text import blocks
+
+    assert [t for _, t, _ in blocks("<p>a <svg-icon>b</svg-icon> c <title-bar>d</title-bar></p><template-x><p>e</p></template-x><svg/><svg>no</svg><p>f")] == ["a b c d", "e", "f"]
+
+
 # registered queries and the pipeline
 
 
