@@ -301,6 +301,62 @@ def test_leaks(spark):
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def plain_leaks(docs, items):
+    """(doc, item): the best count of words in place over all windows, by the rule alone."""
+    out = {}
+    for d, doc in docs.items():
+        for i, item in items.items():
+            size = min(len(item), 16)
+            for off in range(-len(item), len(doc)):
+                same = [int(0 <= off + k < len(doc) and doc[off + k] == w) for k, w in enumerate(item)]
+                best = max(sum(same[k:k + 16]) for k in range(max(1, len(item) - 15)))
+                if 100 * best >= 75 * size:
+                    out[d, i] = max(out.get((d, i), (0, 0)), (best, size))
+    return out
+
+
+def test_seeds_hit_every_window_of_the_rule():
+    from itertools import combinations
+
+    from slopeworks.llm.decontaminate import BEFORE, SEEDS, WINDOW
+
+    for size in range(5, WINDOW + 1):
+        seeds = SEEDS[max(n for n in SEEDS if n <= size)]
+        assert all(m[:2] == "11" and m[-1] == "1" and WINDOW - len(m) <= BEFORE for m in seeds)
+        kept = [{at + k for k, c in enumerate(m) if c == "1"} for m in seeds for at in range(size - len(m) + 1)]
+        for replaced in combinations(range(size), size * 25 // 100):
+            assert any(not k & set(replaced) for k in kept), (size, replaced)
+
+
+def test_leaks_equal_a_plain_scan(spark):
+    import random
+
+    from slopeworks.llm.decontaminate import find_leaks
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    items = {k: [word() for _ in range(n)] for k, n in enumerate((60, 40, 24, 16, 15, 14, 13, 12, 10, 9, 8, 7, 6, 5))}
+    docs = {}
+    for i, item in items.items():
+        for every in (3, 4, 5, 8):
+            docs[len(docs)] = [word() if k % every == every - 1 else w for k, w in enumerate(item)]
+        docs[len(docs)] = [word() if k % 8 > 5 else w for k, w in enumerate(item)]  # runs of six
+        for _ in range(12):
+            size = min(len(item), 16)
+            at = rnd.randrange(len(item) - size + 1)
+            wrong = set(rnd.sample(range(size), size * 25 // 100 + rnd.choice((0, 0, 0, 1))))
+            docs[len(docs)] = [word() for _ in range(rnd.randrange(20))] + [word() if k in wrong else w for k, w in enumerate(item[at:at + size])] + [word() for _ in range(rnd.randrange(20))]
+        docs[len(docs)] = item[:-(-3 * min(len(item), 16) // 4)]  # cut off where the document ends
+    want = plain_leaks(docs, items)
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string").repartition(4)
+    bench = lambda some: spark.createDataFrame([(i, " ".join(w)) for i, w in some.items()], "item_id long, text string")
+    found = lambda some: {(r["doc_id"], r["item_id"]): (r["matched"], r["of"]) for r in find_leaks(table, bench(some)).collect()}
+    assert found(items) == want and len(want) > 150
+    # Unrelated items change nothing.
+    long = {i: w for i, w in items.items() if len(w) >= 16}
+    assert found(long) == {k: v for k, v in want.items() if k[1] in long}
+
+
 # language
 
 
