@@ -6,7 +6,8 @@ epoch over any number of rows ends in one small matrix. The result is that of th
 
 `averaged`: for step rules that are not affine (unit-length steps, L1 signs). Blocks of rows, fixed by the hash of the
 key, run SGD on their own rows from the same start, and the row-weighted mean starts the next epoch. Averaged weights are
-not those of one sequential run, unless there is one block.
+not those of one sequential run, unless there is one block. The number of blocks is a parameter and never follows from the
+size of the table; a task reads its block as a sorted stream, so a block may have any number of rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from slopeworks.plans.steps import stop_reason
 
 CHUNK_ROWS = 50_000
 FAN_IN = 128
-BLOCK_ROWS = 50_000  # rows that one task trains on before weights are averaged
+BLOCKS = 1  # of averaged SGD where the caller names no number: the sequential run, whatever the size of the table
 
 
 @dataclass(frozen=True)
@@ -178,7 +179,7 @@ def _finish(spark, s: SgdSetup, mode: str, w, best, history, converged, reason)
 
 
 def fit_sgd(df: DataFrame, features: Sequence[str], label: str, key: str, s: SgdSetup, mode: str = "exact",
-            hashed: Column | None = None, chunk_rows: int = CHUNK_ROWS, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+            hashed: Column | None = None, chunk_rows: int = CHUNK_ROWS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
     """(model row, history rows). Losses after each epoch come from the statistic of the whole table, not from a pass."""
     features = list(features)
     affine = s.loss in ("ols", "ridge") and not s.step_length
@@ -206,7 +207,7 @@ def fit_sgd(df: DataFrame, features: Sequence[str], label: str, key: str, s: Sgd
                 state = np.asarray(maps[lr]).reshape(len(state), -1) @ state
                 w, v = state[:p], state[p:2 * p] if s.momentum else v
             elif mode == "averaged":
-                w, v = _averaged_epoch(table, features, label, key, s, epoch, lr, w, v, n, hashed, blocks)
+                w, v = _averaged_epoch(table, features, label, key, s, epoch, lr, w, v, hashed, blocks)
             else:
                 raise ValueError(f"unknown mode {mode!r}")
             loss, gnorm = q.value(w), float(np.linalg.norm(q.gradient(w)))
@@ -240,7 +241,7 @@ def _gradient(h, b, w, s: SgdSetup):
     return g
 
 
-def _averaged_epoch(table: DataFrame, features, label, key: str, s: SgdSetup, epoch: int, lr, w, v, n: int, hashed=None, blocks: int | None = None):
+def _averaged_epoch(table: DataFrame, features, label, key: str, s: SgdSetup, epoch: int, lr, w, v, hashed=None, blocks: int = BLOCKS):
     """Every block of rows runs the epoch on its own and the weights are averaged by rows.
 
     A key's block, its place in the order and its bootstrap weight come from hashes of the key, so that the result does not
@@ -248,16 +249,13 @@ def _averaged_epoch(table: DataFrame, features, label, key: str, s: SgdSetup, ep
     """
     names = [*features, label]
     seed = s.seed + (epoch if s.order != "once" else 0)
-    blocks = blocks or max(1, -(-n // BLOCK_ROWS))
     place = _hash_of(key, seed, hashed, epoch if s.order != "once" else 0)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("bootstrap")), F.lit(HASH_SPACE)) / F.lit(float(HASH_SPACE))
     rows = table.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(key).alias("__key"), place.alias("__h"),
                         (poisson_weight(u) if s.order == "bootstrap" else F.lit(1.0)).alias("__w"),
                         F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(blocks)).alias("__block"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__h", "__key"])
-        a, m = w.copy(), v.copy()
+    def steps(a, m, pdf: pd.DataFrame):
         x, y = np.hstack([pdf[features].to_numpy(float), np.ones((len(pdf), 1))]), pdf[label].to_numpy(float)
         weight = pdf["__w"].to_numpy(float)
         for i in range(0, len(pdf), s.batch_size):
@@ -266,9 +264,31 @@ def _averaged_epoch(table: DataFrame, features, label, key: str, s: SgdSetup, ep
                 g = xs.T @ (ws * (xs @ a - ys)) / ws.sum()
                 g[:-1] += penalty_gradient(a[:-1], s.loss, s.regularization)
                 a, m = _apply(a, m, g, s, lr)
-        return pd.DataFrame({"n": [len(pdf)], "s": [(np.concatenate([a, m]) * len(pdf)).tolist()]})
+        return a, m
 
-    parts = rows.groupBy("__block").applyInPandas(run, "n long, s array<double>")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, a, m, count, rest = None, w, v, 0, None
+
+        def end() -> pd.DataFrame:
+            state = np.concatenate(steps(a, m, rest))
+            return pd.DataFrame({"n": [count], "s": [(state * count).tolist()]})
+
+        for pdf in frames:
+            for one, part in pdf.groupby("__block", sort=False):
+                if one != block:
+                    if block is not None:
+                        yield end()
+                    block, a, m, count, rest = one, w.copy(), v.copy(), 0, part[:0]
+                count += len(part)
+                part = pd.concat([rest, part]) if len(rest) else part
+                whole = len(part) // s.batch_size * s.batch_size  # the rest waits for the rows that come next
+                a, m = steps(a, m, part[:whole])
+                rest = part[whole:]
+        if block is not None:
+            yield end()
+
+    ordered = rows.repartition(blocks, "__block").sortWithinPartitions("__block", "__h", "__key")
+    parts = ordered.mapInPandas(run, "n long, s array<double>")
     p = len(w)
     row = parts.agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(2 * p)]).first()
     mean = np.array([row[f"s{j}"] for j in range(2 * p)]) / row["n"]

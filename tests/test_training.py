@@ -219,6 +219,48 @@ def test_averaged_sgd_does_not_depend_on_partitions(spark, lin2, order):
     assert np.allclose(*results, atol=1e-12)
 
 
+@pytest.mark.parametrize("options", [{"step_length": 0.05, "momentum": 0.3}, {"loss": "l1", "regularization": 0.1}])
+def test_blocks_of_averaged_sgd_are_plain_loops(spark, lin2, options):
+    s = S.SgdSetup(batch_size=8, epochs=1, learning_rate=0.05, order="once", tolerance=0.0, **options)
+    fit = lambda df: S.fit_sgd(df, ["x1", "x2"], "y", "id", s, mode="averaged", hashed=F.col("id") * 7 % 50, blocks=8)[0].first()["last_weights"]
+    block = dict(lin2.select("id", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(8)).alias("b")).collect())
+    means = np.zeros(3)
+    for b in sorted(set(block.values())):
+        ids = [i for i in sorted(range(50), key=lambda i: (i * 7 % 50, i)) if block[i] == b]
+        means += len(ids) * brute_sgd(line_frame(), s, ids)
+    assert len(set(block.values())) > 1 and np.allclose(fit(lin2), means / 50)
+
+
+def test_blocks_of_averaged_sgd_do_not_follow_the_size(spark):
+    s = S.SgdSetup(batch_size=5000, epochs=1, step_length=0.05, order="once", tolerance=0.0)
+    df = spark.range(60_000).select("id", (F.col("id") % 7 / 3.0 - 1).alias("x"), (F.col("id") % 11 / 5.0).alias("y"))
+    fit = lambda **more: S.fit_sgd(df, ["x"], "y", "id", s, mode="averaged", **more)[0].first()["last_weights"]
+    assert np.allclose(fit(), fit(blocks=1), atol=1e-12)
+
+
+def test_averaged_queries_have_blocks_at_test_size(spark):
+    from workload import learn
+
+    sf = "/root/testdata/sf0.001"
+    for run, setup in ((learn.sgd_fixed_length_averaged, {"order": "once", "step_length": 0.01}), (learn.sgd_averaged, {"loss": "l1", "regularization": 0.001})):
+        row = run(spark, sf).first()
+        assert row["mode"] == "averaged"
+        assert np.allclose(row["weights"], learn._sgd_model(spark, sf, "averaged", blocks=8, **setup).first()["weights"], atol=1e-9)
+        assert not np.allclose(row["weights"], learn._sgd_model(spark, sf, "averaged", blocks=1, **setup).first()["weights"], atol=1e-9)
+
+
+def test_a_block_of_averaged_sgd_comes_in_many_pieces(spark, lin2):
+    s = S.SgdSetup(batch_size=8, epochs=2, learning_rate=0.05, tolerance=0.0, loss="l1", regularization=0.01)
+    fit = lambda: S.fit_sgd(lin2, ["x1", "x2"], "y", "id", s, mode="averaged", blocks=3)[0].first()["last_weights"]
+    whole = fit()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert np.allclose(fit(), whole, atol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_large_batches_are_summed_before_they_become_maps(spark, lin2):
     s = S.SgdSetup(batch_size=20, learning_rate=0.05)
     args = (lin2, ["x1", "x2"], "y", "id", s, 0, [0.05], 50, F.col("id") * 7 % 50)
