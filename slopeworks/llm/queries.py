@@ -124,3 +124,36 @@ def op6(spark, sf):
 
     pages = table(spark, sf, "pages")
     return extract_text(pages, fit_blocks(pages))
+
+
+@query("op11_order_minhash")
+def op11(spark, sf):
+    from slopeworks.llm.order_minhash import order_fingerprints
+
+    return order_fingerprints(table(spark, sf, "documents"))
+
+
+def _op12_sql() -> str:
+    from slopeworks.llm.trie import ORACLE
+
+    return ORACLE
+
+
+@query("op12_conversation_trie", _op12_sql())
+def op12(spark, sf):
+    from slopeworks.llm.trie import conversation_trie
+
+    return conversation_trie(table(spark, sf, "conversations"))
+
+
+def _op13_sql() -> str:
+    from slopeworks.llm.vector_codes import ORACLE
+
+    return ORACLE
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark, sf):
+    from slopeworks.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf, "embeddings"))
