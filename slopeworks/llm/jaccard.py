@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slopeworks.llm.components import connected_components
-from slopeworks.llm.plans import broadcast_within
+from slopeworks.llm.plans import broadcast_within, spare_names
 from slopeworks.llm.shingles import WORDS, prefix_length, shingle_set
 from slopeworks.llm.tasks import released
 from slopeworks.session import shared_folder
@@ -31,6 +31,7 @@ PERCENT = 75
 FREQUENT = 50  # documents of a shingle above which it goes to the end of the order
 MOST_FREQUENT = 500_000  # shingles in that list; with more of them the limit above is raised
 IDS_BROADCAST = 1_000_000
+SAMPLED, HEAVY, MOST_HEAVY, SALTS = 64, 16, 500_000, 1024  # one document in so many shows which shingles need splitting, and how
 FRAGMENTS = 4
 STAR_ROUNDS = 2
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
@@ -38,7 +39,7 @@ MIXED = -2**63  # stands for the labels of few members, which share blocks
 
 
 def _sets_task(words: int, percent: int, frequent=None):
-    """(doc_id, n, sig, prefix) of each document."""
+    """(id, n, sig, prefix) of each document."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -56,7 +57,7 @@ def _sets_task(words: int, percent: int, frequent=None):
                     prefixes.append(_first(s, prefix_length(len(s), percent), known, rank))
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["doc_id", "n", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["id", "n", "sig", "prefix"])
     return run
 
 
@@ -89,7 +90,7 @@ def _segments_task(words: int):
     return run
 
 
-SETS = "doc_id long, n long, sig binary, prefix array<long>"
+SETS = "id long, n long, sig binary, prefix array<long>"
 SEGMENTS = "id long, fragment int, n long, segment array<long>"
 
 
@@ -137,57 +138,69 @@ class _Job:
         return summed.filter(self.alike(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
 
     def links(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(all documents with n and class, links between classes)."""
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+        """(id, n, class) of all `docs` (id, text), with a class for those that have shingles; and links between classes."""
+        text = docs.select("id", F.encode("text", "UTF-8").alias("text"))
         base = self.store(text.mapInArrow(released(_sets_task(self.words, self.percent)), SETS), "sets")
-        thin = base.select("doc_id", "n", "sig")
-        # Of rows of one doc_id with different texts, one stands for all.
-        known = thin.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min_by("n", "sig").alias("n"))
-        known = self.store(known, "known")
+        thin = base.select("id", "n", "sig")
         # Stored, so that the join below has a shuffle of its own, which can split a signature of very many copies.
-        firsts = self.store(known.groupBy("sig").agg(F.min("doc_id").alias("class")), "firsts")
-        copies = self.store(known.join(firsts, "sig").select("doc_id", "class", "sig", "n"), "classes")
-        others, _ = broadcast_within(copies.filter("doc_id <> class").select("doc_id"), IDS_BROADCAST)
-        originals = text.filter("doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
-        frequent = self.frequent(base.filter("doc_id IS NOT NULL").select("doc_id", "prefix").join(others, "doc_id", "left_anti"))
-        ordered = (base if frequent is None else originals.mapInArrow(released(_sets_task(self.words, self.percent, frequent)), SETS)).filter("n > 0 AND doc_id IS NOT NULL")
-        if frequent is None:
-            ordered = ordered.join(others, "doc_id", "left_anti")
-        tokens = ordered.select(F.explode("prefix").alias("t"), F.col("doc_id").alias("id"), "n")
-        group = Window.partitionBy("t")
-        shared = self.store(self.promising(tokens), "shared")
+        firsts = self.store(thin.filter("n > 0").groupBy("sig").agg(F.min("id").alias("class")), "firsts")
+        copies = self.store(thin.filter("n > 0").join(firsts.hint("merge"), "sig").select("id", "n", "class"), "classes")
+        copied = copies.unionByName(thin.filter("n = 0").select("id", "n", F.lit(None).cast("long").alias("class")))
+        others, _ = broadcast_within(copies.filter("id <> class").select("id"), IDS_BROADCAST)
+        originals = text.join(others, "id", "left_anti")
+        frequent = self.frequent(base.select("id", "prefix").join(others, "id", "left_anti"))
+        task = released(_sets_task(self.words, self.percent, frequent))
+        tokens = lambda of: of.filter("n > 0").select(F.explode("prefix").alias("t"), "id", "n")
+        some = originals.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+        heavy = self.heavy(tokens(some.mapInArrow(task, SETS)))
+        shared = self.promising(tokens(originals.mapInArrow(task, SETS) if frequent is not None else base.join(others, "id", "left_anti")), heavy)
         involved, _ = broadcast_within(self.store(shared.select("id").distinct(), "involved"), IDS_BROADCAST)
-        segments = self.store(originals.withColumnRenamed("doc_id", "id").join(involved, "id", "left_semi").select("id", "text").mapInArrow(released(_segments_task(self.words)), SEGMENTS), "segments")
+        segments = self.store(originals.join(involved, "id", "left_semi").mapInArrow(released(_segments_task(self.words)), SEGMENTS), "segments")
         links, groups = None, shared.withColumn("label", F.col("id"))
         for k in range(STAR_ROUNDS):
-            found = self.store(self.verify(self.star(groups, k), segments), f"star{k}")
-            links = found if links is None else links.unionByName(found)
-            parts = connected_components(links)
-            labelled = shared.join(parts, "id", "left").select("t", "id", "n", "k", F.coalesce("component", "id").alias("label"))
-            mixed = labelled.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t")
-            groups = self.store(labelled.join(mixed, "t"), f"open{k}")
+            found = self.verify(self.star(groups, k), segments)
+            # What is linked already goes on as one star a component, not as all its links.
+            parts = connected_components(found if links is None else links.unionByName(found))
+            links = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            labelled = self.store(shared.join(parts.hint("merge"), "id", "left").select("t", "id", "n", "k", F.coalesce("component", "id").alias("label")), f"labelled{k}")
+            mixed = self.store(labelled.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("t"), f"mixed{k}")
+            groups = self.store(labelled.join(mixed.hint("merge"), "t"), f"open{k}")
+            if groups.isEmpty():
+                return copied, links
         light = groups.filter(F.col("k") <= FREQUENT)
         x, y = (light.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label")]) for s in "xy")
         across = x.join(y, "t").filter((F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")) & self.may_be(F.col("n_x"), F.col("n_y")))
         # A pair that shares a frequent shingle too is compared in the blocks; of others all shared ones are counted here.
         counted = across.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.least(F.min("n_x"), F.min("n_y")).alias("least"))
         pairs = counted.filter(F.col("c") >= 1 + F.expr("least div 20")).select("a", "b")
-        pair_links = self.store(self.verify(pairs, segments), "pairs")
-        block_links = self.store(self.families(groups.filter(F.col("k") > FREQUENT), segments), "blocks")
-        return thin.join(copies.select("doc_id", "class"), "doc_id", "left"), links.unionByName(pair_links).unionByName(block_links)
-
-    def promising(self, tokens: DataFrame) -> DataFrame:
-        """Shingles of two documents or more, of documents that share enough of them with others to be alike to one at all."""
-        size = lambda df: df.drop("k").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("t"))).filter("k > 1")
-        once = self.store(size(tokens), "once")
+        block_links = self.families(groups.filter(F.col("k") > FREQUENT), segments)
+        return copied, links.unionByName(self.verify(pairs, segments)).unionByName(block_links)
+
+    def heavy(self, sample: DataFrame) -> DataFrame:
+        """Shingles that many documents of a sample have, as a list of bounded size. It says which groups to count in parts and
+        changes no result."""
+        counts = self.store(sample.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY), "sample")
+        total = counts.agg(F.sum("k")).first()[0] or 0
+        return F.broadcast(self.store(counts.filter(F.col("k") > total // MOST_HEAVY).select("t", F.lit(True).alias("heavy")), "heavy"))
+
+    def promising(self, tokens: DataFrame, heavy: DataFrame) -> DataFrame:
+        """(t, id, n, k): shingles of k > 1 documents, of documents that share enough of them with others to be alike to one at all."""
+        salted = tokens.join(heavy, "t", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+        parts = Window.partitionBy("t", "salt")
+        once = self.store(salted.withColumn("k", F.count(F.lit(1)).over(parts)).filter("heavy OR k > 1").drop("salt"), "once")
+        whole = self.store(once.filter("heavy").groupBy("t").agg(F.count(F.lit(1)).alias("whole")), "whole")  # within the heavy list
+        once = once.join(F.broadcast(whole), "t", "left").withColumn("k", F.coalesce("whole", "k")).filter("k > 1")
         enough = once.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).filter(F.col("c") >= 1 + F.expr(f"cast(ceil({self.percent} * n / 100.0) as bigint) div 20"))
-        return size(once.join(enough.select("id"), "id"))
+        likely = self.store(once.select("t", "id", "n").join(enough.select("id").hint("merge"), "id"), "likely")
+        # Counts are summed in parts and stored, so that the join can split a shingle of very many documents.
+        counts = self.store(likely.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "counts")
+        return self.store(likely.join(counts.hint("merge"), "t"), "shared")
 
     def star(self, groups: DataFrame, k: int) -> DataFrame:
         """(a, b): each document with the one among its groups' first members with which it shares most of its groups."""
         order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
-        hubs = groups.groupBy("t").agg(F.min_by(F.struct("id", "n", "label"), order).alias("hub"))
-        near = groups.join(hubs, "t").filter((F.col("label") != F.col("hub.label")) & self.may_be(F.col("n"), F.col("hub.n")))
+        hubs = self.store(groups.groupBy("t").agg(F.min_by(F.struct("id", "n", "label"), order).alias("hub")), f"hubs{k}")
+        near = groups.join(hubs.hint("merge"), "t").filter((F.col("label") != F.col("hub.label")) & self.may_be(F.col("n"), F.col("hub.n")))
         best = near.groupBy(F.col("id").alias("b"), F.col("hub.id").alias("a")).count().groupBy("b").agg(F.max(F.struct("count", F.col("a"))).alias("m"))
         return best.select(F.col("m.a").alias("a"), "b")
 
@@ -197,25 +210,23 @@ class _Job:
         near = heavy.join(firsts, "t").select(F.col("id").alias("a"), "b")
         family = connected_components(near)
         members = heavy.select("id", "n", "label").distinct().join(family, "id").withColumnRenamed("component", "family")
-        sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+        # Sets of one size class are alike only to sets of the same class or a neighbouring one.
+        members = members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / self.percent, 1.01))) + 1e-9))
+        sizes = members.groupBy("family", "size", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
         pure = (F.col("m") >= BLOCK_SETS // 2)
         kinds = sizes.withColumn("kind", F.when(pure, F.col("label")).otherwise(F.lit(MIXED)))
-        totals = kinds.groupBy("family", "kind").agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+        totals = kinds.groupBy("family", "size", "kind").agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
         totals = totals.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)))
-        placed = members.join(kinds.select("family", "label", "kind"), ["family", "label"]).join(totals.select("family", "kind", "blocks"), ["family", "kind"])
-        placed = self.store(placed.select("family", "kind", "label", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")), "placed")
-        blocks = placed.select("family", "kind", "block").distinct()
-        p, q = (blocks.select("family", *[F.col(c).alias(f"{c}_{s}") for c in ("kind", "block")]) for s in "pq")
-        ahead = (F.col("kind_p") < F.col("kind_q")) | ((F.col("kind_p") == MIXED) & (F.col("kind_q") == MIXED) & (F.col("block_p") <= F.col("block_q")))
-        tasks = p.join(q, "family").filter(ahead)
-        sides = tasks.select("family", "kind_p", "block_p", "kind_q", "block_q", F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("kind_p").alias("kind"), F.col("block_p").alias("block")),
-            F.struct(F.lit(1).alias("side"), F.col("kind_q").alias("kind"), F.col("block_q").alias("block")))).alias("s")).select("family", "kind_p", "block_p", "kind_q", "block_q", "s.*")
-        sides = sides.filter((F.col("side") == 0) | (F.col("kind_p") != F.col("kind_q")) | (F.col("block_p") != F.col("block_q")))
-        whole = segments.groupBy("id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("fragment", "segment")))["segment"]).alias("tokens"))
-        full = placed.join(whole, "id")
-        work = sides.join(full, ["family", "kind", "block"])
-        return work.groupBy("family", "kind_p", "block_p", "kind_q", "block_q").applyInArrow(_block_task(self.percent), "a long, b long")
+        placed = members.join(kinds.select("family", "size", "label", "kind"), ["family", "size", "label"]).join(totals.select("family", "size", "kind", "blocks"), ["family", "size", "kind"])
+        block = F.struct("size", "kind", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part")).alias("block")
+        placed = self.store(placed.select("family", block, "label", "id"), "placed")
+        blocks = placed.select("family", "block").distinct()
+        p, q = (blocks.select("family", F.col("block").alias(s)) for s in "pq")
+        worth = (F.col("p") <= F.col("q")) & (F.col("q.size") - F.col("p.size") <= 1) & ((F.col("p.kind") != F.col("q.kind")) | (F.col("p.kind") == MIXED))
+        tasks = p.join(q, "family").filter(worth)
+        sides = tasks.select("family", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("block"))
+        work = sides.join(placed, ["family", "block"]).join(segments.select("id", "fragment", "segment"), "id")
+        return work.groupBy("family", "p", "q").applyInArrow(_block_task(self.percent), "a long, b long")
 
 
 def _block_task(percent: int):
@@ -223,17 +234,22 @@ def _block_task(percent: int):
         import numpy as np
         import pyarrow as pa
 
-        ids, labels = (table.column(c).to_numpy() for c in ("id", "label"))
-        lists = table.column("tokens").combine_chunks()
-        tokens, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, int)
-        ends = np.append(starts[1:], len(tokens))
-        overlap = np.zeros((len(ids), len(ids)), np.int32)
-        for s, e in zip(starts, ends):
-            if e - s > 1:
+        ids, first, place = np.unique(table.column("id").to_numpy(), return_index=True, return_inverse=True)
+        labels = table.column("label").to_numpy()[first]
+        fragment = table.column("fragment").to_numpy()
+        overlap, sizes = np.zeros((len(ids), len(ids)), np.int32), np.zeros(len(ids), np.int64)
+        for f in range(FRAGMENTS):  # the overlaps of each fragment apart, summed per pair
+            rows = np.flatnonzero(fragment == f)
+            lists = table.column("segment").take(pa.array(rows)).combine_chunks()
+            tokens, lengths = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            np.add.at(sizes, place[rows], lengths)
+            owner = np.repeat(place[rows], lengths)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, int)
+            ends = np.append(starts[1:], len(tokens))
+            several = ends - starts > 1
+            for s, e in zip(starts[several], ends[several]):
                 who = owner[s:e]
                 overlap[np.ix_(who, who)] += 1
         total = sizes[:, None] + sizes[None, :]
@@ -258,15 +274,57 @@ def _block_task(percent: int):
     return run
 
 
+def _unique_ids(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
+
+
+def _components(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(id, n, component) of `docs` (id, text), whose ids are unique and not null."""
+    rows, links = _Job(docs.sparkSession, percent, words).links(docs)
+    parts = connected_components(links).withColumnRenamed("id", "class")
+    return rows.join(parts, "class", "left").select("id", "n", F.coalesce("component", "class", "id").alias("component"))
+
+
+def _rows_numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs`, stored with a number for each row, for tables where doc_id does not tell rows apart."""
+    folder = shared_folder(docs.sparkSession)
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def shingle_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows of one doc_id are one document: a row
-    keeps its own n_shingles, and links go by the row of smallest signature. A null doc_id is linked with nothing and has a
-    null component. Other columns are ignored. An empty table gives an empty result.
+    Null, empty and blank texts have no shingles and are linked with nothing. Where a doc_id is repeated, every row is a
+    document of its own and linked by its text alone. A row with a null doc_id is linked with nothing and has a null
+    component. Other columns are ignored. An empty table gives an empty result.
     """
-    job = _Job(docs.sparkSession, percent, words)
-    rows, links = job.links(docs)
-    parts = connected_components(links)
-    joined = rows.join(parts.withColumnRenamed("id", "class"), "class", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc_id").alias("component_id"))
+    if _unique_ids(docs):
+        found = _components(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), percent, words)
+        return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    rows = _rows_numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "id")
+    found = _components(rows.filter("doc_id IS NOT NULL").select("id", "text"), percent, words).join(rows.select("id", "doc_id"), "id")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.filter("doc_id IS NULL").select("id", F.encode("text", "UTF-8").alias("text")).mapInArrow(released(_sets_task(words, percent)), SETS)
+    return named.unionByName(alone.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest doc_id, null ones last. Rows without shingles all stay, and
+    so do all columns. Rows of one doc_id go only where their texts are alike."""
+    folder = shared_folder(docs.sparkSession)
+    unique = _unique_ids(docs)
+    row = "doc_id" if unique else spare_names(docs, "_row")[0]
+    rows = docs if unique else _rows_numbered(docs, row)
+    _components(rows.select(F.col(row).cast("long").alias("id"), "text"), percent, words).write.parquet(folder)
+    found = docs.sparkSession.read.parquet(folder)
+    if unique:
+        others = found.filter("id <> component")
+    else:
+        named = found.join(rows.select(F.col(row).alias("id"), "doc_id"), "id")
+        best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("best"))
+        found.join(best.select(F.col("best.id").alias("id")), "id", "left_anti").write.parquet(f"{folder}-others")
+        others = docs.sparkSession.read.parquet(f"{folder}-others")
+    gone, _ = broadcast_within(others.select(F.col("id").alias(row)), IDS_BROADCAST)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
