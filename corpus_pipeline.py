@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeworks.llm.decontaminate import drop_leaks
-from slopeworks.llm.jaccard import shingle_components
+from slopeworks.llm.jaccard import drop_near_copies
 from slopeworks.llm.language import UNKNOWN, fit_languages, predict_language
 from slopeworks.llm.lines import drop_shared_lines
 from slopeworks.llm.packing import pack_documents
-from slopeworks.llm.plans import broadcast_within
 from slopeworks.llm.queries import table, vocabulary
 from slopeworks.session import shared_folder
 
@@ -37,15 +36,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of alike documents, and one row of each doc_id."""
+    """Keeps one document of each group of alike ones, that of the smallest doc_id."""
     _small_batches(spark)
-    folder = shared_folder(spark)
-    shingle_components(docs).write.parquet(folder)
-    groups = spark.read.parquet(folder)
-    others, _ = broadcast_within(groups.filter("component_id <> doc_id").select("doc_id").distinct(), 1_000_000)
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
