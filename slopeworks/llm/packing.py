@@ -21,12 +21,14 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slopeworks.llm.plans import spare_names
 from slopeworks.llm.tasks import released
 from slopeworks.llm.tokens import WordEncoder, encoder
 from slopeworks.session import shared_folder
 
 CAPACITY = 4096
 GROUPS = 32
+PLAN_BROADCAST = 500_000
 RANK_BLOCK = 50_000  # rows of one length that a window ranks at once
 
 
@@ -208,17 +210,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         first += copies
     plan = spark.createDataFrame(entries, "length long, from_rank long, to_rank long, first_sequence long, each long, at long")
     blocks = max(1, sum(histogram.values()) // RANK_BLOCK)
-    spread = pieces.withColumn("_block", F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
-    counts = spread.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("length", "_block").orderBy("row", "piece")) - 1
-    ranked = spread.withColumn("_inside", inside).join(counts, ["length", "_block"]).withColumn("_rank", F.col("_before") + F.col("_inside"))
+    block, inside, rank, before = spare_names(pieces, "_block", "_inside", "_rank", "_before")
+    spread = pieces.withColumn(block, F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
+    counts = spread.groupBy("length", block).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
+    order = F.row_number().over(Window.partitionBy("length", block).orderBy("row", "piece")) - 1
+    ranked = spread.withColumn(inside, order).join(counts, ["length", block]).withColumn(rank, F.col(before) + F.col(inside))
     # The plan has a few entries for each length, of which there are at most `capacity`.
-    placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (ranked["_rank"] >= plan["from_rank"]) & (ranked["_rank"] < plan["to_rank"]))
-    within = F.col("_rank") - F.col("from_rank")
-    return placed.select(*[ranked[c] for c in pieces.columns], (F.col("first_sequence") + F.floor(within / F.col("each"))).alias("sequence_id"),
-                         (F.col("at") + (within % F.col("each")) * ranked["length"]).alias("offset"))
+    small = F.broadcast(plan) if len(entries) <= PLAN_BROADCAST else plan
+    placed = ranked.join(small, (ranked["length"] == plan["length"]) & (ranked[rank] >= plan["from_rank"]) & (ranked[rank] < plan["to_rank"]))
+    within = F.col(rank) - plan["from_rank"]
+    return placed.select(*[ranked[c] for c in pieces.columns], (plan["first_sequence"] + F.floor(within / plan["each"])).alias("sequence_id"),
+                         (plan["at"] + (within % plan["each"]) * ranked["length"]).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:

@@ -173,16 +173,21 @@ def _write_task(folder: str, tokenizer: str, end_id: int) -> Callable:
     return write
 
 
+NO_ID = -2**63
+DOCS_A_FILE = 1_000_000
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, files: int | None = None) -> DataFrame:
     """Encodes `text` of `docs` and writes one file for each range of doc_id; returns the manifest, read back from `folder`.
 
-    Null and empty texts give the end id alone. Rows of the same doc_id all stay, next to each other. No document may have a
-    null doc_id (an error says so). An empty table gives an empty manifest. Other columns are ignored, whatever their names.
+    Null and empty texts give the end id alone. Rows of the same doc_id all stay, next to each other. A null doc_id comes first;
+    the files hold it as the smallest 64-bit number, which is read back as null. An empty table gives an empty manifest. Other columns are ignored, whatever their names.
     `folder` must be in storage that all executors reach (file, hdfs, s3 or gs address).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), "text")
-    count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
+    # A writer holds the directory of its file, 16 bytes a document.
+    count = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // DOCS_A_FILE))
     # The second key parts rows of one doc_id, should there be very many.
     placed = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(count, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     made = placed.select("doc_id", "text").mapInArrow(released(_write_task(f"{folder}/data", tokenizer, end_id)), MANIFEST)
@@ -217,7 +222,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("file", "place", "first")
     spread = placed.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place")
-    return spread.mapInArrow(released(_read_task), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = spread.mapInArrow(released(_read_task), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Both vocabularies cut a text at blanks before they merge, so the ids of a text are the ids of its pieces in order. A task
 keeps the ids of pieces it has met and calls the library for new ones only; the result is the library's own for the whole text.
+A text that holds one of the vocabulary's added tokens, such as an end mark, goes to the library uncut.
 """
 
 from __future__ import annotations
@@ -13,14 +14,11 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 
-
 def _load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -47,6 +45,7 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _load(path)
         self.known = _Known()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def pieces(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -55,7 +54,7 @@ class Encoder:
         """The ids of each text; the new pieces of all `texts` go to the library in one call."""
         known = self.known
         known.rare = {}
-        cut = [self.pieces(t) if t else [] for t in texts]
+        cut = [([t] if any(a in t for a in self.added) else self.pieces(t)) if t else [] for t in texts]
         new = list(set().union(*cut).difference(known))
         kept = known if len(known) < self.most_known else known.rare
         for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
