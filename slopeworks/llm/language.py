@@ -10,20 +10,20 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeworks.llm.tasks import released
 
 SAMPLE = 300  # labelled documents for each language that the network is fitted on
 SAMPLE_CHARS = 600  # of each, from a place that the hash of the doc_id fixes
-LANGUAGES = 200  # most that can be told apart
+LANGUAGES = 200  # most that are told apart: those with the most labelled documents
 HIDDEN = 8
 INNER, WARM = 224, 16
 LANES = 2048
 STEPS, BATCH, SPAN = 260, 192, 48
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # and signs such as a half or a Roman numeral, which are no letters
 
 
 class ByteNetwork:
@@ -32,7 +32,7 @@ class ByteNetwork:
     def __init__(self, classes: list[str], hidden: int = HIDDEN, seed: int = 7):
         import numpy as np
 
-        self.classes, self.hidden = classes, hidden
+        self.classes, self.hidden, self.left_out = classes, hidden, 0
         r = np.random.default_rng(seed)
         h, k = hidden, len(classes)
         self.weights = {}
@@ -199,29 +199,41 @@ class ByteNetwork:
         return total / np.maximum(sizes, 1)[:, None]
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def held_out():
     """Documents whose doc_id has remainder 2 of crc32 by 4 are never learnt from."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
 def fit_languages(docs: DataFrame, sample: int = SAMPLE) -> ByteNetwork | None:
-    """Fits on up to `sample` texts of each language of `docs`, chosen by the hash of doc_id; None if there is none to learn from."""
+    """Fits on up to `sample` texts of each language of `docs`, those of lowest hash; None if there is none to learn from.
+
+    Labels beyond the `LANGUAGES` most frequent ones are not learnt; the network's `left_out` tells how many those are.
+    """
     learn = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    by_lang = learn.groupBy("lang").count().persist()
+    counts = {r["lang"]: r["count"] for r in by_lang.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    left_out = by_lang.count() - len(counts)
+    by_lang.unpersist()
     if not counts:
         return None
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**30))
-    # Twice the share that is wanted, and the lowest hashes of those; languages with few documents are taken whole.
-    limit = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(2**30, int(2**31 * sample / n) + 2**20))]), F.col("lang"))
+    # Twice the share that is wanted, then the lowest hashes of those, on Spark: what is collected has a fixed size.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**62))
+    limit = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(2**62, 2**63 * sample // n))]), F.col("lang"))
     start = (F.pmod(F.xxhash64("doc_id"), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(1)))).cast("int") + 1
-    rows = learn.filter(place < limit).select("lang", place.alias("place"), F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("part")).collect()
+    some = learn.filter(place < limit).select("lang", place.alias("place"), F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("part")).distinct()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "part"))
+    rows = some.withColumn("k", order).filter(F.col("k") <= sample).collect()
     kept: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["part"])):
         kept.setdefault(r["lang"], []).append(r["part"].encode())
-    pairs = [(t, lang) for lang, texts in kept.items() for t in texts[:sample]]
-    return ByteNetwork(sorted(kept)).fit([t for t, _ in pairs], [v for _, v in pairs])
+    pairs = [(t, lang) for lang, texts in kept.items() for t in texts]
+    network = ByteNetwork(sorted(kept)).fit([t for t, _ in pairs], [v for _, v in pairs])
+    network.left_out = left_out
+    return network
 
 
 def _predict_task(network: ByteNetwork | None):
@@ -232,7 +244,7 @@ def _predict_task(network: ByteNetwork | None):
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                plain = [bool(t and _LETTER.search(t)) for t in texts]
+                plain = list(map(has_letter, texts))
                 found = network.probabilities([t.encode() for t, p in zip(texts, plain) if p]) if network and any(plain) else None
                 langs, scores, at = [], [], 0
                 for p in plain:
