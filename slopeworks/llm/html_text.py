@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 
 from slopeworks.llm.tasks import released
 
-SAMPLE_PAGES = 250  # pages the labeller is fitted on, chosen by the hash of page_id
+SAMPLE_PAGES = 250  # pages with telling names that the labeller is fitted on, chosen by their hash
 PATH_BUCKETS, WORD_BUCKETS, PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 1024, 12, 6, 4, 12
-STEPS, BATCH = 300, 16
+STEPS, BATCH = 400, 20
 PAGES_AT_ONCE = 256
 
+_INSIDE = r"""(?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+"""  # of a tag: a quoted value is one unit, whatever it holds
 _TOKEN = re.compile(
     # A raw name ends at a blank, / or >: <svg-icon> is an element of its own. Only a self-closed svg has no content.
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>"
-    r"|<(?P<raw>script|style|title|textarea|template|noscript|iframe|svg|select)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>[^>]*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/]){_INSIDE}(?<=/)>"
+    rf"|<(?P<raw>script|style|title|textarea|template|noscript|iframe|svg|select)(?=[\s/>]){_INSIDE}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<more>{_INSIDE})>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NAMING = frozenset(("class", "id", "role", "itemprop"))
 # Elements that part blocks, and the open elements that a new one ends.
 BLOCKS = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -84,19 +86,27 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     stack.pop()
                 names = [tag]
                 if m["more"]:
-                    for n in _NAMES.finditer(m["more"]):
+                    for n in _ATTRIBUTE.finditer(m["more"]):
                         kind, value = n[1].lower(), (n[2] or n[3] or n[4] or "").lower()
-                        names += ["hidden"] if kind == "hidden" or kind == "aria-hidden" and value == "true" else value.split() if kind != "aria-hidden" else []
+                        names += ["hidden"] if kind == "hidden" or kind == "aria-hidden" and value == "true" else value.split() if kind in _NAMING else []
                 stack.append((tag, names))
     flush()
     return out
 
 
 def telling(path: tuple[str, ...]) -> int | None:
-    """1 for a path under content and not under anything else, 0 under a menu and the like, None where the names do not tell."""
-    if any(n in BOILER or any(p in BOILER for p in re.split(r"[-_]", n)) for n in path):
-        return 0
-    return 1 if any(n in CONTENT for n in path) else None
+    """1 for a path under content and not under anything else, 0 under a menu and the like, None where the names do not tell.
+
+    A header inside the content is the article's own. Parts of a name (share-price) tell only where no whole name does.
+    """
+    content = False
+    for n in path:
+        if n in CONTENT:
+            content = True
+        elif n in BOILER and not (content and n == "header"):
+            return 0
+    parted = any(p in BOILER for n in path if n not in CONTENT and n not in BOILER for p in re.split(r"[-_]", n))
+    return (None if parted else 1) if content else 0 if parted else None
 
 
 def _bucket(name: str, size: int) -> int:
@@ -107,7 +117,7 @@ def features(page: list[tuple[tuple[str, ...], str, float]]) -> list[tuple[list[
     """Buckets of the path (names and their parts) and of the words, and four measures, of each block."""
     out = []
     for k, (path, text, linked) in enumerate(page):
-        names = {p for n in path for p in (n, *re.split(r"[-_]", n))}
+        names = {p for n in path for p in (n, *(f"~{x}" for x in re.split(r"[-_]", n) if x != n))}
         words = text.split()
         out.append(([_bucket(n, PATH_BUCKETS) for n in names], [_bucket(w.lower(), WORD_BUCKETS) for w in words],
                     [min(len(words), 100) / 50, linked, k / max(len(page) - 1, 1), float(text[-1] in ".!?…")]))
@@ -246,32 +256,60 @@ class BlockNetwork:
         return self
 
 
+# How titles and the blocks of an article can be set.
+TITLES = (("h1",), ("h2",), ("h3",), ("header", "h1"), ("header", "entry-header", "h1"), ("div", "h1"))
+SHAPES = (("div",), *[("ul", "li"), ("ol", "li")] * 2, ("blockquote",), ("blockquote", "p"), ("table", "tr", "td"), ("table", "tbody", "tr", "td"), ("dl", "dd"), ("pre",), ("figure", "figcaption"),
+          ("h2",), ("h3",), ("h4",), ("section", "p"), ("header", "p"))
+
+
 def renamed(page: list, told: list, prose: list[str], r) -> tuple[list, list]:
     """A page under other names: telling names are replaced or left out at random, and blocks of other kinds come in."""
     base = ("html", "body")
-    content = [("article",), ("main",), ("div", str(r.choice(CONTENT))), ("section", str(r.choice(CONTENT))), ("main", "article"), ("div",)][r.integers(0, 6)]
+    names = [("article",), ("main",), ("div", str(r.choice(CONTENT))), ("section", str(r.choice(CONTENT))), ("main", "article"), ("div",), ("div", "div"), ("div", f"x{r.integers(0, 40)}"), ()]
+    content = names[r.integers(0, len(names))]
     plain = r.random() < 0.4
+    shape, run = ("p",), 0
     out, want = [], []
 
     def foreign(count: int, inside: tuple[str, ...] = ()) -> None:
         name = str(r.choice(BOILER))
+        if r.random() < 0.25:
+            name = f"{name}-{misleading()}"
         path = (*base, *inside, *((name,) if r.random() < 0.3 else ("div", name)), *(("p",) if r.random() < 0.6 else ("ul", "li")))
+        linked = 0.4
+        if r.random() < 0.15:  # a layout without names, of short links
+            path, linked = (*base, *((), ("table", "tr"), ("table", "tbody", "tr"), ("center",))[r.integers(0, 4)], str(r.choice(("td", "div", "p")))), 1.0
         for _ in range(count):
             words = prose[r.integers(0, len(prose))].split()
-            size = len(words) if r.random() < 0.5 else int(r.integers(1, 8))
-            out.append((path, " ".join(words[:size]), float(r.random() < 0.4)))
+            size = len(words) if linked < 1 and r.random() < 0.5 else int(r.integers(1, 8 if linked < 1 else 4))
+            out.append((path, " ".join(words[:size]), float(r.random() < linked)))
             want.append(0)
 
+    def misleading() -> str:
+        return f"x{r.integers(0, 40)}"
+
     if r.random() < 0.5:
         foreign(int(r.integers(1, 5)))
     swap = {n: str(r.choice(BOILER)) for n in {n for path, _, _ in page for n in path if n in BOILER}}
     for block, label in zip(page, told):
         path, text, linked = block
         if not plain and label == 1:
-            last = path[-1]
-            if last == "h1" or last == "p" and r.random() < 0.1:
-                last = str(r.choice(("h1", "h2", "h3", "h4") if last == "h1" else ("div", "li", "blockquote", "td", "pre", "figcaption")))
-            path = (*base, *content, last)
+            last = (path[-1],)
+            if path[-1] == "h1":
+                last = TITLES[r.integers(0, len(TITLES))]
+            elif path[-1] == "p":
+                if run:  # lists and tables are runs of short blocks
+                    run -= 1
+                elif r.random() < 0.2:
+                    shape, run = SHAPES[r.integers(0, len(SHAPES))], int(r.integers(0, 5))
+                else:
+                    shape = ("p",)
+                last = shape
+                if shape != ("p",) and r.random() < 0.5:
+                    text = " ".join(text.split()[:int(r.integers(2, 12))])
+            if r.random() < 0.06:
+                last = (*last, f"{r.choice(BOILER)}-{misleading()}")
+            path = (*base, *content, *last)
         elif not plain and label == 0 and r.random() < 0.5:
             path = tuple(swap.get(n, n) for n in path)
         out.append((path, text, linked))
@@ -280,13 +318,40 @@ def renamed(page: list, told: list, prose: list[str], r) -> tuple[list, list]:
             foreign(int(r.integers(1, 3)), content)
     if r.random() < 0.5:
         foreign(int(r.integers(1, 6)), content if r.random() < 0.3 else ())
+    if r.random() < 0.4:  # words never seen before
+        out = [(path, " ".join(w[0] + w[-2:0:-1] + w[1:][-1:] for w in text.split()), linked) for path, text, linked in out]
     return out, want
 
 
+def _tells() -> str:
+    """A pattern of pages with an element that holds content by its name."""
+    names = "|".join(CONTENT)
+    return rf"""(?i)<(article|main)[\s>]|\b(class|id|role|itemprop)\s*=\s*["']?([^"'<>]*\s)?({names})["'\s>]"""
+
+
+def sample_pages(pages: DataFrame, size: int) -> list[str]:
+    """Up to `size` different pages, the lowest hashes of those with telling names, or of all if none has any.
+
+    A share of the pages is looked at, and more if it holds too few; no more than some `size` pages ever leave Spark's tasks.
+    """
+    n = pages.count()
+    place = F.pmod(F.xxhash64("page_id", "html"), F.lit(2**62))
+    for told in (F.col("html").rlike(_tells()), F.length("html") > 0):
+        share = 8 * size / max(n, 1)
+        while True:
+            some = pages.filter((place < int(min(share, 1) * 2**62)) & told).select(place.alias("place"), "html").distinct()
+            rows = some.orderBy("place", "html").limit(size).collect()
+            if len(rows) == size or share >= 1:
+                break
+            share *= 8
+        if rows:
+            return [r["html"] for r in rows]
+    return []
+
+
 def fit_blocks(pages: DataFrame, sample: int = SAMPLE_PAGES) -> BlockNetwork | None:
     """Fits on up to `sample` pages whose names tell; None if there is no page at all."""
-    rows = pages.filter(F.length("html") > 0).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
-    cut = [c for c in (blocks(r["html"]) for r in rows) if c]
+    cut = [c for c in map(blocks, sample_pages(pages, sample)) if c]
     return BlockNetwork().fit(cut) if cut else None
 
 
