@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.llm.plans import broadcast_within, fenced
+from slopeworks.llm.plans import broadcast_within, fenced, spare_names
 from slopeworks.session import shared_folder
 
 WINDOW = 16
@@ -87,7 +87,8 @@ def _met(table: Column, size: int, key: Column) -> Column:
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, of): each document with each item found in it, and the words in place in the best window.
 
-    Null and empty texts hold nothing; items of fewer than five words are no evidence and are left out, and items without an
+    Null and empty texts hold nothing; items of fewer than five words are no evidence and are left out
+    (`left_out` lists them), and items without an
     id count under a null id. Repeated rows and repeated items give one row. Extra columns are ignored. An empty table on
     either side gives an empty result.
     """
@@ -118,30 +119,27 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """`docs` without the documents that hold an item; rows of a null doc_id go together."""
-    found = find_leaks(docs, items).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    doc, = spare_names(docs, "_doc")
+    found = find_leaks(docs, items).select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti")
 
 
-def _sql() -> str:
-    # The statement keeps the masks it was given with, which can miss windows; tests/llm holds the rule against a plain scan.
-    masks, short, before = ("1101011", "1011101"), "11111", 9
+def left_out(items: DataFrame) -> DataFrame:
+    """(item_id, n_words) of the items that `find_leaks` leaves out, since so few words are no evidence."""
+    return items.select("item_id", F.size(_hashes(F.col("text"))).alias("n_words")).filter(f"n_words < {min(SEEDS)}")
 
-    def keys(side: str, used: tuple[str, ...]) -> str:
-        return "\nUNION ALL ".join(
-            f"SELECT id, i, w, len(w) AS length, {k} AS mask, concat_ws(' ', {', '.join(f'w[i + {j}]' for j, c in enumerate(m) if c == '1')}) AS key FROM {side} WHERE i + {len(m) - 1} <= len(w)"
-            for k, m in enumerate(used))
 
+def _sql() -> str:
+    """The rule itself: every way to lay an item over a document is looked at that can hold enough words in place. With m of n
+    words in place, at least 2 m - n - 1 neighbours among them are."""
     words = "list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', '', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""
-WITH dw AS (SELECT doc_id AS id, {words} AS w FROM documents), bw AS (SELECT item_id AS id, {words} AS w FROM benchmark),
-dp AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM dw WHERE len(w) >= 5), bp AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM bw WHERE len(w) >= 5),
-bk AS ({keys('bp', (*masks, short))}), used AS (SELECT CASE WHEN min(length) < {max(map(len, masks))} THEN {len(masks)} ELSE {len(masks) - 1} END AS most FROM bk),
-dk AS ({keys('dp', (*masks, short))}),
-hit AS (SELECT DISTINCT dk.id AS doc_id, bk.id AS item_id, dk.i AS di, bk.i AS bi, dk.w AS dw, bk.w AS bw FROM dk JOIN bk USING (mask, key), used WHERE mask <= most),
-win AS (SELECT doc_id, item_id, least(len(bw), {WINDOW}) AS n, unnest(list_transform(range(-{before}, 1), lambda s: len(list_filter(range(s, s + {WINDOW}),
-  lambda k: di + k >= 1 AND bi + k >= 1 AND di + k <= len(dw) AND bi + k <= len(bw) AND dw[di + k] = bw[bi + k])))) AS matched FROM hit),
-best AS (SELECT doc_id, item_id, matched, n FROM win WHERE 100 * matched >= {PERCENT} * n)
-SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(n)::BIGINT AS "of" FROM best GROUP BY ALL
+WITH dw AS MATERIALIZED (SELECT DISTINCT doc_id, {words} AS dw FROM documents), bw AS MATERIALIZED (SELECT DISTINCT item_id, {words} AS bw FROM benchmark),
+item AS MATERIALIZED (SELECT item_id, bw, least(len(bw), {WINDOW}) AS n, ceil({PERCENT} * least(len(bw), {WINDOW}) / 100.0)::BIGINT AS m FROM bw WHERE len(bw) >= {min(SEEDS)}),
+dp AS (SELECT doc_id, dw, unnest(range(1, len(dw))) AS i FROM dw), bp AS (SELECT item_id, bw, n, m, unnest(range(1, len(bw))) AS i FROM item),
+laid AS (SELECT doc_id, item_id, dw, bw, n, m, dp.i - bp.i AS shift FROM dp JOIN bp ON dw[dp.i] = bw[bp.i] AND dw[dp.i + 1] = bw[bp.i + 1] GROUP BY ALL HAVING count(*) >= 2 * m - n - 1),
+win AS (SELECT doc_id, item_id, n, m, unnest(list_transform(range(0, len(bw) - n + 1), lambda s: len(list_filter(range(s + 1, s + n + 1), lambda k: k + shift >= 1 AND k + shift <= len(dw) AND dw[k + shift] = bw[k])))) AS matched FROM laid)
+SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(n)::BIGINT AS "of" FROM win WHERE matched >= m GROUP BY doc_id, item_id
 """
 
 
