@@ -17,12 +17,13 @@ MIN_SITES = 8
 MARGIN = 0.25  # estimates within this share of the threshold are counted; a sketch of 2^12 registers errs by 1.6 %
 SKETCH_BITS = 12
 LINES_BROADCAST = 500_000
+BLANKS = " \t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, site, position, line hash) of every line with a visible character; lines are compared without outer blanks."""
     line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line")
-    bare = F.trim("line")
+    bare = F.btrim("line", F.lit(BLANKS))
     rows = docs.select("doc_id", "source", line).filter(F.length(bare) > 0)
     return rows.select("doc_id", F.col("source").alias("site"), "at", F.sha2(bare, 256).substr(1, 32).alias("line"))
 
@@ -57,17 +58,18 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     marks = hits.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(gone))
     joined = docs.drop("lines_removed").join(marks, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains(gone, F.sha2(F.trim(x), 256).substr(1, 32)))
+    kept = F.filter(split, lambda x: ~F.array_contains(gone, F.sha2(F.btrim(x, F.lit(BLANKS)), 256).substr(1, 32)))
     texts = joined.withColumn(rest, F.when(F.col(gone).isNotNull(), kept))
     changed = F.col(rest).isNotNull()
     return texts.select(*[F.when(changed, F.array_join(rest, "\n")).otherwise(F.col(c)).alias(c) if c == "text" else c for c in docs.columns if c != "lines_removed"],
                         F.when(changed, F.size(split) - F.size(rest)).otherwise(0).cast("long").alias("lines_removed"))
 
 
+_BARE = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
 ORACLE = f"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-s AS (SELECT trim(line, ' ') AS line, min(doc_id) AS first_doc FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
-k AS (SELECT l.*, s.line IS NOT NULL AND l.doc_id <> s.first_doc AS gone FROM l LEFT JOIN s ON trim(l.line, ' ') = s.line)
+s AS (SELECT {_BARE} AS line, min(doc_id) AS first_doc FROM l WHERE {_BARE} <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}),
+k AS (SELECT l.*, s.line IS NOT NULL AND l.doc_id <> s.first_doc AS gone FROM l LEFT JOIN s ON {_BARE.replace('line', 'l.line')} = s.line)
 SELECT d.doc_id, md5(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5, count(*) FILTER (gone) AS lines_removed
 FROM documents d JOIN k USING (doc_id) GROUP BY d.doc_id
 """

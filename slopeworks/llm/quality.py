@@ -33,7 +33,7 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", 50, 100_000),
+    Rule("n_words", 50, None),
     Rule("mean_word_length", 2.0, 15.0),
     Rule("symbols_per_word", None, 0.1),
     Rule("exclamations_per_word", None, 0.25),
@@ -124,7 +124,7 @@ m AS (SELECT s.doc_id, len(w) AS n_words, coalesce(length(list_aggregate(w, 'str
   FROM s LEFT JOIN r ON r.doc_id = s.doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  n_words BETWEEN 50 AND 100000 AND n_repeat_words / n_words <= 0.5 AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1
+  n_words >= 50 AND n_repeat_words / n_words <= 0.5 AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1
   AND bangs / n_words <= 0.25 AND n_stop >= 2 AND n_dup_lines / n_lines <= 0.5 AND short / n_lines <= 0.9 AND ellipsis / n_lines <= 0.3
   AND letters / n_words >= 0.8 AS kept
 FROM m

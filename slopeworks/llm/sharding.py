@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from slopeworks.llm.plans import broadcast_within, spare_names
 
 ROUNDS = 6
-WALK = 64  # steps outside [0, n) that a row may take; each is outside with a chance below 1 / sqrt(n)
 SEED = 20_240_611
 FILES_BROADCAST = 100_000
 
@@ -41,9 +40,10 @@ def feistel(x: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) -> Column
 
     placed = once(x)
     if outside:
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(min(outside, WALK))), placed, lambda s, _: F.when(s < n, s).otherwise(once(s)))
+        # There are no more places outside than this, so a walk of as many steps has come back inside.
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(outside)), placed, lambda s, _: F.when(s < n, s).otherwise(once(s)))
         placed = F.when(placed < n, placed).otherwise(walked)
-    return F.when(placed >= n, F.raise_error(F.lit("no place after the longest walk; take another seed")).cast("long")).otherwise(placed)
+    return placed
 
 
 def numbered(table: DataFrame, name: str = "row_number") -> DataFrame:
