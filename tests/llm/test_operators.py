@@ -37,9 +37,13 @@ def test_ids_are_the_librarys(kind, name):
     from slopeworks.llm import tokens
 
     e = getattr(tokens, kind)(public_tokenizers.path(name))
-    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch([t or "" for t in AWKWARD], add_special_tokens=False)]
-    assert list(e.encode(AWKWARD)) == want
-    assert list(e.encode(AWKWARD)) == want  # now from what is known
+    from tokenizers import Tokenizer
+
+    texts = [*AWKWARD, "hello <|endoftext|> world", "x<|startoftext|>y", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> a"]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(e.encode(texts)) == want
+    assert list(e.encode(texts)) == want  # now from what is known
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -50,7 +54,6 @@ def test_token_files_round_trip(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     docs = frame(spark, [*AWKWARD, "one"], start="x", file=1)
     manifest = write_token_files(docs.repartition(3), f"file://{tmp_path}/t", path, files=4)
     got = {r["doc_id"]: r for r in read_token_files(manifest).collect()}
@@ -66,6 +69,16 @@ def test_token_files_round_trip(spark, tmp_path):
     assert [i for i, _ in reader.fetch([last])] == [last]
 
 
+def test_token_files_hold_documents_without_an_id(spark):
+    import public_tokenizers
+
+    from slopeworks.llm.token_files import token_files
+
+    docs = spark.createDataFrame([(2, "two"), (None, "none"), (1, None), (None, "")], "doc_id long, text string")
+    got = sorted(token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, 1, 2] and got[2]["n_tokens"] == 1
+
+
 def test_reader_takes_only_the_frames_asked_for_and_checks_them():
     from slopeworks.llm.token_files import Reader, Writer
 
@@ -332,10 +345,18 @@ def test_the_join_takes_few_jobs(spark):
 # decontamination
 
 
+def test_lines_of_blanks_alone_stay(spark):
+    from slopeworks.llm.lines import drop_shared_lines
+
+    docs = spark.createDataFrame([(k, f"a{k}\n\t\n\r\n \x0b\nshared line\r\nz", f"s{k}") for k in range(12)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in drop_shared_lines(docs).collect()}
+    assert got[3]["text"] == "a3\n\t\n\r\n \x0b" and got[3]["lines_removed"] == 2 and got[0]["lines_removed"] == 0
+
+
 def test_leaks(spark):
     import random
 
-    from slopeworks.llm.decontaminate import drop_leaks, find_leaks
+    from slopeworks.llm.decontaminate import drop_leaks, find_leaks, left_out
 
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
@@ -347,11 +368,12 @@ def test_leaks(spark):
     half = " ".join(items[0].split()[:18])
     scattered = " ".join(w if k % 3 else word() for k, w in enumerate(items[0].split()))
     texts = [filler(50) + " " + items[0].upper() + ". " + filler(9), filler(20) + " " + " ".join(edited), half, scattered, items[1] + "!", "too short", filler(200), *AWKWARD]
-    docs = frame(spark, texts, item_id="clash", key=1, around="x").unionByName(frame(spark, texts[:1], item_id="clash", key=1, around="x"))
+    docs = frame(spark, texts, item_id="clash", key=1, around="x", _doc=7).unionByName(frame(spark, texts[:1], item_id="clash", key=1, around="x", _doc=7))
     bench = spark.createDataFrame([(k, t, 1) for k, t in enumerate(items)] + [(0, items[0], 1)], "item_id long, text string, doc_id int")
     got = sorted((r["doc_id"], r["item_id"]) for r in find_leaks(docs, bench).collect())
     assert got == [(0, 0), (1, 0), (2, 0), (4, 1)]
     assert sorted(r["doc_id"] for r in drop_leaks(docs, bench).collect()) == sorted(set(range(len(texts))) - {0, 1, 2, 4})
+    assert sorted(r["item_id"] for r in left_out(bench).collect()) == [2, 3, 4]
     assert find_leaks(docs.limit(0), bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
@@ -477,6 +499,59 @@ def test_main_text_of_the_given_pages(spark):
     assert extract_text(pages.limit(0), network).count() == 0
 
 
+P, Q = "The committee met on Tuesday to discuss the new water plan for the valley and its people.", "After two hours of talks, no decision was made, and members agreed to meet again next week."
+NAV, FOOT = "<nav><ul><li><a href=#>Home</a></li><li><a href=#>News</a></li></ul></nav>", "<footer><p>Copyright 2020 All rights reserved</p></footer>"
+HAND_MADE = {
+    "list": (f"{NAV}<article><h1>Water plan</h1><p>{P}</p><ul><li>First point of the plan</li><li>Second point of the plan</li></ul><p>{Q}</p></article>{FOOT}", ["Water plan", P, "First point of the plan", "Second point of the plan", Q]),
+    "header": (f'{NAV}<article><header class="entry-header"><h1>Water plan</h1></header><p>{P}</p><p>{Q}</p></article>{FOOT}', ["Water plan", P, Q]),
+    "misleading class": (f'{NAV}<main><h1>Water plan</h1><p class="share-price">{P}</p><p>{Q}</p></main>{FOOT}', ["Water plan", P, Q]),
+    "layout table": (f"<table><tr><td><a href=#>Home</a></td></tr><tr><td><p>{P}</p><p>{Q}</p></td></tr></table>{FOOT}", [P, Q]),
+    "data table": (f"{NAV}<article><h1>Water plan</h1><p>{P}</p><table><tr><td>River</td><td>120</td></tr><tr><td>Lake</td><td>80</td></tr></table><p>{Q}</p></article>{FOOT}", ["Water plan", P, "River", "120", "Lake", "80", Q]),
+    "quote": (f"{NAV}<article><h1>Water plan</h1><p>{P}</p><blockquote><p>We will see, they said.</p></blockquote><p>{Q}</p></article>{FOOT}", ["Water plan", P, "We will see, they said.", Q]),
+    "comments": (f'{NAV}<article><h1>Water plan</h1><p>{P}</p><p>{Q}</p></article><div class="comments"><div class="comment"><p>I think this is a great plan and we should all be glad.</p></div></div>{FOOT}', ["Water plan", P, Q]),
+    "share buttons": (f'{NAV}<article><h1>Water plan</h1><p>{P}</p><div class="share-buttons"><a>Tweet</a> <a>Share</a></div><p>{Q}</p></article>{FOOT}', ["Water plan", P, Q]),
+    "quoted >": (f'<article><p title="a > b">{P}</p><p>{Q}</p></article>', [P, Q]),
+}
+
+
+def test_main_text_of_hand_made_pages(spark):
+    from slopeworks.llm.html_text import extract_text, fit_blocks
+
+    network = fit_blocks(spark.read.parquet(f"{SF}/pages.parquet"))
+    made = spark.createDataFrame([(k, "u", f"<body>{page}") for k, (page, _) in enumerate(HAND_MADE.values())], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract_text(made, network).collect()}
+    assert {name: got[k] for k, name in enumerate(HAND_MADE)} == {name: "\n".join(want) for name, (_, want) in HAND_MADE.items()}
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<body onload="if(a>b)x()"><p title=\'<p>\'>Hello</p>', ["Hello"]), ("<p data-x=it's>a</p><p>b</p>", ["a", "b"]), ('<p title="a>b</p><p>c</p>', ["b", "c"]),
+    ('<img alt="1 > 0"><p>d</p>', ["d"]), ("<svg viewBox='>' ><path/></svg><p>e</p>", ["e"]), ("<p =" * 2000 + ">f", None), ('<p a="' * 500, None)])
+def test_quoted_values_are_units(page, want):
+    from slopeworks.llm.html_text import blocks
+
+    got = [t for _, t, _ in blocks(page)]
+    assert want is None or got == want
+
+
+def test_names_that_tell():
+    from slopeworks.llm.html_text import blocks, telling
+
+    assert telling(("body", "article", "header", "entry-header", "h1")) in (1, None) and telling(("body", "header", "h1")) == 0
+    assert telling(("body", "article", "p")) == 1 and telling(("body", "article", "aside", "p")) == 0 and telling(("body", "comments", "article", "p")) == 0
+    assert telling(("main", "p", "share-price")) is None and telling(("div", "share-buttons")) == 0 and telling(("div", "p")) is None
+    assert blocks('<div data-id="nav" title="class=ad"><p>x</p></div>')[0][0] == ("div", "p")
+
+
+def test_sample_of_pages_is_bounded_and_told(spark):
+    from slopeworks.llm.html_text import sample_pages
+
+    told, bare = [(k, f"<article><p>{k}</p></article>") for k in range(3000)], [(k, f"<div>{k}</div>") for k in range(3000, 9000)]
+    pages = spark.createDataFrame(told + bare + [(1, told[1][1])] * 500 + [(None, None)], "page_id long, html string")
+    got = sample_pages(pages, 40)
+    assert len(got) == len(set(got)) == 40 and all("article" in h for h in got)
+    assert len(sample_pages(pages.filter("html LIKE '<div>%'"), 40)) == 40 and sample_pages(pages.limit(0), 40) == []
+
+
 def test_blocks():
     from slopeworks.llm.html_text import blocks
 
@@ -521,6 +596,35 @@ def test_queries_agree_with_their_sql(spark):
     assert len({n.split("_")[0] for n in QUERIES}) == 13
 
 
+def test_only_letters_have_a_language(spark):
+    from slopeworks.llm.language import has_letter
+
+    assert [has_letter(t) for t in (None, "", "10 ½", "²①Ⅷ", "12 _ 3", "½ a", "日本", "ʰ")] == [False] * 5 + [True] * 3
+
+
+def test_rare_labels_are_left_out(spark, monkeypatch):
+    from slopeworks.llm import language
+
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(k, "the cat sat on the mat " * 5, "en") for k in range(40)] + [(100 + k, "der Hund lief über die Straße " * 5, "de") for k in range(40)] + [(200 + k, f"word {k}", f"x{k}") for k in range(10)]
+    network = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)
+    assert network.classes == ["de", "en"] and network.left_out >= 5
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = "the cat sat on the mat and looked at the dog for a very long time", "a quite different text about the weather in the north of the country today"
+    odd = spark.createDataFrame([(1, a, "en", "s", 0), (1, b, "en", None, 0), (None, a.upper(), "en", "s", 0), (2, None, None, "s", 0), (None, "", "en", "s", 0), (3, "10 ½", "en", "s", 0)], given.schema)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for name, docs, items in (("odd", odd, bench), ("none", odd.limit(0), bench), ("bare", odd, bench.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = [r["doc_id"] for r in cp.run(spark, f"{tmp_path}/{name}").collect()]
+        assert got == [] if name == "none" else sorted(got, key=repr) == [1, 1], (name, got)
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
 
