@@ -14,7 +14,7 @@ from slopeworks.llm.queries import table, vocabulary
 from slopeworks.session import shared_folder
 
 ARROW_ROWS = "1000"  # documents that pass between Spark and Python at once: they can be long
-LEAST_SCORE = 0.4  # of the predicted language; four languages by chance have 0.25
+LEAST_LIFT = 1.6  # times the score that chance gives the predicted language
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -22,9 +22,16 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and those of no clear language; a missing lang is filled in."""
+    """Rejects texts without letters and those of no clear language; a missing lang is filled in.
+
+    Null texts go, repeated rows are judged alike. Without any labelled text nothing can be told, and all texts with letters stay.
+    """
     _small_batches(spark)
-    known = predict_language(docs, fit_languages(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    network = fit_languages(docs)
+    if network is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    clear = F.col("score") >= min(LEAST_LIFT / len(network.classes), 0.5)
+    known = predict_language(docs, network).filter((F.col("lang_pred") != UNKNOWN) & clear)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
@@ -47,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; null doc_ids and repeated rows are documents like others."""
     _small_batches(spark)
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
@@ -65,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`; what a stage returns is stored in the shared folder and read by the next."""
+    """All stages over the documents of `sf_dir`; what a stage returns is stored in the shared folder and read by the next.
+
+    Empty tables of documents or benchmark items, repeated and null ids, and null texts run through; an empty corpus gives no row.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark)
     for name, stage in STAGES[:-1]:
