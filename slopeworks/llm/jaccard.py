@@ -38,37 +38,61 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 MIXED = -2**63  # stands for the labels of few members, which share blocks
 
 
-def _sets_task(words: int, percent: int, frequent=None):
-    """(id, n, sig, prefix) of each document."""
+def _sets_task(words: int, percent: int):
+    """(id, n, sig, marks) of each document; a mark is the low half of a shingle's hash, for those in the prefix by hash."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        known, rank = frequent.value if frequent is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                sizes, signs, prefixes = [], [], []
+                sizes, signs, marks = [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, words)
                     sizes.append(len(s))
                     signs.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    prefixes.append(_first(s, prefix_length(len(s), percent), known, rank))
-                offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))], names=["id", "n", "sig", "prefix"])
+                    marks.append(s[:prefix_length(len(s), percent)].astype(np.uint32))
+                lists = _lists(marks, np.uint32, np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), lists], names=["id", "n", "sig", "marks"])
     return run
 
 
+def _prefix_task(words: int, percent: int, frequent):
+    """(id, n, prefix) of each document, in the global order that has the marks of `frequent` last."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known, rank = frequent.value if frequent is not None else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                sets = [shingle_set(text, words) for text in part.column(1).to_pylist()]
+                lists = _lists([_first(s, prefix_length(len(s), percent), known, rank) for s in sets], np.uint64, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), lists], names=["id", "n", "prefix"])
+    return run
+
+
+def _lists(rows, kind, signed):
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if rows else np.empty(0, kind)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.view(signed)))
+
+
 def _first(s, size: int, known, rank):
-    """The first `size` of a set in the global order."""
+    """The first `size` of a set in the global order: by hash, and the frequent ones by rank after all others."""
     import numpy as np
 
     if not len(known) or not len(s):
         return s[:size]
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    common = known[at] == s
+    marks = s.astype(np.uint32)
+    at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
+    common = known[at] == marks
     if not common[:size].any():
         return s[:size]
     late = s[common]
@@ -90,7 +114,8 @@ def _segments_task(words: int):
     return run
 
 
-SETS = "id long, n long, sig binary, prefix array<long>"
+SETS = "id long, n long, sig binary, marks array<int>"
+PREFIXES = "id long, n long, prefix array<long>"
 SEGMENTS = "id long, fragment int, n long, segment array<long>"
 
 
@@ -109,11 +134,12 @@ class _Job:
         """Whether sets of these sizes can be alike at all."""
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
-    def frequent(self, prefixes: DataFrame):
-        """Frequent shingles and their place among each other, as a broadcast of bounded size; None if there are none."""
+    def frequent(self, sets: DataFrame):
+        """Marks of frequent shingles and their place among each other, as a broadcast of bounded size; None if there are none.
+        A mark stands for all shingles that have it, which changes the order and no result."""
         import numpy as np
 
-        counts = self.store(prefixes.select(F.explode("prefix").alias("t")).groupBy("t").count().filter(F.col("count") > FREQUENT), "frequent")
+        counts = self.store(sets.select(F.explode("marks").alias("t")).groupBy("t").count().filter(F.col("count") > FREQUENT), "frequent")
         steps = {r["s"]: r["count"] for r in counts.groupBy(F.floor(F.log2("count")).alias("s")).count().collect()}  # at most 64 rows
         least, total = 0, sum(steps.values())
         for s in sorted(steps):
@@ -125,9 +151,9 @@ class _Job:
             return None
         found = counts.filter(F.col("count") >= least).toPandas()
         found = found.sort_values(["count", "t"])
-        token, rank = found["t"].to_numpy().view(np.uint64), np.arange(len(found))
-        order = np.argsort(token)
-        return self.spark.sparkContext.broadcast((token[order], rank[order]))
+        mark, rank = found["t"].to_numpy(np.int32).view(np.uint32), np.arange(len(found))
+        order = np.argsort(mark)
+        return self.spark.sparkContext.broadcast((mark[order], rank[order]))
 
     def verify(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
         """The pairs (a, b) whose overlap, counted by fragment and summed, is large enough."""
@@ -148,12 +174,12 @@ class _Job:
         copied = copies.unionByName(thin.filter("n = 0").select("id", "n", F.lit(None).cast("long").alias("class")))
         others, _ = broadcast_within(copies.filter("id <> class").select("id"), IDS_BROADCAST)
         originals = text.join(others, "id", "left_anti")
-        frequent = self.frequent(base.select("id", "prefix").join(others, "id", "left_anti"))
-        task = released(_sets_task(self.words, self.percent, frequent))
+        frequent = self.frequent(base.select("id", "marks").join(others, "id", "left_anti"))
+        task = released(_prefix_task(self.words, self.percent, frequent))
         tokens = lambda of: of.filter("n > 0").select(F.explode("prefix").alias("t"), "id", "n")
         some = originals.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
-        heavy = self.heavy(tokens(some.mapInArrow(task, SETS)))
-        shared = self.promising(tokens(originals.mapInArrow(task, SETS) if frequent is not None else base.join(others, "id", "left_anti")), heavy)
+        heavy = self.heavy(tokens(some.mapInArrow(task, PREFIXES)))
+        shared = self.promising(tokens(originals.mapInArrow(task, PREFIXES)), heavy)
         involved, _ = broadcast_within(self.store(shared.select("id").distinct(), "involved"), IDS_BROADCAST)
         segments = self.store(originals.join(involved, "id", "left_semi").mapInArrow(released(_segments_task(self.words)), SEGMENTS), "segments")
         links, groups = None, shared.withColumn("label", F.col("id"))
