@@ -164,7 +164,9 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r of all pairs over the rows where both are known, by masked matrix products (D11 beyond a few columns)."""
     columns = list(columns)
     d = len(columns)
-    centre = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])  # a shift keeps the sums well scaled
+    # A shift keeps the sums well scaled; a constant column becomes zeros, so that it does not vary by rounding either.
+    number = lambda c: F.col(c).cast("double")
+    centre = df.agg(*[F.when(F.min(number(c)) == F.max(number(c)), F.min(number(c))).otherwise(F.avg(number(c))).alias(c) for c in columns])
     shift = [float(v or 0.0) for v in centre.first()]
 
     def kernel(block: np.ndarray) -> np.ndarray:

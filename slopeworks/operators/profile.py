@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopeworks.functions.numeric import is_finite, normal_quantiles, percent, right_closed_bin, sample_kurtosis, sample_skewness
-from slopeworks.operators.quantiles import exact_quantiles, quantile_values
+from slopeworks.operators.quantiles import ONE_PASS_ROWS, between, exact_quantiles, picked, quantile_values
+from slopeworks.operators.sketches import KLL_SIZE, merge_sketches, rank_error, sketch_columns, sketched_summary
 
-CORR_IN_ONE_AGGREGATE = 16  # columns; more go through the block statistic in `gram`
+CORR_IN_ONE_AGGREGATE = 3  # columns; more go through the block statistic in `gram`
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -107,21 +109,50 @@ def missing_tiers(df: DataFrame) -> DataFrame:
     return missing_report(df).groupBy("tier").agg(F.count("*").alias("n_columns"))
 
 
-def target_statistics(df: DataFrame, target: str, **quantile_options) -> DataFrame:
-    """Moments, quartiles and IQR outliers of a positive target."""
+def target_statistics(df: DataFrame, target: str, few_rows: int = ONE_PASS_ROWS, **quantile_options) -> DataFrame:
+    """Moments, quartiles and IQR outliers of a positive target (D4, D5), in two scans.
+
+    The first takes the moments and a sketch, whose quantiles bracket the quartiles and so both fences. The second counts what
+    lies beside the brackets and takes up the few values inside, from which quartiles and outliers are exact. Where too many
+    values lie inside, the quartiles are found by `exact_quantiles` and the outliers by a scan of their own.
+    """
     kept = df.select(_number(target).alias(target)).filter(F.col(target) > 0)
-    wanted = {"q1": (target, 0.25), "median": (target, 0.5), "q3": (target, 0.75)}
-    q = quantile_values(kept, wanted, **quantile_options)
-    if q["median"] is None:
-        raise ValueError(f"no positive values in {target}")
-    iqr = q["q3"] - q["q1"]
     c = F.col(target)
-    outside = F.count_if((c < q["q1"] - 1.5 * iqr) | (c > q["q3"] + 1.5 * iqr))
-    return kept.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.lit(q["median"]).alias("median"), F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"), F.max(c).alias("max"), F.lit(q["q1"]).alias("q1"), F.lit(q["q3"]).alias("q3"),
-        F.lit(iqr).alias("iqr"), sample_skewness(c).alias("skewness"), sample_kurtosis(c).alias("kurtosis"),
-        outside.alias("outliers_count"), percent(outside, F.count(c)).alias("outliers_pct"))
+    step = rank_error(KLL_SIZE)
+    brackets = [p + d for p in (0.25, 0.5, 0.75) for d in (-step, step)]
+    grid = [k / 200 for k in range(201)]
+    ranks = F.array(*[F.lit(r) for r in brackets + grid])
+    moments = kept.agg(
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+        sample_skewness(c).alias("skewness"), sample_kurtosis(c).alias("kurtosis"), F.kll_sketch_agg_double(c, F.lit(KLL_SIZE)).alias("sketch"))
+    first = moments.filter("count > 0").withColumn("b", F.kll_sketch_get_quantile_double("sketch", ranks)).drop("sketch").first()
+    if first is None:
+        raise ValueError(f"no positive values in {target}")
+    n, b = first["count"], first["b"][:6]
+    f = [b[0] - 1.5 * (b[5] - b[0]), b[1] - 1.5 * (b[4] - b[1]), b[4] + 1.5 * (b[4] - b[1]), b[5] + 1.5 * (b[5] - b[0])]
+    near = sum(f[0] <= x <= f[1] or f[2] <= x <= f[3] for x in first["b"][6:]) / 200 + 12 * step
+    q1 = median = q3 = None
+    if all(map(math.isfinite, f)) and near * n <= few_rows and not quantile_options:
+        inside = lambda lo, hi: F.collect_list(F.when(c.between(lo, hi), c))
+        seen = kept.agg(*[between(c, b[2 * k], b[2 * k + 1]).alias(f"s{k}") for k in range(3)], F.count_if(c < f[0]).alias("low"), inside(f[0], f[1]).alias("low_near"),
+                        F.count_if(c > f[3]).alias("high"), inside(f[2], f[3]).alias("high_near"))
+        seen = seen.persist()  # one row
+        try:
+            q1, median, q3 = picked(seen, [(f"s{k}", b[2 * k], b[2 * k + 1], p * (n - 1)) for k, p in enumerate((0.25, 0.5, 0.75))])
+            if None not in (q1, median, q3):
+                low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+                beyond = F.col("low") + F.col("high") + F.size(F.filter("low_near", lambda x: x < low)) + F.size(F.filter("high_near", lambda x: x > high))
+                outliers = seen.select(beyond.cast("long").alias("out")).first()["out"]
+        finally:
+            seen.unpersist()
+    if None in (q1, median, q3):
+        q = quantile_values(kept, {"q1": (target, 0.25), "median": (target, 0.5), "q3": (target, 0.75)}, **quantile_options)
+        q1, median, q3 = q["q1"], q["median"], q["q3"]
+        outliers = kept.agg(F.count_if((c < q1 - 1.5 * (q3 - q1)) | (c > q3 + 1.5 * (q3 - q1)))).first()[0]
+    row = {"count": n, "mean": first["mean"], "median": median, "std": first["std"], "min": first["min"], "max": first["max"], "q1": q1, "q3": q3, "iqr": q3 - q1,
+           "skewness": first["skewness"], "kurtosis": first["kurtosis"], "outliers_count": outliers, "outliers_pct": outliers * 100.0 / n}
+    kinds = ", ".join(f"{k} {'long' if k in ('count', 'outliers_count') else 'double'}" for k in row)
+    return df.sparkSession.createDataFrame([tuple(row.values())], kinds)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, transform=None) -> DataFrame:
@@ -156,9 +187,14 @@ def normal_qq(df: DataFrame, column: str, points: int = 20, **quantile_options)
     return q.select("p", theory[F.col("p")].alias("theoretical"), F.col("value").alias("sample"))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, **quantile_options) -> DataFrame:
-    """Describe plus missing, zero and distinct counts per numeric column."""
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False, **quantile_options) -> DataFrame:
+    """Describe plus missing, zero and distinct counts per numeric column.
+
+    `approximate` takes quartiles and distinct counts from sketches: one scan, and no value is shuffled.
+    """
     columns = list(columns or numeric_columns(df))
+    if approximate:
+        return sketched_summary(merge_sketches(sketch_columns(df, columns)))
     x = df.select(*[_number(c).alias(c) for c in columns])
     aggs = []
     for c in columns:

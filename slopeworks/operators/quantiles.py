@@ -3,9 +3,10 @@
 Spark's `percentile` keeps a map of all distinct values of a group in one task, which neither a whole column nor a
 hot group fits at scale.
 
-Global: an approximate quantile brackets the wanted rank, one pass counts the rows below and inside the bracket,
-and the rows inside are few enough for `percentile`. Wide brackets are narrowed again first. The counts prove that
-the rank is inside, so the result is exact whatever the approximation did.
+Global: one sketch a column brackets all wanted ranks, and one pass counts the rows below each bracket and at its
+ends and takes up the few values between, from which the wanted ones are picked; two scans in all. Where more values
+lie between than a task should hold, rows are counted first and wide brackets are narrowed again. The counts prove
+that the rank is inside, so the result is exact whatever the sketch did.
 
 Per group: `percentile` for groups within `one_pass_rows`. Larger groups are counted: values fall into
 order-preserving buckets (logarithmic, then linear inside a bucket), only the buckets that hold a wanted rank are
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopeworks.operators.joins import lookup_join
+from slopeworks.operators.sketches import rank_error, sketch_columns, sketched_quantiles
 
 ONE_PASS_ROWS = 2_000_000
 ACCURACY = 10_000
@@ -35,6 +37,31 @@ def _value(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def between(v: Column, lo: float, hi: float) -> Column:
+    """An aggregate: the rows below a bracket, at its ends, and the values between them."""
+    return F.struct(F.count_if(v < lo).alias("below"), F.count_if(v == lo).alias("at_lo"), F.count_if(v == hi).alias("at_hi"),
+                    F.collect_list(F.when((v > lo) & (v < hi), v)).alias("inside"))
+
+
+def picked(seen: DataFrame, targets: Sequence[tuple[str, float, float, float]]) -> list[float | None]:
+    """The interpolated values at (column of `between`, lo, hi, position) of a one-row frame; None where a rank lies outside of
+    its bracket. Each target becomes a row, so that one expression serves all."""
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(name).alias("s"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.lit(math.floor(pos)).cast("long").alias("low"),
+                              F.lit(math.ceil(pos)).cast("long").alias("high"), F.lit(pos - math.floor(pos)).alias("frac")) for k, (name, lo, hi, pos) in enumerate(targets)])
+    t = seen.select(F.explode(rows).alias("t")).select("t.*", F.sort_array("t.s.inside").alias("inside"))
+
+    def at(rank: str) -> Column:
+        place = F.col(rank) - F.col("s.below") - F.col("s.at_lo")
+        last = F.size("inside") + F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.col("s.at_hi"))
+        within = F.get("inside", F.greatest(place, F.lit(0)).cast("int"))
+        return F.when(F.col(rank) >= F.col("s.below"), F.when(place < 0, F.col("lo")).when(place < F.size("inside"), within).when(place < last, F.col("hi")))
+
+    ends = t.select("k", "frac", at("low").alias("a"), at("high").alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("frac"))
+    found = {r["k"]: r["v"] for r in ends.select("k", value.alias("v")).collect()}  # one row for each target
+    return [found[k] for k in range(len(targets))]
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], group_cols: Sequence[str] = (),
                     one_pass_rows: int = ONE_PASS_ROWS, reuse: bool = False, accuracy: int = ACCURACY) -> DataFrame:
     """Rows (group..., column, p, value); a column without values has no row.
@@ -58,13 +85,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float], few_rows: int, reuse: bool, accuracy: int) -> DataFrame:
     x = df.select(*[_value(c).alias(c) for c in columns])
     x = x.persist(StorageLevel.MEMORY_AND_DISK) if reuse else x
-    step = 2.0 / accuracy
+    size = max(8, min(65_535, int(0.4 * accuracy)))
+    step = rank_error(size)
 
     def around(p: float) -> list[float]:
         return [max(0.0, p - step), min(1.0, p + step)]
 
     def approx(values: Column, ps: list[float]) -> Column:
-        return F.percentile_approx(values, F.array(*[F.lit(q) for q in ps]), accuracy)
+        sketch = F.kll_sketch_agg_double(values, F.lit(size))
+        return F.when(F.count(values) > 0, F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(q) for q in ps])))
 
     try:
         first = x.agg(*[a for c in columns for a in (
@@ -79,6 +108,12 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], few_rows:
                 hi = first[f"hi_{c}"] if around(p)[1] == 1.0 else hi
                 targets.append({"c": c, "p": p, "n": n, "pos": p * (n - 1), "lo": lo, "hi": hi,
                                 "outer": (first[f"lo_{c}"], first[f"hi_{c}"])})
+        if targets and sum(4 * step * t["n"] for t in targets) <= few_rows:
+            seen = x.agg(*[between(F.col(t["c"]), t["lo"], t["hi"]).alias(f"s{i}") for i, t in enumerate(targets)])
+            values = picked(seen, [(f"s{i}", t["lo"], t["hi"], t["pos"]) for i, t in enumerate(targets)])
+            done = [(t["c"], t["p"], v) for t, v in zip(targets, values)]
+            if all(v is not None for _, _, v in done):
+                return df.sparkSession.createDataFrame(done, "column string, p double, value double")
         open_targets = list(targets)
         while open_targets:
             counts = x.agg(*[a for i, t in enumerate(open_targets) for a in (
@@ -208,10 +243,6 @@ def quantile_values(df: DataFrame, wanted: dict[str, tuple[str, float]], **quant
 
 def approximate_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                           group_cols: Sequence[str] = (), accuracy: int = 10_000) -> DataFrame:
-    """Long form from `percentile_approx`, for callers that accept a rank error of 1/accuracy."""
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.groupBy(*group_cols).agg(*[F.percentile_approx(c, wanted, accuracy).alias(c) for c in columns])
-    parts = [wide.select(*group_cols, F.lit(c).alias("column"), F.posexplode(c).alias("i", "value")) for c in columns]
-    long = reduce(DataFrame.unionByName, parts)
-    p = F.element_at(wanted, F.col("i") + 1)
-    return long.select(*group_cols, "column", p.alias("p"), F.col("value").cast("double").alias("value"))
+    """Long form from one sketch a group and column, for callers that accept a rank error of about 40/accuracy; the ends are exact."""
+    size = max(8, min(65_535, int(0.4 * accuracy)))
+    return sketched_quantiles(sketch_columns(df, list(columns), group_cols, kll_size=size), probs, group_cols)

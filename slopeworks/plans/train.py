@@ -17,6 +17,7 @@ from slopeworks.plans.config import FAMILY, SETUP_DDL, Setup, setups_frame
 from slopeworks.plans.steps import minimise
 
 MAX_SETUPS = 10_000
+RESULT_BYTES = 4 * 2**20  # of histories that a task gathers before it hands them on
 
 RESULT_DDL = (
     "stopped boolean, converged boolean, reason string, final_iteration int, final_loss double, final_gradient_norm double, "
@@ -57,14 +58,21 @@ def fit_stats(stats: DataFrame, setups: DataFrame | Sequence[Setup], group_cols:
                            *T.StructType.fromDDL(RESULT_DDL).fields])
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for pdf in frames:
-            for _, row in pdf.iterrows():
+            for row in pdf.to_dict("records"):
                 started = time.perf_counter()
                 m = np.asarray(row["zz"], dtype=float)
                 setup = {k: row[k] for k in SETUP_FIELDS}
                 result = minimise(m.reshape(int(len(m) ** 0.5), -1), setup)
                 made = {**{g: row[g] for g in groups}, **setup, **result, "training_time": time.perf_counter() - started}
-                yield pd.DataFrame([made], columns=schema.names)  # histories can be long: one at a time
+                held.append(made)
+                size += len(made["history"]) * (len(made["weights"]) + 4) * 8
+                if size > RESULT_BYTES:  # histories can be long
+                    yield pd.DataFrame(held, columns=schema.names)
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=schema.names)
 
     family = F.create_map(*[x for k, v in FAMILY.items() for x in (F.lit(k), F.lit(v))])
     key = F.concat_ws("/", family[F.col("method")], "setup", *[F.col(g).cast("string") for g in groups])

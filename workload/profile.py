@@ -293,3 +293,44 @@ def target_statistics_awkward(spark, sf):
 @query("profile_histogram_with_nan", _histogram_sql("a", f"({_KNOWN})", 12))
 def histogram_awkward(spark, sf):
     return rounded(P.histogram(_awkward(spark, sf), "a", 12), 4, "lower", "upper")
+
+
+def _sketched_sql(where: str = "") -> str:
+    return union_all([f"""
+SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max,
+  true AS quartiles_ok, true AS distinct_ok FROM lineitem {where}""" for c in ["l_linenumber", *LINE_NUMBERS]])
+
+
+def _sketched(spark, sf, flags=None):
+    """Sketches stored by return flag, merged; estimates are held against ranks and distinct counts of the rows themselves."""
+    from slopeworks.operators import sketches as S
+    from slopeworks.session import shared_folder
+
+    columns, lines = ["l_linenumber", *LINE_NUMBERS], table(spark, sf, "lineitem")
+    folder = shared_folder(spark)
+    S.sketch_columns(lines, columns, ["l_returnflag"]).write.parquet(folder)
+    parts = spark.read.parquet(folder)
+    if flags:
+        parts, lines = (d.filter(F.col("l_returnflag").isin(flags)) for d in (parts, lines))
+    out = S.sketched_summary(S.merge_sketches(parts))
+    found = {r["column"]: r for r in out.collect()}  # one row for each column of the table
+    within = S.rank_error(S.KLL_SIZE)
+    checks = []
+    for c in columns:
+        v, n = F.col(c).cast("double"), F.count(c)
+        ranks = [(F.count_if(v <= found[c][q]) >= (p - within) * n) & (F.count_if(v < found[c][q]) <= (p + within) * n) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+        checks.append(lines.agg(F.lit(c).alias("column"), (ranks[0] & ranks[1] & ranks[2]).alias("quartiles_ok"), (F.abs(F.count_distinct(v) / found[c]["distinct_count"] - 1) <= 0.08).alias("distinct_ok")))
+    held = checks[0]
+    for more in checks[1:]:
+        held = held.unionByName(more)
+    return rounded(out.select("column", "count", "mean", "std", "min", "max").join(F.broadcast(held), "column"), 4, "mean", "std")
+
+
+@query("profile_sketched_summary", _sketched_sql())
+def sketched_summary(spark, sf):
+    return _sketched(spark, sf)
+
+
+@query("profile_sketched_summary_of_parts", _sketched_sql("WHERE l_returnflag IN ('A', 'R')"))
+def sketched_summary_of_parts(spark, sf):
+    return _sketched(spark, sf, ["A", "R"])

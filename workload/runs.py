@@ -318,13 +318,13 @@ def trained_history(spark, sf):
 
 # One run under a null key, and an outlying place in the order of every run.
 _NULL_KEYS = f"""SELECT CASE WHEN run_id = (SELECT min(run_id) FROM ({_HISTORY})) THEN NULL ELSE run_id END AS run_id,
-  CASE WHEN iteration = (SELECT max(iteration) FROM ({_HISTORY})) THEN iteration * 1000000 ELSE iteration END AS iteration, loss FROM ({_HISTORY})"""
+  CASE WHEN iteration = (SELECT max(iteration) FROM ({_HISTORY})) THEN iteration::BIGINT * 1000000 ELSE iteration END AS iteration, loss FROM ({_HISTORY})"""
 
 
 def _null_keys(spark, sf):
     h = history(spark, sf)
     first, last = h.agg(F.min("run_id"), F.max("iteration")).first()
-    i = F.col("iteration")
+    i = F.col("iteration").cast("long")
     return h.select(F.when(F.col("run_id") != first, F.col("run_id")).alias("run_id"), F.when(i == last, i * 1000000).otherwise(i).alias("iteration"), "loss")
 
 
