@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slopeworks.operators.heavy import top_values
 from slopeworks.operators.joins import lookup_join
-from slopeworks.operators.profile import categorical_summary, null_rates
+from slopeworks.operators.profile import null_rates
 from slopeworks.operators.quantiles import quantile_columns, quantile_values
 
 
@@ -79,7 +80,7 @@ def fit_smart(df: DataFrame, group_cols: Sequence[str] = ("make_name", "model_na
         plan.group_cols = tuple(kept_groups)
         plan.group_table = group_median_table(df, by_group, kept_groups, **quantile_options)
     modal = [c for c in strings if share[c] < 0.1]
-    tops = {r["column"]: r["top_value"] for r in categorical_summary(df, modal).collect()} if modal else {}
+    tops = _modes(df, modal)
     plan.fills.update({c: tops.get(c) or "unknown" for c in strings})
     return plan
 
@@ -114,19 +115,15 @@ def impute(df: DataFrame, strategy: str = "auto", columns: Sequence[str] | None
 
 
 def _modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """The most frequent known value of each column, the smallest on ties; one job for each type among the columns.
+    """The most frequent known value of each column, the smallest on ties, by two scans for each type among the columns.
 
     Values are compared in their own type, so ties among numbers go to the smallest number.
     """
     kinds: dict[str, list[str]] = {}
     for c in columns:
         kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
-    out: dict[str, object] = dict.fromkeys(columns)
-    for names in kinds.values():
-        counts = df.select(*names).unpivot([], names, "column", "v").filter(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count("*").alias("n"))
-        tops = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg"), "v")).alias("t"))
-        out.update({r["column"]: r["t"]["v"] for r in tops.collect()})  # one row for each column
-    return out
+    tops = {c: found for names in kinds.values() for c, found in top_values(df, names, 1).items()}
+    return {c: tops[c][0][0] if tops[c] else None for c in columns}
 
 
 def fill_leftover(df: DataFrame, columns: Sequence[str], **quantile_options) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopeworks.functions.numeric import is_finite, normal_quantiles, percent, right_closed_bin, sample_kurtosis, sample_skewness
+from slopeworks.operators.heavy import CAPACITY, candidates, hash_key, is_proven, top_values
 from slopeworks.operators.quantiles import ONE_PASS_ROWS, between, exact_quantiles, picked, quantile_values
 from slopeworks.operators.sketches import KLL_SIZE, merge_sketches, rank_error, sketch_columns, sketched_summary
 
@@ -280,10 +281,35 @@ def cardinality_classes(df: DataFrame, columns: Sequence[str] | None = None) ->
     return categorical_summary(df, columns).groupBy("cardinality").agg(F.count("*").alias("n_columns"))
 
 
-def top_category_means(df: DataFrame, category: str, target: str, k: int = 10) -> DataFrame:
-    """Mean target of the k most frequent values."""
-    return (df.filter(F.col(category).isNotNull()).groupBy(category)
-            .agg(F.count("*").alias("n"), F.avg(target).alias("mean_target")).orderBy(F.desc("n"), category).limit(k))
+def top_category_means(df: DataFrame, category: str, target: str, k: int = 10, capacity: int | None = None) -> DataFrame:
+    """Mean target of the k most frequent values.
+
+    With a `capacity` only heavy hitters are grouped (see `heavy`), which pays where a category has very many values; the answer
+    is the same. This reads the table at once, and at most k rows pass through the driver.
+    """
+    def means(rows: DataFrame) -> DataFrame:
+        return (rows.filter(F.col(category).isNotNull()).groupBy(category)
+                .agg(F.count("*").alias("n"), F.avg(target).alias("mean_target")).orderBy(F.desc("n"), category).limit(k))
+
+    if capacity is None:
+        return means(df)
+    found = candidates(df, [category], k, capacity)[category]
+    if not found.hopeless:
+        top = means(df.filter(hash_key(df, category).isin(list(found.keys))))
+        rows = top.collect()
+        if is_proven([r["n"] for r in rows], k, found.bound):
+            return df.sparkSession.createDataFrame(rows, top.schema)
+    return means(df)
+
+
+def top_value_shares(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10, capacity: int = CAPACITY) -> DataFrame:
+    """(column, place, value, n, pct) of the k most frequent values of each column, exact, with values as text."""
+    columns = list(columns or string_columns(df))
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    n = text.count()
+    rows = [(c, place, value, times, 100.0 * times / n) for c, found in top_values(text, columns, k, capacity).items()
+            for place, (value, times) in enumerate(found, 1)]
+    return df.sparkSession.createDataFrame(rows, "column string, place int, value string, n long, pct double")
 
 
 def quality_report(df: DataFrame, target: str | None = None) -> DataFrame:

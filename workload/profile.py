@@ -207,6 +207,31 @@ def top_category_means(spark, sf):
     return rounded(P.top_category_means(joined, "p_brand", "l_extendedprice"), 4, "mean_target")
 
 
+_WORDS_SQL = r"SELECT n_chars, unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) AS word FROM documents"
+
+
+def _words(spark, sf):
+    """Every word of every document: a category with a long tail of rare values."""
+    words = F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")
+    return table(spark, sf, "documents").select("n_chars", words).filter("word <> ''")
+
+
+@query("profile_top_words", f"""
+WITH w AS (SELECT word FROM ({_WORDS_SQL}) WHERE word <> ''), c AS (SELECT word AS value, count(*) AS n FROM w GROUP BY 1)
+SELECT 'word' AS column, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS place, value, n,
+  round(100.0::DOUBLE * n / (SELECT count(*) FROM w), 6)::DOUBLE AS pct
+FROM c ORDER BY n DESC, value LIMIT 50""")
+def top_words(spark, sf):
+    return rounded(P.top_value_shares(_words(spark, sf), ["word"], 50, capacity=8192), 6, "pct")
+
+
+@query("profile_top_word_means", f"""
+SELECT word, count(*) AS n, round(avg(n_chars), 4) AS mean_target FROM ({_WORDS_SQL}) WHERE word <> ''
+GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")
+def top_word_means(spark, sf):
+    return rounded(P.top_category_means(_words(spark, sf), "word", "n_chars", 20, capacity=8192), 4, "mean_target")
+
+
 @query("profile_quality_report", f"""
 WITH t AS ({LABELLED_SQL})
 SELECT count(*) AS total_rows, 7::BIGINT AS total_columns, (2 * count(*) - count(quality) - count(toxic))::BIGINT AS missing_cells,
