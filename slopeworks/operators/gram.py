@@ -26,7 +26,7 @@ def _doubles(columns: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
 
 
-def _sum_blocks(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
+def sum_blocks(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
                 kernel: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
     """Rows (group..., i, v): element-wise sums over all rows of `kernel(block)`, one matrix row per output row."""
     groups, columns = list(groups), list(columns)
@@ -98,7 +98,7 @@ def gram_stats(df: DataFrame, features: Sequence[str], label: str, group_cols: S
         z = np.hstack([x, np.ones((len(block), 1)), y])
         return (z * block[:, d - 1 :]).T @ z if weight else z.T @ z
 
-    rows = _sum_blocks(df, groups, [*features, label, *([weight] if weight else [])], kernel, d)
+    rows = sum_blocks(df, groups, [*features, label, *([weight] if weight else [])], kernel, d)
     ordered = F.sort_array(F.collect_list(F.struct("i", "v")))  # d rows per group
     return rows.groupBy(*groups).agg(F.flatten(F.transform(ordered, lambda r: r["v"])).alias("zz"))
 
@@ -174,7 +174,7 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         x, m = np.where(known, block - np.array(shift), 0.0), known.astype(float)
         return np.hstack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
 
-    rows = _sum_blocks(df, [], columns, kernel, 4 * d)
+    rows = sum_blocks(df, [], columns, kernel, 4 * d)
     parts = [F.slice("v", k * d + 1, d) for k in range(4)]
     cells = rows.select("i", F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("n", "s", "q", "p"))])).alias("j", "c"))
     a = cells.select("i", "j", "c.*")

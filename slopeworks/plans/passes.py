@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.operators.gram import sum_blocks
 from slopeworks.operators.losses import penalty_gradient, penalty_value
 from slopeworks.plans.steps import lbfgs_direction, stop_reason
 
@@ -109,3 +110,80 @@ def fit_by_passes(df: DataFrame, features: Sequence[str], label: str, loss: str
         "setup string, weights array<double>, converged boolean, reason string, final_iteration int, final_loss double, "
         "final_gradient_norm double, data_passes int")
     return model, spark.createDataFrame(history, "iteration int, loss double, gradient_norm double, step_size double")
+
+
+def huber_points(df: DataFrame, features: Sequence[str], label: str, points: Sequence[np.ndarray], delta: float) -> list[tuple]:
+    """(loss, gradient, curvature of the inliers, curvature of a parabola above the loss) at each point, from one pass."""
+    p = len(features) + 1
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        x, y = np.hstack([block[:, :-1], np.ones((len(block), 1))]), block[:, -1]
+        rows = [np.append(np.zeros(p), len(block))[None, :]]
+        for w in points:
+            e = x @ w - y
+            a = np.abs(e)
+            loss = np.where(a <= delta, 0.5 * e * e, delta * (a - 0.5 * delta)).sum()
+            inside = (x * (a <= delta)[:, None]).T @ x
+            above = (x * (delta / np.maximum(a, delta))[:, None]).T @ x
+            rows += [np.append(np.clip(e, -delta, delta) @ x, loss)[None, :], np.hstack([np.vstack([inside, above]), np.zeros((2 * p, 1))])]
+        return np.vstack(rows)
+
+    sums = {r["i"]: r["v"] for r in sum_blocks(df, [], [*features, label], kernel, p + 1).collect()}  # 2p + 1 rows a point
+    if not sums:
+        raise ValueError("no rows to train on")
+    m = np.array([sums[i] for i in range(len(sums))])
+    n, out = m[0, -1], []
+    for k in range(len(points)):
+        at = 1 + k * (2 * p + 1)
+        out.append((float(m[at, -1] / n), m[at, :p] / n, m[at + 1 : at + 1 + p, :p] / n, m[at + 1 + p : at + 1 + 2 * p, :p] / n))
+    return out
+
+
+def fit_huber_newton(df: DataFrame, features: Sequence[str], label: str, delta: float = 1.0, regularization: float = 0.0,
+                     max_iter: int = 100, tolerance: float = 1e-10) -> tuple[DataFrame, DataFrame]:
+    """(model row, history rows) of Huber regression with a ridge penalty by semismooth Newton, one pass an iteration.
+
+    Each pass tries two full steps: Newton's, on the curvature of the rows inside `delta`, and one to the minimum of a
+    weighted parabola that lies above the loss. The second never climbs, so the better of the two needs no line search; the
+    first ends the descent in a few steps once the inliers are known.
+    """
+    features = list(features)
+    table = df.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    p = len(features) + 1
+    ridge = np.diag(np.append(np.full(p - 1, regularization), 0.0))
+
+    def evaluate(points: list[np.ndarray]) -> list[tuple]:
+        return [(w, v + 0.5 * float(w @ ridge @ w), g + ridge @ w, inside + ridge, above + ridge)
+                for w, (v, g, inside, above) in zip(points, huber_points(table, features, label, points, delta))]
+
+    def step(w: np.ndarray, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return w - np.linalg.lstsq(h, g, rcond=1e-13)[0]
+
+    try:
+        (w, value, g, inside, above), passes, history, still, reason = evaluate([np.zeros(p)])[0], 1, [], 0, "iteration limit"
+        for t in range(max_iter + 1):
+            gnorm = float(np.linalg.norm(g))
+            history.append((t, value, gnorm))
+            converged = gnorm < tolerance
+            if not (np.isfinite(value) and np.isfinite(gnorm)):
+                reason = "NaN or Inf in loss or gradient"
+            elif converged:
+                reason = "gradient norm below tolerance"
+            elif still >= 3:
+                reason = "no further progress"
+            if reason != "iteration limit" or t == max_iter:
+                break
+            tried = evaluate([step(w, inside, g), step(w, above, g)])
+            passes += 1
+            # Losses that differ by rounding only are told apart by their gradients.
+            least = min(x[1] for x in tried)
+            w, new, g, inside, above = min((x for x in tried if x[1] <= least + 1e-14 * max(1.0, abs(least))), key=lambda x: float(np.linalg.norm(x[2])))
+            still = still + 1 if abs(new - value) <= 1e-15 * max(1.0, abs(value)) else 0
+            value = new
+    finally:
+        table.unpersist()
+    spark = df.sparkSession
+    model = spark.createDataFrame([(w.tolist(), bool(converged), reason, t, value, gnorm, passes)],
+                                  "weights array<double>, converged boolean, reason string, final_iteration int, final_loss double, "
+                                  "final_gradient_norm double, data_passes int")
+    return model, spark.createDataFrame(history, "iteration int, loss double, gradient_norm double")
