@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from slopeworks.operators.losses import gradient_at
 from slopeworks.operators.ranking import multiplicative_hash
 from slopeworks.plans import config as C
-from slopeworks.plans.passes import fit_by_passes
+from slopeworks.plans.coordinate import elastic_net_path
+from slopeworks.plans.passes import fit_by_passes, fit_huber_newton
 from slopeworks.plans.sgd import SgdSetup, fit_sgd
 from slopeworks.plans.train import fit, history_of, library_baseline
 from workload.registry import query, rounded, table
@@ -300,3 +302,59 @@ for _method in ("newton", "lbfgs"):
     @query(f"train_three_features_ridge_{_method}", _three_sql(0.1))
     def three_ridge(spark, sf, method=_method):
         return _three_fit(spark, sf, method=method, loss="ridge", regularization=0.1)
+
+
+_LINES = """SELECT l_returnflag, l_orderkey % 5 = 0 AS held_out, l_quantity / 25.0::DOUBLE - 1 AS x1, (l_quantity % 10) / 5.0::DOUBLE - 1 AS x2,
+  (l_partkey % 1000) / 500.0::DOUBLE - 1 AS x3, ln(l_extendedprice) AS y FROM lineitem"""
+@query("train_huber_newton", f"""
+WITH RECURSIVE p AS (SELECT x1 AS x, y FROM ({_LINES})),
+r(t, w, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT t + 1, w - (s1 * g1 - sx * g2) / (sxx * s1 - sx * sx), b - (sxx * g2 - sx * g1) / (sxx * s1 - sx * sx)
+  FROM (SELECT t, w, b, sum(u) AS s1, sum(u * x) AS sx, sum(u * x * x) AS sxx, sum(greatest(-0.1, least(0.1, e)) * x) AS g1, sum(greatest(-0.1, least(0.1, e))) AS g2
+    FROM (SELECT t, w, b, x, e, CASE WHEN t < 60 THEN 0.1 / greatest(abs(e), 0.1) ELSE (abs(e) <= 0.1)::INT END AS u
+      FROM (SELECT t, w, b, x, w * x + b - y AS e FROM r, p WHERE t < 70)) GROUP BY t, w, b)),
+f AS (SELECT w, b, x, y, w * x + b - y AS e FROM r, p WHERE t = 70)
+SELECT true AS converged, round(any_value(w), 5) + 0.0 AS w, round(any_value(b), 5) + 0.0 AS b,
+  round(avg(CASE WHEN abs(e) <= 0.1 THEN 0.5 * e * e ELSE 0.1 * (abs(e) - 0.05) END), 8) AS loss,
+  round(greatest(abs(avg(greatest(-0.1, least(0.1, e)) * x)), abs(avg(greatest(-0.1, least(0.1, e))))), 8) + 0.0 AS largest_gradient
+FROM f""")
+def huber_newton(spark, sf):
+    """Weights, and the gradient that the whole table has there."""
+    df = table(spark, sf, "lineitem").select((F.col("l_quantity") / 25.0 - 1).alias("x"), F.log("l_extendedprice").alias("y"))
+    model, _ = fit_huber_newton(df, ["x"], "y", delta=0.1)
+    weights = model.first()["weights"]
+    steepest = max(abs(r["gradient"]) for r in gradient_at(df, ["x"], "y", weights, "huber", delta=0.1).collect())  # one row a feature
+    out = model.select("converged", F.lit(weights[0]).alias("w"), F.lit(weights[1]).alias("b"), F.col("final_loss").alias("loss"), F.lit(steepest).alias("largest_gradient"))
+    return rounded(rounded(out, 5, "w", "b"), 8, "loss", "largest_gradient")
+
+
+_SOFT = "sign({0}) * greatest(abs({0}) - 0.9 * lam, 0) / ({1} + 0.1 * lam)"
+
+
+@query("train_elastic_net_path", f"""
+WITH RECURSIVE t AS ({_LINES}),
+c AS (SELECT l_returnflag AS g, var_pop(x1) AS c11, var_pop(x2) AS c22, var_pop(x3) AS c33, covar_pop(x1, x2) AS c12, covar_pop(x1, x3) AS c13, covar_pop(x2, x3) AS c23,
+  covar_pop(x1, y) AS d1, covar_pop(x2, y) AS d2, covar_pop(x3, y) AS d3, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM t WHERE NOT held_out GROUP BY 1),
+r(k, g, lam, w1, w2, w3) AS (
+  SELECT 0, g, lam, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM c, (VALUES (0.3::DOUBLE), (0.1), (0.03), (0.01), (0.001)) AS v(lam)
+  UNION ALL
+  SELECT k + 1, g, lam, n1, n2, {_SOFT.format("(d3 - c13 * n1 - c23 * n2)", "c33")}
+  FROM (SELECT *, {_SOFT.format("(d2 - c12 * n1 - c23 * w3)", "c22")} AS n2
+    FROM (SELECT k, r.g, lam, w3, c.* EXCLUDE (g), {_SOFT.format("(d1 - c12 * w2 - c13 * w3)", "c11")} AS n1 FROM r JOIN c ON r.g = c.g WHERE k < 300))),
+w AS (SELECT r.g, lam, w1, w2, w3, my - w1 * m1 - w2 * m2 - w3 * m3 AS b FROM r JOIN c ON r.g = c.g WHERE k = 300),
+e AS (SELECT w.g, lam, w1, w2, w3, b, avg((w1 * x1 + w2 * x2 + w3 * x3 + b - y) ** 2) / 2 AS loss FROM w JOIN t ON t.l_returnflag = w.g AND t.held_out GROUP BY ALL)
+SELECT g AS l_returnflag, lam AS regularization, round(w1, 5) + 0.0 AS w1, round(w2, 5) + 0.0 AS w2, round(w3, 5) + 0.0 AS w3, round(b, 5) + 0.0 AS b,
+  ((w1 <> 0)::INT + (w2 <> 0)::INT + (w3 <> 0)::INT)::INTEGER AS n_active, true AS converged, round(loss, 7) AS held_out_loss,
+  row_number() OVER (PARTITION BY g ORDER BY loss, lam DESC) = 1 AS chosen
+FROM e""")
+def net_path(spark, sf):
+    """A path of penalties for each return flag, chosen by the held-out orders."""
+    c = F.col
+    lines = table(spark, sf, "lineitem").select(
+        "l_returnflag", (c("l_orderkey") % 5 == 0).alias("held_out"), (c("l_quantity") / 25.0 - 1).alias("x1"), (c("l_quantity") % 10 / 5.0 - 1).alias("x2"),
+        (c("l_partkey") % 1000 / 500.0 - 1).alias("x3"), F.log("l_extendedprice").alias("y"))
+    out = elastic_net_path(lines, ["x1", "x2", "x3"], "y", [0.3, 0.1, 0.03, 0.01, 0.001], 0.9, c("held_out"), ["l_returnflag"], tolerance=1e-13)
+    weights = [c("weights")[k].alias(n) for k, n in enumerate(("w1", "w2", "w3", "b"))]
+    return rounded(rounded(out.select("l_returnflag", "regularization", *weights, "n_active", "converged", "held_out_loss", "chosen"), 5, "w1", "w2", "w3", "b"), 7, "held_out_loss")
