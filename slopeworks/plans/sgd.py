@@ -8,12 +8,14 @@ epoch over any number of rows ends in one small matrix. The result is that of th
 key, run SGD on their own rows from the same start, and the row-weighted mean starts the next epoch. Averaged weights are
 not those of one sequential run, unless there is one block. The number of blocks is a parameter and never follows from the
 size of the table; a task reads its block as a sorted stream, so a block may have any number of rows.
+
+`stored_sgd` has the sequential run of those rules, and epochs that do not sort rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +68,12 @@ def epoch_rate(s: SgdSetup, epoch: int) -> float:
     return lr
 
 
+def poisson_numbers(u: np.ndarray) -> np.ndarray:
+    """`poisson_weight` of an array, inside a task."""
+    terms = np.array([math.exp(-1.0) / math.factorial(k) for k in range(20)])
+    return np.searchsorted(np.cumsum(terms), u, side="right").astype(float)
+
+
 def poisson_weight(u: Column) -> Column:
     """Poisson(1) count from a uniform number: the bootstrap weight of a row."""
     cumulative, term, out = 0.0, math.exp(-1.0), None
@@ -104,7 +112,7 @@ def _batches(pdf: pd.DataFrame, features: list[str], label: str) -> Iterator[tup
             yield (xs * ws[:, None]).T @ xs / total, xs.T @ (ws * ys) / total
 
 
-def _batch_map(h: np.ndarray, b: np.ndarray, lr: float, mu: float, lam: float) -> np.ndarray:
+def batch_map(h: np.ndarray, b: np.ndarray, lr: float, mu: float, lam: float) -> np.ndarray:
     """Affine map of (weights, velocity, 1) for one update; without momentum the velocity is left out."""
     p = len(b)
     eye = np.eye(p)
@@ -134,7 +142,7 @@ def epoch_maps(df: DataFrame, features: Sequence[str], label: str, key: str, s:
     def compose_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [np.eye(width) for _ in rates]
         for h, b in _batches(pdf, features, label):
-            out = [_batch_map(h, b, lr, mu, lam) @ m for lr, m in zip(rates, out)]
+            out = [batch_map(h, b, lr, mu, lam) @ m for lr, m in zip(rates, out)]
         return pd.DataFrame({"chunk": int(pdf["chunk"].iloc[0]), "i": range(len(rates)), "m": [m.ravel().tolist() for m in out]})
 
     def compose_maps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +157,7 @@ def epoch_maps(df: DataFrame, features: Sequence[str], label: str, key: str, s:
                 m = np.asarray(zz, dtype=float).reshape(len(features) + 2, -1)
                 if m[-2, -2] > 0:
                     h, b = m[:-1, :-1] / m[-2, -2], m[:-1, -1] / m[-2, -2]
-                    yield pd.DataFrame({"chunk": chunk, "i": range(len(rates)), "m": [_batch_map(h, b, lr, mu, lam).ravel().tolist() for lr in rates]})
+                    yield pd.DataFrame({"chunk": chunk, "i": range(len(rates)), "m": [batch_map(h, b, lr, mu, lam).ravel().tolist() for lr in rates]})
 
     schema = "chunk long, i int, m array<double>"
     if s.batch_size > chunk_rows:  # a batch is more than a task should hold: its sums come from partial aggregates
@@ -189,44 +197,57 @@ def fit_sgd(df: DataFrame, features: Sequence[str], label: str, key: str, s: Sgd
     try:
         zz = _stats(table, features, label)
         n = int(zz[-2, -2])
-        q = Quadratic(zz, "l1" if s.loss == "l1" else s.loss, s.regularization)
-        p = len(q.b)
-        w, v = np.zeros(p), np.zeros(p)
-        history, best, converged, reason, maps = [], None, False, "epoch limit", {}
+        maps = {}
         if mode == "exact" and s.order == "once":
             rates = sorted({epoch_rate(s, e) for e in range(s.epochs)})
             rows = epoch_maps(table, features, label, key, s, 0, rates, n, hashed, chunk_rows).collect()  # one matrix per rate
             maps = {rates[r["i"]]: r["m"] for r in rows}
-        for epoch in range(s.epochs):
-            lr = epoch_rate(s, epoch)
-            if mode == "exact":
-                if s.order != "once":
-                    one = epoch_maps(table, features, label, key, s, epoch, [lr], n, hashed, chunk_rows).first()["m"]
-                    maps = {lr: one}
-                state = np.concatenate([w, v, [1.0]] if s.momentum else [w, [1.0]])
-                state = np.asarray(maps[lr]).reshape(len(state), -1) @ state
-                w, v = state[:p], state[p:2 * p] if s.momentum else v
-            elif mode == "averaged":
-                w, v = _averaged_epoch(table, features, label, key, s, epoch, lr, w, v, hashed, blocks)
-            else:
+
+        def epoch_step(epoch: int, lr: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if mode == "averaged":
+                return _averaged_epoch(table, features, label, key, s, epoch, lr, w, v, hashed, blocks)
+            if mode != "exact":
                 raise ValueError(f"unknown mode {mode!r}")
-            loss, gnorm = q.value(w), float(np.linalg.norm(q.gradient(w)))
-            change = history[-1][1] - loss if history else None
-            history.append((epoch + 1, loss, gnorm, lr))
-            if np.isfinite(gnorm) and (best is None or gnorm < best[2]):
-                best = (epoch + 1, loss, gnorm, w.copy())
-            stopped, converged, reason = stop_reason(gnorm, loss, change, epoch, s.tolerance, s.epochs, w)
-            if not stopped and len(history) >= 5 and loss > 2 * history[-5][1]:
-                stopped, reason = True, "loss doubled within five epochs"
-            if stopped:
-                break
-            reason = "epoch limit"
+            m = maps[lr] if s.order == "once" else epoch_maps(table, features, label, key, s, epoch, [lr], n, hashed, chunk_rows).first()["m"]
+            return apply_map(m, w, v, s)
+
+        return run_epochs(df.sparkSession, s, mode, zz, epoch_step)
     finally:
         table.unpersist()
-    return _finish(df.sparkSession, s, mode, w, best or (history[-1][0], loss, gnorm, w), history, converged, reason)
 
 
-def _apply(w, v, g, s: SgdSetup, lr: float):
+def apply_map(m, w: np.ndarray, v: np.ndarray, s: SgdSetup) -> tuple[np.ndarray, np.ndarray]:
+    """The state after the updates that a composed map stands for."""
+    p = len(w)
+    state = np.concatenate([w, v, [1.0]] if s.momentum else [w, [1.0]])
+    state = np.asarray(m, dtype=float).reshape(len(state), -1) @ state
+    return state[:p], state[p:2 * p] if s.momentum else v
+
+
+def run_epochs(spark, s: SgdSetup, mode: str, zz: np.ndarray,
+               epoch_step: Callable[[int, float, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[DataFrame, DataFrame]:
+    """Epochs until a stop rule holds: (model row, history rows). `epoch_step` takes (epoch, rate, weights, velocity)."""
+    q = Quadratic(zz, "l1" if s.loss == "l1" else s.loss, s.regularization)
+    w, v = np.zeros(len(q.b)), np.zeros(len(q.b))
+    history, best, converged, reason = [], None, False, "epoch limit"
+    for epoch in range(s.epochs):
+        lr = epoch_rate(s, epoch)
+        w, v = epoch_step(epoch, lr, w, v)
+        loss, gnorm = q.value(w), float(np.linalg.norm(q.gradient(w)))
+        change = history[-1][1] - loss if history else None
+        history.append((epoch + 1, loss, gnorm, lr))
+        if np.isfinite(gnorm) and (best is None or gnorm < best[2]):
+            best = (epoch + 1, loss, gnorm, w.copy())
+        stopped, converged, reason = stop_reason(gnorm, loss, change, epoch, s.tolerance, s.epochs, w)
+        if not stopped and len(history) >= 5 and loss > 2 * history[-5][1]:
+            stopped, reason = True, "loss doubled within five epochs"
+        if stopped:
+            break
+        reason = "epoch limit"
+    return _finish(spark, s, mode, w, best or (history[-1][0], loss, gnorm, w), history, converged, reason)
+
+
+def update(w, v, g, s: SgdSetup, lr: float):
     """One update with momentum and, if asked for, a fixed length."""
     v = s.momentum * v + g
     if s.step_length:
@@ -235,8 +256,9 @@ def _apply(w, v, g, s: SgdSetup, lr: float):
     return w - lr * v, v
 
 
-def _gradient(h, b, w, s: SgdSetup):
-    g = h @ w - b
+def batch_gradient(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, s: SgdSetup) -> np.ndarray:
+    """Mean gradient of a batch with row weights; the last weight is the bias and has no penalty."""
+    g = x.T @ (weight * (x @ w - y)) / weight.sum()
     g[:-1] += penalty_gradient(w[:-1], s.loss, s.regularization)
     return g
 
@@ -261,9 +283,7 @@ def _averaged_epoch(table: DataFrame, features, label, key: str, s: SgdSetup, ep
         for i in range(0, len(pdf), s.batch_size):
             xs, ys, ws = x[i:i + s.batch_size], y[i:i + s.batch_size], weight[i:i + s.batch_size]
             if ws.sum() > 0:
-                g = xs.T @ (ws * (xs @ a - ys)) / ws.sum()
-                g[:-1] += penalty_gradient(a[:-1], s.loss, s.regularization)
-                a, m = _apply(a, m, g, s, lr)
+                a, m = update(a, m, batch_gradient(xs, ys, ws, a, s), s, lr)
         return a, m
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

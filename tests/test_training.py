@@ -9,6 +9,7 @@ from slopeworks.operators import gram as G
 from slopeworks.operators import losses as L
 from slopeworks.plans import config as C
 from slopeworks.plans import sgd as S
+from slopeworks.plans import stored_sgd as B
 from slopeworks.plans.passes import evaluate_points, fit_by_passes
 from slopeworks.plans.steps import minimise, schedule, stop_reason
 from slopeworks.plans.train import fit, history_of, library_baseline
@@ -329,3 +330,77 @@ def test_random_search_is_seeded_and_in_range(spark):
 def test_library_baseline_agrees(spark, lin2):
     got = {r["feature"]: r["weight"] for r in library_baseline(lin2, ["x1", "x2"], "y").collect()}
     assert np.allclose([got["x1"], got["x2"], got["bias"]], [2, -1, 3], atol=1e-6)
+
+
+def _stored_order(n, block_rows, s, epoch, batch):
+    """(rows, weights) of each batch of an epoch, from the definition of the order."""
+    hashes = {b: int(B.order_hash_numbers(np.array([b]), s.seed + epoch)[0]) if s.order != "once" else b for b in range(-(-n // block_rows))}
+    for block in sorted(hashes, key=hashes.get):
+        places = list(range(min(block_rows, n - block * block_rows)))
+        if s.order != "once":
+            places.sort(key=lambda i: B.order_hash_numbers(np.array([i]), hashes[block])[0])
+        rows = [block * block_rows + i for i in places]
+        u = [B.order_hash_numbers(np.array([r]), hashes[block] + 1)[0] / 2**32 for r in rows]
+        weight = S.poisson_numbers(np.array(u)) if s.order == "bootstrap" else np.ones(len(rows))
+        yield from ((rows[i:i + batch], weight[i:i + batch]) for i in range(0, len(rows), batch))
+
+
+def _stored_loop(frame, s, block_rows, key_order):
+    x, y = np.column_stack([frame[["x1", "x2"]], np.ones(len(frame))])[key_order], frame["y"].to_numpy()[key_order]
+    w, v = np.zeros(3), np.zeros(3)
+    for e in range(s.epochs):
+        for rows, weight in _stored_order(len(y), block_rows, s, e, s.batch_size):
+            if weight.sum() > 0:
+                w, v = S.update(w, v, S.batch_gradient(x[rows], y[rows], weight, w, s), s, S.epoch_rate(s, e))
+    return w
+
+
+@pytest.mark.parametrize("options, mode", [
+    ({"order": "once"}, "exact"), ({"momentum": 0.6, "loss": "ridge", "regularization": 0.2, "schedule": "sqrt"}, "exact"),
+    ({"order": "bootstrap"}, "exact"), ({"order": "once", "schedule": "linear"}, "exact"), ({}, "sequential"),
+    ({"step_length": 0.05, "momentum": 0.3, "order": "once"}, "sequential"), ({"step_length": 0.05}, "sequential"),
+    ({"loss": "l1", "regularization": 0.1}, "sequential"), ({"loss": "l1", "regularization": 0.1, "order": "bootstrap"}, "sequential")])
+def test_stored_sgd_equals_the_plain_loop(spark, lin2, tmp_path, monkeypatch, options, mode):
+    monkeypatch.setattr(B, "FAN_IN", 2)
+    s = S.SgdSetup(**{"batch_size": 4, "epochs": 4, "learning_rate": 0.05, "tolerance": 0.0, **options})
+    stored = B.store_blocks(lin2, ["x1", "x2"], "y", "id", str(tmp_path / "b"), hashed=F.col("id") * 7 % 50, block_rows=8)
+    want = _stored_loop(line_frame(), s, 8, sorted(range(50), key=lambda i: (i * 7 % 50, i)))
+    got = [B.fit_stored(spark, stored, s, mode, chunks=c) for c in ((1, 3, 8) if mode == "sequential" else (1,))]
+    for model, history in got:
+        assert np.allclose(model.first()["last_weights"], want, atol=1e-9) and history.count() == 4
+    if mode == "sequential":
+        rounds = [[r["rounds"] for r in h.orderBy("epoch").collect()] for _, h in got]
+        assert rounds[0] == [1] * 4 and max(rounds[1]) <= 3 and max(rounds[2]) <= 8
+
+
+def test_order_hash_is_one_function_in_spark_and_tasks(spark):
+    numbers = [0, 1, 2, 4095, 2**31 - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "v long").select(*[B.order_hash(F.col("v"), seed) for seed in (0, 42, 2**32 - 1)]).collect()
+    for j, seed in enumerate((0, 42, 2**32 - 1)):
+        assert [r[j] for r in rows] == B.order_hash_numbers(np.array(numbers), seed).tolist()
+    assert len(set(B.order_hash_numbers(np.arange(100_000), 7).tolist())) == 100_000
+
+
+def test_stored_epochs_shuffle_no_rows_and_guard(spark, lin2, tmp_path):
+    stored = B.store_blocks(lin2, ["x1", "x2"], "y", "id", str(tmp_path / "b"), block_rows=8)
+    assert "Exchange" not in B._placed(spark, stored, S.SgdSetup(), 3, 4)._jdf.queryExecution().toString()
+    assert stored.read(spark).count() == 7 and stored.n_blocks == 7
+    with pytest.raises(ValueError, match="multiple"):
+        B.fit_stored(spark, stored, S.SgdSetup(batch_size=3))
+    with pytest.raises(ValueError, match="sequential"):
+        B.fit_stored(spark, stored, S.SgdSetup(batch_size=4, step_length=0.1))
+    with pytest.raises(ValueError, match="no rows"):
+        B.store_blocks(lin2.limit(0), ["x1", "x2"], "y", "id", str(tmp_path / "e"))
+
+
+def test_sequential_sgd_that_diverges_stops_with_a_reason(spark, lin2, tmp_path):
+    stored = B.store_blocks(lin2, ["x1", "x2"], "y", "id", str(tmp_path / "b"), block_rows=8)
+    model, _ = B.fit_stored(spark, stored, S.SgdSetup(batch_size=4, learning_rate=1e60, loss="l1", regularization=0.1), "sequential", chunks=3)
+    row = model.first()
+    assert not row["converged"] and row["reason"] != "epoch limit"
+
+
+def test_exact_stored_sgd_that_diverges_stops_with_a_reason(spark, lin2, tmp_path):
+    stored = B.store_blocks(lin2, ["x1", "x2"], "y", "id", str(tmp_path / "b"), block_rows=8)
+    model, _ = B.fit_stored(spark, stored, S.SgdSetup(batch_size=4, learning_rate=1e60))
+    assert not model.first()["converged"] and model.first()["reason"] != "epoch limit"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from slopeworks.operators.losses import gradient_at
@@ -10,7 +12,9 @@ from slopeworks.plans import config as C
 from slopeworks.plans.coordinate import elastic_net_path
 from slopeworks.plans.passes import fit_by_passes, fit_huber_newton
 from slopeworks.plans.sgd import SgdSetup, fit_sgd
+from slopeworks.plans.stored_sgd import fit_stored, store_blocks
 from slopeworks.plans.train import fit, history_of, library_baseline
+from slopeworks.session import shared_folder
 from workload.registry import query, rounded, table
 
 # One feature from the part number, log price as the label.
@@ -229,6 +233,76 @@ def sgd_averaged(spark, sf):
     return _sgd_model(spark, sf, "averaged", blocks=8, loss="l1", regularization=0.001)
 
 
+def _poisson_sql(u: str) -> str:
+    """Poisson(1) count of a uniform number."""
+    edges, total, term = [], 0.0, math.exp(-1.0)
+    for k in range(20):
+        total += term
+        edges.append(f"WHEN {u} < {total!r} THEN {k}")
+        term /= k + 1
+    return f"CASE {' '.join(edges)} ELSE 20 END"
+
+
+def _stored_sql(g: str, update: str, epochs: int = 3, rows: int = 1024, batch: int = 64, order: str = "each_epoch") -> str:
+    """Batch by batch over blocks of rows: `g` is the penalty's part of the gradient, `update` gives (w, b) from the gradient g1, g2."""
+    def mixed(value: str, seed: str, name: str, source: str) -> str:
+        return (f"{name}1 AS (SELECT *, (({value}) % 2147483648 * 2654435761 + ({seed}) * 1000003 % 4294967296) % 4294967296 AS h1 FROM {source}),"
+                f" {name}2 AS (SELECT * EXCLUDE (h1), xor(h1, h1 >> 15) * 739982445 % 4294967296 AS h2 FROM {name}1),"
+                f" {name} AS (SELECT * EXCLUDE (h2), xor(h2, h2 >> 12) AS {name}_hash FROM {name}2)")
+
+    fixed = order == "once"
+    weight = _poisson_sql("draw_hash / 4294967296.0::DOUBLE") if order == "bootstrap" else "1"
+    return f"""
+WITH RECURSIVE ranked AS (SELECT x, y, row_number() OVER (ORDER BY {_H}, p_partkey) - 1 AS place FROM ({_PARTS})),
+base AS (SELECT x, y, e, place, place // {rows} AS block, place % {rows} AS slot FROM ranked, range({epochs}) AS t(e)),
+{mixed("block", "42 + e", "outer_", "base")},
+{mixed("slot", "outer__hash", "inner_", "outer_")},
+{mixed("place", "outer__hash + 1", "draw", "inner_")},
+z AS (SELECT x, y, e, {"block" if fixed else "outer__hash"} AS first, (row_number() OVER (PARTITION BY e, block ORDER BY {"slot" if fixed else "inner__hash"}) - 1) // {batch} AS second,
+  ({weight})::DOUBLE AS v FROM draw),
+bt AS MATERIALIZED (SELECT row_number() OVER (ORDER BY e, first, second) - 1 AS t, e, sum(v * x * x) / sum(v) AS a, sum(v * x) / sum(v) AS m, sum(v * x * y) / sum(v) AS c, sum(v * y) / sum(v) AS d
+  FROM z GROUP BY e, first, second HAVING sum(v) > 0),
+r(t, w, b) AS (
+  SELECT 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT t + 1, {update} FROM (SELECT r.*, bt.e, a * w + m * b - c + {g} AS g1, m * w + b - d AS g2 FROM r JOIN bt USING (t)))
+SELECT {epochs}::INTEGER AS epoch, round(w, 7) + 0.0 AS w, round(b, 7) + 0.0 AS b FROM r WHERE t = (SELECT count(*) FROM bt)"""
+
+
+def _stored(spark, sf, mode, **setup):
+    s = SgdSetup(batch_size=64, epochs=3, tolerance=0.0, **{"learning_rate": 0.05, **setup})
+    blocks = store_blocks(parts(spark, sf), ["x"], "y", "p_partkey", shared_folder(spark), multiplicative_hash("p_partkey", 42), block_rows=1024)
+    model, _ = fit_stored(spark, blocks, s, mode)
+    return rounded(model.select(F.col("final_epoch").alias("epoch"), F.col("last_weights")[0].alias("w"), F.col("last_weights")[1].alias("b")), 7, "w", "b")
+
+
+_PLAIN = "w - 0.05 * g1, b - 0.05 * g2"
+_UNIT = "w - 0.01 * g1 / sqrt(g1 * g1 + g2 * g2), b - 0.01 * g2 / sqrt(g1 * g1 + g2 * g2)"
+
+
+@query("train_sgd_stored_reshuffled", _stored_sql("0.1 * w", _PLAIN))
+def sgd_stored_reshuffled(spark, sf):
+    """Ridge; blocks and the rows in them in a new order each epoch, no sort of rows."""
+    return _stored(spark, sf, "exact", loss="ridge", regularization=0.1)
+
+
+@query("train_sgd_stored_bootstrap", _stored_sql("0", _PLAIN, order="bootstrap"))
+def sgd_stored_bootstrap(spark, sf):
+    return _stored(spark, sf, "exact", order="bootstrap")
+
+
+@query("train_sgd_fixed_length_sequential", _stored_sql("0", _UNIT, order="once"))
+def sgd_fixed_length_sequential(spark, sf):
+    """Unit-length steps over all batches in order, run in chunks until their starts agree."""
+    return _stored(spark, sf, "sequential", order="once", step_length=0.01)
+
+
+@query("train_sgd_l1_sequential", _stored_sql("0.01 * sign(w)", _PLAIN))
+def sgd_l1_sequential(spark, sf):
+    """Per-batch L1 signs, reshuffled each epoch."""
+    return _stored(spark, sf, "sequential", loss="l1", regularization=0.01)
+
+
 @query("train_huber_by_passes")
 def huber(spark, sf):
     model, _ = fit_by_passes(parts(spark, sf), ["x"], "y", loss="huber", delta=0.01, max_iter=20)
