@@ -192,7 +192,7 @@ def with_history_facts(runs: DataFrame, history: DataFrame) -> DataFrame:
 def convergence_table(runs: DataFrame, history: DataFrame) -> DataFrame:
     """Long table of the histories that are finite throughout, with setup and family."""
     clean = finite_groups(history, ["run_id"], ["loss", "gradient_norm"])
-    return clean.join(runs.select("run_id", "setup", "family"), "run_id")
+    return clean.drop("setup", "family").join(runs.select("run_id", "setup", "family"), "run_id")
 
 
 def requested_runs(requested: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:

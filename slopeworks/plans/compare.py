@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slopeworks.operators import experiments as X
-from slopeworks.sources.runs import read_histories, read_runs
+from slopeworks.sources.runs import Batch, read_histories, read_runs
 from slopeworks.sources.tables import write_report
 
 
@@ -32,3 +32,10 @@ def compare_runs(runs: DataFrame, history: DataFrame | None = None) -> dict[str,
 def write_reports(reports: dict[str, DataFrame], path: str) -> None:
     for name, df in reports.items():
         write_report(df, f"{path}/{name}")
+
+
+def store_reports(runs: DataFrame, path: str, history: DataFrame | None = None, batch: str | None = None) -> None:
+    """All report tables of a set of runs as one batch of a store; `read_committed` reads them."""
+    with Batch(runs.sparkSession, path, batch) as b:
+        for name, df in compare_runs(runs, history).items():
+            b.store(df, name)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slopeworks.operators.joins import lookup_join
 
@@ -125,27 +127,93 @@ def read_histories(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.select("run_id", *[read(c, t) for c, t in HISTORY_TYPES.items() if c != "run_id"])
 
 
-def write_runs(runs: DataFrame, path: str, group_cols: Sequence[str] = (), mode: str = "append", batch: str | None = None) -> None:
-    """Trained runs partitioned by batch and family; results and histories go to sibling tables.
+COMMIT_SCHEMA = "batch string, attempt string, version long, replaces boolean, state string"
+
+
+def _append(df: DataFrame, path: str, batch: str, attempt: str) -> str:
+    """One table of a batch, in a folder of its own attempt that nothing else writes to."""
+    folder, keys = f"{path}/batch={batch}/attempt={attempt}", [c for c in ("family",) if c in df.columns and len(df.columns) > 1]
+    df.write.mode("append").partitionBy(*keys).parquet(folder)
+    return folder
+
+
+def _log(spark: SparkSession, path: str, batch: str, attempt: str, version: int, replaces: bool, state: str) -> None:
+    spark.createDataFrame([(batch, attempt, version, replaces, state)], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
 
-    The nested rows are written first and read back, so training happens once. `append` writes the partitions of its own
-    batch only; a retry under the same batch name replaces them. `overwrite` replaces all.
+class Batch:
+    """A batch of tables in a store at `path`; readers see all of its tables or none.
+
+    Used as a context: entering logs the attempt, `store` writes a table, and leaving without an error appends the one commit
+    row that makes them visible. Work that fails stays invisible. A later attempt under the same batch name takes the place of
+    an earlier one, and a batch that `replaces` hides all batches before it. Nothing is overwritten, so readers that
+    have started keep their files. Of writers of one version the larger attempt counts as the later.
     """
-    batch = batch or uuid.uuid4().hex
 
-    def store(df: DataFrame, name: str) -> None:
-        kind = "static" if mode == "overwrite" else "dynamic"
-        (df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", kind)
-         .partitionBy("batch", "family").parquet(f"{path}/{name}"))
+    def __init__(self, spark: SparkSession, path: str, batch: str | None = None, replaces: bool = False):
+        self.spark, self.path, self.batch, self.replaces = spark, path, batch or uuid.uuid4().hex, replaces
+        self.attempt = uuid.uuid4().hex
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", self.batch):
+            raise ValueError("a batch name is made of letters, digits and _ . -")
+
+    def __enter__(self) -> Batch:
+        _log(self.spark, self.path, self.batch, self.attempt, 0, self.replaces, "started")
+        return self
+
+    def store(self, df: DataFrame, table: str) -> DataFrame:
+        """Writes a table and returns it as it is stored."""
+        folder = _append(df, f"{self.path}/{table}", self.batch, self.attempt)
+        return self.spark.read.schema(df.schema).parquet(folder).select(*df.columns)
+
+    def __exit__(self, kind, value, trace) -> None:
+        if kind is None:
+            last = attempts(self.spark, self.path).agg(F.max("version")).first()[0]
+            _log(self.spark, self.path, self.batch, self.attempt, last + 1, self.replaces, "committed")
+
 
-    store(runs, "nested")
-    stored = runs.sparkSession.read.parquet(f"{path}/nested").filter(F.col("batch") == batch).drop("batch")
-    store(stored.drop("history"), "runs")
-    store(stored.select("family", "run_id", *group_cols, F.explode("history").alias("h")).select("family", "run_id", *group_cols, "h.*"), "history")
+def attempts(spark: SparkSession, path: str) -> DataFrame:
+    """The log of a store: one row when an attempt starts and one when it is committed."""
+    return spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/commits")
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, attempt) that readers see: the latest committed attempt of each batch since the last one that replaced all."""
+    done = attempts(spark, path).filter(F.col("state") == "committed").withColumn("at", F.struct("version", "attempt"))
+    since = done.agg(F.max(F.when(F.col("replaces"), F.col("at")))).first()[0]
+    kept = done.groupBy("batch").agg(F.max("at").alias("at"))
+    if since is not None:
+        kept = kept.filter(F.col("at") >= F.struct(F.lit(since["version"]).alias("version"), F.lit(since["attempt"]).alias("attempt")))
+    return kept.select("batch", F.col("at.attempt").alias("attempt"))
+
+
+def unfinished(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, attempt) that were started and not committed: running, or failed."""
+    log = attempts(spark, path)
+    return log.select("batch", "attempt").distinct().join(log.filter(F.col("state") == "committed"), ["batch", "attempt"], "left_anti")
+
+
+def read_committed(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The rows of a table that belong to committed batches, with their `batch`; other attempts' folders are pruned."""
+    found = spark.read.parquet(f"{path}/{table}").schema
+    text = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("batch", "attempt", "family") else f for f in found])  # 007 is a name
+    rows = spark.read.schema(text).parquet(f"{path}/{table}")
+    return rows.join(committed(spark, path), ["batch", "attempt"], "left_semi").drop("attempt")
+
+
+def write_runs(runs: DataFrame, path: str, group_cols: Sequence[str] = (), mode: str = "append", batch: str | None = None) -> None:
+    """Trained runs and their histories as one batch of a store: both are visible to readers, or neither.
+
+    The nested rows are written first and read back, so training happens once. A retry under the same batch name replaces
+    that batch; `overwrite` hides all earlier ones.
+    """
+    with Batch(runs.sparkSession, path, batch, replaces=mode == "overwrite") as b:
+        stored = b.store(runs, "nested")
+        b.store(stored.drop("history"), "runs")
+        b.store(stored.select("family", "run_id", *group_cols, F.explode("history").alias("h")).select("family", "run_id", *group_cols, "h.*"), "history")
 
 
 def read_written_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/runs").drop("batch"), spark.read.parquet(f"{path}/history").drop("batch")
+    return read_committed(spark, path, "runs").drop("batch"), read_committed(spark, path, "history").drop("batch")
 
 
 def as_comparison_runs(trained: DataFrame) -> DataFrame:

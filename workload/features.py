@@ -21,6 +21,21 @@ def parse_units(spark, sf):
     return T.parse_units(listings(spark, sf)).select(*KEY, "length", "height", "power_hp", "power_rpm")
 
 
+_TORQUE = """SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN '--' WHEN p_size % 10 = 1 THEN NULL WHEN p_size % 10 = 2 THEN p_size || ' lb-ft'
+  ELSE (p_size * 8) || ' lb-ft @ ' || (p_size % 6 + 1) || ',' || lpad(CAST(p_size AS VARCHAR), 3, '0') || ' RPM' END AS torque FROM part"""
+
+
+@query("parse_torque", f"""
+SELECT p_partkey, TRY_CAST(nullif(regexp_extract(torque, '(\\d+)', 1), '') AS DOUBLE) AS torque_value,
+  TRY_CAST(nullif(regexp_extract(replace(torque, ',', ''), '@\\s*(\\d+)', 1), '') AS DOUBLE) AS torque_rpm FROM ({_TORQUE})""")
+def parse_torque(spark, sf):
+    size = F.col("p_size")
+    full = F.concat((size * 8).cast("string"), F.lit(" lb-ft @ "), (size % 6 + 1).cast("string"), F.lit(","), F.lpad(size.cast("string"), 3, "0"), F.lit(" RPM"))
+    short = F.concat(size.cast("string"), F.lit(" lb-ft"))
+    torque = F.when(size % 10 == 0, "--").when(size % 10 == 2, short).when(size % 10 != 1, full)
+    return T.parse_units(table(spark, sf, "part").select("p_partkey", torque.alias("torque"))).select("p_partkey", "torque_value", "torque_rpm")
+
+
 @query("parse_event_numbers", """
 SELECT event_id, TRY_CAST(nullif(regexp_extract(props, '(\\d+\\.?\\d*)', 1), '') AS DOUBLE) AS k, TRY_CAST(event_type AS DOUBLE) AS not_a_number FROM events""")
 def event_numbers(spark, sf):

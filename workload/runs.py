@@ -5,16 +5,19 @@ Every customer is a run; its orders are the history. Trained runs come from one
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from slopeworks.operators import experiments as X
 from slopeworks.operators import losses as L
 from slopeworks.operators.ranking import with_lags, with_running_min
+from slopeworks.plans import compare as CM
 from slopeworks.plans import config as C
 from slopeworks.plans.train import fit, history_of
 from slopeworks.session import shared_folder
 from slopeworks.sources import runs as R
-from workload.registry import query, rounded, table, union_all
+from workload.registry import ORACLES, query, rounded, table, union_all
 
 _RUNS = """
 SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_name AS setup,
@@ -113,6 +116,43 @@ def comparison(spark, sf):
     return rounded(out, 6, "performance_score", "efficiency_score", "gain")
 
 
+def _reports(spark, sf):
+    """The report job over stored runs and histories: a failed batch, then a batch that is retried, then one of reports."""
+    path = shared_folder(spark)
+    all_runs, all_history = runs(spark, sf), history(spark, sf)
+    with contextlib.suppress(InterruptedError), R.Batch(spark, path, "lost") as b:
+        b.store(all_runs, "runs")
+        raise InterruptedError("stopped before its histories were written")
+    for part in (all_runs.filter("converged"), all_runs):  # the second attempt takes the place of the first
+        with R.Batch(spark, path, "kept") as b:
+            b.store(part, "runs")
+            b.store(all_history, "history")
+    stored, past = R.read_written_runs(spark, path)
+    CM.store_reports(stored, path, past, "reports")
+    return path
+
+
+@query("reports_stored_comparison", ORACLES["runs_comparison"])
+def reports_stored_comparison(spark, sf):
+    out = R.read_committed(spark, _reports(spark, sf), "comparison")
+    gain = F.col("convergence_rate") * F.when(F.col("iterations") > 0, F.col("iterations")).otherwise(1)
+    return rounded(out.select("run_id", "category", "performance_score", "efficiency_score", gain.alias("gain")), 6, "performance_score", "efficiency_score", "gain")
+
+
+@query("reports_store_state", f"""
+SELECT 'runs' AS name, count(*) AS n, count(DISTINCT run_id) AS n_runs FROM ({_RUNS}) UNION ALL
+SELECT 'history', count(*), count(DISTINCT run_id) FROM ({_HISTORY}) UNION ALL
+SELECT 'ordered', count(*), count(DISTINCT run_id) FROM ({_RUNS}) UNION ALL
+SELECT 'unfinished', 1, 0""")
+def reports_store_state(spark, sf):
+    """Rows that readers of the store see, and the attempt that was not committed."""
+    path = _reports(spark, sf)
+    counts = [R.read_committed(spark, path, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.count_distinct("run_id").alias("n_runs"))
+              for t in ("runs", "history", "ordered")]
+    lost = R.unfinished(spark, path).agg(F.lit("unfinished").alias("name"), F.count("*").alias("n"), F.lit(0).cast("long").alias("n_runs"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(lost)
+
+
 @query("runs_by_category", f"""
 SELECT category, count(*) AS n_runs, round(avg(performance_score), 6) AS mean_score, round(max(performance_score), 6)::DOUBLE AS max_score, round(avg(training_time), 6) AS mean_time,
   round(count(*) FILTER (converged) * 100.0 / count(*), 6)::DOUBLE AS converged_pct FROM ({_SCORED}) GROUP BY 1""")
