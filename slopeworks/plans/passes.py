@@ -6,23 +6,69 @@ Only (d+1)-sized sums come back to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slopeworks.operators.gram import sum_blocks
 from slopeworks.operators.losses import penalty_gradient, penalty_value
+from slopeworks.operators.ranking import HASH_SPACE
 from slopeworks.plans.steps import lbfgs_direction, stop_reason
 
 TRIALS = 6
 
 
+class PassMeter:
+    """What data passes read and hand on, counted by Spark while they run.
+
+    Rows that are read again after an executor is lost are counted again: they are work done.
+    """
+
+    SCHEMA = "pass int, points int, rows_read long, partial_rows long, multiplications long, seconds double"
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self._read = self._made = None
+        self._started = 0.0
+
+    def reads(self, df: DataFrame) -> DataFrame:
+        self._read, self._started = Observation(), time.perf_counter()
+        return df.observe(self._read, F.count(F.lit(1)).alias("n"))
+
+    def makes(self, df: DataFrame) -> DataFrame:
+        self._made = Observation()
+        return df.observe(self._made, F.count(F.lit(1)).alias("n"))
+
+    def close(self, points: int, multiplications_a_row: int) -> None:
+        """Ends a pass whose job is done."""
+        read = self._read.get["n"]
+        self.rows.append((len(self.rows), points, read, self._made.get["n"], read * multiplications_a_row, time.perf_counter() - self._started))
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.SCHEMA)
+
+
+def measured_sizes(df: DataFrame, shares: Sequence[float], hashed: Column,
+                   train: Callable[[DataFrame, PassMeter], object]) -> DataFrame:
+    """One training on each share of the rows (the smallest hashes), with what its passes did: a row per share."""
+    out = None
+    for share in shares:
+        meter = PassMeter()
+        train(df.filter(hashed < int(share * HASH_SPACE)), meter)
+        done = meter.frame(df.sparkSession).agg(
+            F.max("rows_read").alias("n"), F.count("*").alias("passes"), F.sum("rows_read").alias("rows_read"), F.sum("partial_rows").alias("partial_rows"),
+            F.sum("multiplications").alias("multiplications"), F.sum("seconds").alias("seconds")).withColumn("share", F.lit(float(share)))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 def evaluate_points(df: DataFrame, features: Sequence[str], label: str, points: Sequence[np.ndarray], loss: str = "ols",
-                    delta: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+                    delta: float = 1.0, meter: PassMeter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Data loss and gradient at each point, from one pass: (k,), (k, d+1)."""
     w, features = np.column_stack(points), list(features)
 
@@ -46,10 +92,17 @@ def evaluate_points(df: DataFrame, features: Sequence[str], label: str, points:
 
     nan = F.lit(float("nan"))
     cols = [F.coalesce(F.col(c).cast("double"), nan).alias(c) for c in [*features, label]]
-    parts = df.select(*cols).mapInArrow(partials, "k int, n long, v array<double>")
+    source = df.select(*cols)
+    parts = (meter.reads(source) if meter else source).mapInArrow(partials, "k int, n long, v array<double>")
+    if meter:
+        parts = meter.makes(parts)
     width = w.shape[0] + 1
     sums = parts.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(width)])
     rows = sorted(sums.collect(), key=lambda r: r["k"])  # one row per trial point
+    if not rows:
+        raise ValueError("no rows to train on")
+    if meter:
+        meter.close(w.shape[1], 2 * w.size)
     total = np.array([[r[f"s{j}"] for j in range(width)] for r in rows]) / rows[0]["n"]
     return total[:, 0], total[:, 1:]
 
@@ -57,8 +110,11 @@ def evaluate_points(df: DataFrame, features: Sequence[str], label: str, points:
 def fit_by_passes(df: DataFrame, features: Sequence[str], label: str, loss: str = "huber", delta: float = 1.0,
                   method: str = "lbfgs", regularization: float = 0.0, penalty: str = "ridge", l1_ratio: float = 0.5,
                   learning_rate: float = 1.0, memory: int = 10, max_iter: int = 50, tolerance: float = 1e-6,
-                  c1: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """(model row, history rows). `method` is `lbfgs` with backtracking or `gd` with a constant step."""
+                  c1: float = 1e-4, meter: PassMeter | None = None) -> tuple[DataFrame, DataFrame]:
+    """(model row, history rows). `method` is `lbfgs` with backtracking or `gd` with a constant step.
+
+    A `meter` gets the measured cost of every pass.
+    """
     if method not in ("lbfgs", "gd"):
         raise ValueError(f"unknown method {method!r}")
     table = df.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
@@ -66,7 +122,7 @@ def fit_by_passes(df: DataFrame, features: Sequence[str], label: str, loss: str
     p = len(features) + 1
 
     def full(points):
-        losses, grads = evaluate_points(table, features, label, points, loss, delta)
+        losses, grads = evaluate_points(table, features, label, points, loss, delta, meter)
         for i, w in enumerate(points):
             losses[i] += penalty_value(w[:-1], pen, regularization, l1_ratio)
             grads[i, :-1] += penalty_gradient(w[:-1], pen, regularization, l1_ratio)

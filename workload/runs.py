@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from slopeworks.operators import experiments as X
 from slopeworks.operators import losses as L
-from slopeworks.operators.ranking import with_lags, with_running_min
+from slopeworks.operators.gram import poly_fit
+from slopeworks.operators.ranking import multiplicative_hash, with_lags, with_running_min
 from slopeworks.plans import compare as CM
 from slopeworks.plans import config as C
+from slopeworks.plans.passes import fit_by_passes, measured_sizes
 from slopeworks.plans.train import fit, history_of
 from slopeworks.session import shared_folder
 from slopeworks.sources import runs as R
@@ -331,6 +333,33 @@ def scalability(spark, sf):
     return X.scalability(trained(spark, sf))
 
 
+# Rows that the passes of one training read, on shares of the line items: measured while they run.
+_MEASURED = """
+SELECT share::DOUBLE AS share, count(*) AS n, 4::BIGINT AS passes, 4 * count(*) AS rows_read, 16 * count(*) AS multiplications
+FROM lineitem, (VALUES (0.25), (0.5), (1.0)) AS s(share) WHERE l_orderkey % 2147483648 * 2654435761 % 4294967296 < share * 4294967296 GROUP BY share"""
+
+
+def _measured(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity") / 25.0 - 1).alias("x"), F.log1p("l_extendedprice").alias("y"))
+
+    def train(part, meter):
+        fit_by_passes(part, ["x"], "y", loss="ols", method="gd", learning_rate=0.1, max_iter=3, tolerance=0.0, meter=meter)
+
+    return measured_sizes(df, [0.25, 0.5, 1.0], multiplicative_hash("l_orderkey"), train)
+
+
+@query("trained_measured_cost", _MEASURED)
+def measured_cost(spark, sf):
+    return _measured(spark, sf).select("share", "n", "passes", "rows_read", "multiplications")
+
+
+@query("trained_measured_trend", f"SELECT round(regr_slope(rows_read, n), 6) AS rows_read_a_row, round(regr_r2(rows_read, n), 6) AS r2 FROM ({_MEASURED})")
+def measured_trend(spark, sf):
+    """Rows read grow in proportion to the table."""
+    fit = poly_fit(_measured(spark, sf), "n", "rows_read", 1)
+    return rounded(fit.select((F.col("weights")[0] / F.col("scale")).alias("rows_read_a_row"), "r2"), 6, "rows_read_a_row", "r2")
+
+
 @query("trained_active_weights")
 def active_weights(spark, sf):
     return X.active_weights(trained(spark, sf, keep_weights=True))
