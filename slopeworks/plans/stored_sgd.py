@@ -32,6 +32,7 @@ from slopeworks.operators.ranking import HASH_SPACE, hash_row_number, key_hash
 from slopeworks.plans.sgd import FAN_IN, SgdSetup, apply_map, batch_gradient, batch_map, epoch_rate, poisson_numbers, run_epochs, update
 
 BLOCK_ROWS = 4096
+EPOCHS_A_JOB = 10  # whose maps one job makes
 MAX_CHUNKS = 1024  # states of that many chunks are sent to tasks and back each round
 
 # Odd multipliers of the order hash, a bijection of 32-bit numbers that any SQL engine can compute.
@@ -115,22 +116,32 @@ def _placed(spark: SparkSession, blocks: StoredBlocks, s: SgdSetup, epoch: int,
     return blocks.read(spark).withColumn("h", place.cast("long")).withColumn("part", part.cast("int"))
 
 
-def _exact_maps(spark: SparkSession, blocks: StoredBlocks, s: SgdSetup, epoch: int, rates: Sequence[float]) -> dict[float, np.ndarray]:
-    """The composed map of a whole epoch for each learning rate."""
-    rates, block_rows = [float(r) for r in rates], blocks.block_rows
+def _part(place: int, parts: int, blocks: StoredBlocks, s: SgdSetup) -> int:
+    """The part of an epoch's order that a place is in, of `parts` about equal ones."""
+    return place * parts // (blocks.n_blocks if s.order == "once" else HASH_SPACE)
+
+
+def _exact_maps(spark: SparkSession, blocks: StoredBlocks, s: SgdSetup, wanted: Sequence[tuple[int, float]]) -> list[np.ndarray]:
+    """The composed map of a whole epoch for each (epoch, learning rate): maps do not depend on weights, so one job makes many."""
+    block_rows, seed = blocks.block_rows, s.seed
     lam = s.regularization if s.loss == "ridge" else 0.0
     width = (len(blocks.features) + 1) * (2 if s.momentum else 1) + 1
     parts = math.ceil(blocks.n_blocks / FAN_IN)
+    rates: dict[int, list[tuple[int, float]]] = {}
+    for i, (epoch, lr) in enumerate(wanted):
+        rates.setdefault(epoch, []).append((i, float(lr)))
 
     def map_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                out = [np.eye(width) for _ in rates]
-                for x, y, w in _batches_of(row.block, row.n, row.data, row.h, s, block_rows):
-                    total = w.sum()
-                    gram, moment = (x * w[:, None]).T @ x / total, x.T @ (w * y) / total
-                    out = [batch_map(gram, moment, lr, s.momentum, lam) @ m for lr, m in zip(rates, out)]
-                yield pd.DataFrame({"part": row.part, "h": row.h, "i": range(len(rates)), "m": [m.ravel().tolist() for m in out]})
+                for epoch, asked in rates.items():
+                    h = row.block if s.order == "once" else int(order_hash_numbers(np.array([row.block]), seed + epoch)[0])
+                    out = [np.eye(width) for _ in asked]
+                    for x, y, w in _batches_of(row.block, row.n, row.data, h, s, block_rows):
+                        total = w.sum()
+                        gram, moment = (x * w[:, None]).T @ x / total, x.T @ (w * y) / total
+                        out = [batch_map(gram, moment, lr, s.momentum, lam) @ m for (_, lr), m in zip(asked, out)]
+                    yield pd.DataFrame({"part": _part(h, parts, blocks, s), "h": h, "i": [i for i, _ in asked], "m": [m.ravel().tolist() for m in out]})
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.eye(width)
@@ -139,12 +150,13 @@ def _exact_maps(spark: SparkSession, blocks: StoredBlocks, s: SgdSetup, epoch: i
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "h": [0], "i": [int(pdf["i"].iloc[0])], "m": [total.ravel().tolist()]})
 
     schema = "part int, h long, i int, m array<double>"
-    maps = _placed(spark, blocks, s, epoch, parts).mapInPandas(map_blocks, schema).groupBy("part", "i").applyInPandas(compose, schema)
+    maps = blocks.read(spark).mapInPandas(map_blocks, schema).groupBy("part", "i").applyInPandas(compose, schema)
     while parts > 1:
         above = maps.select(F.floor(F.col("part") / FAN_IN).cast("int").alias("part"), F.col("part").cast("long").alias("h"), "i", "m")
         maps = above.groupBy("part", "i").applyInPandas(compose, schema)
         parts = math.ceil(parts / FAN_IN)
-    return {rates[r["i"]]: np.asarray(r["m"], dtype=float) for r in maps.select("i", "m").collect()}  # one matrix a rate
+    rows = {r["i"]: np.asarray(r["m"], dtype=float) for r in maps.select("i", "m").collect()}  # one matrix a wanted epoch
+    return [rows[i] for i in range(len(wanted))]
 
 
 class _Sequential:
@@ -232,9 +244,15 @@ def fit_stored(spark: SparkSession, blocks: StoredBlocks, s: SgdSetup, mode: str
         raise ValueError(f"unknown mode {mode!r}")
     if s.loss not in ("ols", "ridge") or s.step_length:
         raise ValueError("exact mode needs OLS or ridge without unit-length steps; use sequential")
-    maps = _exact_maps(spark, blocks, s, 0, sorted({epoch_rate(s, e) for e in range(s.epochs)})) if s.order == "once" else None
+    maps: dict[tuple[int, float], np.ndarray] = {}
 
     def epoch_step(epoch: int, lr: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return apply_map((maps or _exact_maps(spark, blocks, s, epoch, [lr]))[lr], w, v, s)
+        this = (0 if s.order == "once" else epoch, lr)
+        if this not in maps:  # in one order, the maps of all rates; else those of the next epochs
+            maps.clear()
+            wanted = (sorted({(0, epoch_rate(s, e)) for e in range(s.epochs)}) if s.order == "once"
+                      else [(e, epoch_rate(s, e)) for e in range(epoch, min(epoch + EPOCHS_A_JOB, s.epochs))])
+            maps.update(zip(wanted, _exact_maps(spark, blocks, s, wanted)))
+        return apply_map(maps[this], w, v, s)
 
     return run_epochs(spark, s, mode, blocks.zz, epoch_step)

@@ -11,7 +11,7 @@ from slopeworks.operators.split import split_exact
 from slopeworks.operators.ranking import multiplicative_hash
 from slopeworks.session import shared_folder
 from slopeworks.sources import tables as S
-from workload.registry import query, rounded, table
+from workload.registry import ORACLES, query, rounded, table
 
 _SCORED = "SELECT *, ln(1 + l_extendedprice) AS label, 0.02 * l_quantity - 0.5 * l_discount + 9.8::DOUBLE AS prediction FROM lineitem"
 _FEATURES, _WEIGHTS = ["l_quantity", "l_discount"], [0.02, -0.5, 9.8]
@@ -131,6 +131,16 @@ def align(spark, sf):
     return both.select("row_id", F.col("features")[0].alias("feature"), "label")
 
 
+@query("matrix_align_stored", ORACLES["matrix_align"])
+def align_stored(spark, sf):
+    """Features and labels stored apart in buckets, matched bucket with bucket."""
+    o, path = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "row_id"), shared_folder(spark)
+    S.write_buckets(o.select("row_id", F.array(F.col("o_custkey").cast("double")).alias("features")), f"{path}/x", 8)
+    S.write_buckets(o.select("row_id", F.col("o_totalprice").alias("label")), f"{path}/y", 8)
+    both = S.align_stored(spark, f"{path}/x", f"{path}/y")
+    return both.select("row_id", F.col("features")[0].alias("feature"), "label")
+
+
 @query("model_state", """
 SELECT 'ols' AS run_id, round(avg(l_quantity), 6) AS mean_1, round(stddev_pop(l_discount), 6) AS std_2, min(l_quantity) AS min_1, max(l_discount) AS max_2,
   round(avg(ln(1 + l_extendedprice)), 6) AS target_mean, round(stddev_pop(ln(1 + l_extendedprice)), 6) AS target_std, 3 AS n_weights FROM lineitem""")
