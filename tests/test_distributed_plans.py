@@ -105,3 +105,14 @@ def test_lags_and_running_minima_over_chunks(spark, chunk):
     mins = R.with_running_min(df, ["run"], "t", "x", "m", "p", chunk).toPandas().sort_values(["run", "t"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(lags[["run", "t", "l1", "l4"]], want[["run", "t", "l1", "l4"]], check_dtype=False)
     pd.testing.assert_frame_equal(mins[["run", "t", "m", "p"]], want[["run", "t", "m", "p"]], check_dtype=False)
+
+
+def test_short_chunks_do_not_make_a_range_each(spark, monkeypatch):
+    df = spark.range(2000).select((F.col("id") % 7).alias("run"), F.col("id").alias("t"))
+    asked, plain = [], type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *columns: asked.append(n) or plain(self, n, *columns))
+    ranked, release = R._chunked(df, ["run"], "t", 4)
+    rows = ranked.select("run", "t", "__rank", "__chunk").collect()
+    release()
+    assert asked == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    assert len(rows) == 2000 and all((r["__rank"], r["__chunk"]) == (r["t"] // 7, r["t"] // 28) for r in rows)
