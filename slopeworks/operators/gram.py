@@ -20,56 +20,85 @@ from pyspark.sql import types as T
 
 WIDE_FEATURES = 11  # 91 sums: the largest aggregate within the 100 fields Spark compiles as one stage
 FLUSH_CELLS = 4_000_000  # matrix cells a task holds for its groups before it emits them
+HELD_CELLS = 1_000_000  # input cells a task groups at a time
+KERNEL_ROWS = 64  # rows a group must have on average for a matrix product of its own
 
 
 def _doubles(columns: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
 
 
+def _group_codes(columns: Sequence[pa.Array]) -> np.ndarray:
+    """One integer per row that tells the groups apart; null is a value."""
+    codes = np.zeros(len(columns[0]), dtype="int64")
+    for c in columns:
+        coded = c.dictionary_encode(null_encoding="encode")
+        codes = codes * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        if len(columns) > 1:
+            codes = np.unique(codes, return_inverse=True)[1]
+    return codes
+
+
 def sum_blocks(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
-                kernel: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
-    """Rows (group..., i, v): element-wise sums over all rows of `kernel(block)`, one matrix row per output row."""
+                kernel: Callable[[np.ndarray], np.ndarray], width: int, products: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows (group..., i, v): element-wise sums over all rows of `kernel(block)`, one matrix row per output row.
+
+    `products` gives the matrix of every single row; it serves where groups have few rows in a task, which one call each
+    would not pay for.
+    """
     groups, columns = list(groups), list(columns)
     schema = T.StructType([*[df.schema[g] for g in groups], T.StructField("i", T.IntegerType()),
                            T.StructField("v", T.ArrayType(T.DoubleType()))])
 
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        types: list[pa.DataType] = []
-
-        def emit() -> pa.RecordBatch:
-            mats = list(sums.values())
-            rows = [m.shape[0] for m in mats]
-            out = [pa.array([k[j] for k, r in zip(sums, rows) for _ in range(r)], type=types[j]) for j in range(len(groups))]
-            i = pa.array(np.concatenate([np.arange(r, dtype="int32") for r in rows]))
-            flat = np.concatenate([m.ravel() for m in mats])
-            offsets = pa.array(np.arange(0, len(flat) + 1, width, dtype="int32"))
-            out += [i, pa.ListArray.from_arrays(offsets, pa.array(flat))]
-            sums.clear()
-            return pa.RecordBatch.from_arrays(out, names=[*groups, "i", "v"])
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+
+    def made(keys: Sequence[pa.Array], firsts: np.ndarray, mats: np.ndarray) -> pa.RecordBatch:
+        """Matrices, each with the group of the row at its place in `firsts`."""
+        n, rows = mats.shape[:2]
+        out = [k.take(pa.array(np.repeat(firsts, rows))) for k in keys]
+        offsets = pa.array(np.arange(0, mats.size + 1, width, dtype="int32"))
+        out += [pa.array(np.tile(np.arange(rows, dtype="int32"), n)), pa.ListArray.from_arrays(offsets, pa.array(mats.ravel()))]
+        return pa.RecordBatch.from_arrays(out, names=[*groups, "i", "v"])
+
+    def by_group(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = [batch.column(g) for g in groups]
+        codes = _group_codes(keys)
+        order = np.argsort(codes, kind="stable")
+        block, starts = numbers(batch)[order], np.flatnonzero(np.diff(codes[order], prepend=-1))
+        if products is None or len(block) >= KERNEL_ROWS * len(starts):
+            held, first = [], 0
+            for k, rows in enumerate(np.split(block, starts[1:])):
+                held.append(kernel(rows))
+                if len(held) * held[0].size > FLUSH_CELLS or k == len(starts) - 1:
+                    yield made(keys, order[starts[first : k + 1]], np.stack(held))
+                    held, first = [], k + 1
+            return
+        step = max(1, FLUSH_CELLS // 4 // products(block[:1]).size)
+        for a in range(0, len(block), step):  # a group cut here gives two rows, which Spark adds up
+            inside = starts[(starts > a) & (starts < a + step)]
+            cuts = np.concatenate([[a], inside])
+            yield made(keys, order[cuts], np.add.reduceat(products(block[a : a + step]), cuts - a, axis=0))
 
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not groups:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = kernel(numbers(batch))
+                    total = part if total is None else total + part
+            if total is not None:
+                yield made([], np.zeros(1, dtype="int64"), total[None])
+            return
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            if not groups:
-                pieces = [((), block)]
-            else:
-                types = types or [batch.column(g).type for g in groups]
-                keys = pd.MultiIndex.from_arrays([batch.column(g).to_pandas(date_as_object=True) for g in groups])
-                codes, uniques = pd.factorize(keys)
-                order = np.argsort(codes, kind="stable")
-                cuts = np.flatnonzero(np.diff(codes[order])) + 1
-                firsts = order[np.concatenate([[0], cuts])]
-                names = [tuple(batch.column(g)[int(f)].as_py() for g in groups) for f in firsts]
-                pieces = list(zip(names, np.split(block[order], cuts)))
-            for key, rows in pieces:
-                part = kernel(rows)
-                sums[key] = sums[key] + part if key in sums else part
-                if len(sums) * part.size > FLUSH_CELLS:
-                    yield emit()
-        if sums:
-            yield emit()
+            held.append(batch)
+            size += batch.num_rows
+            if size * len(columns) >= HELD_CELLS:
+                yield from by_group(pa.concat_batches(held))
+                held, size = [], 0
+        if size:
+            yield from by_group(pa.concat_batches(held))
 
     parts = df.select(*groups, *_doubles(columns)).mapInArrow(partials, schema)
     # NaN must survive the sum; Spark's sum of doubles keeps it.
@@ -93,12 +122,18 @@ def gram_stats(df: DataFrame, features: Sequence[str], label: str, group_cols: S
         full = F.array(*[F.col(f"s_{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)])
         return sums.select(*groups, full.alias("zz"))
 
+    def rows_of(block: np.ndarray) -> np.ndarray:
+        return np.hstack([block[:, : d - 2], np.ones((len(block), 1)), block[:, d - 2 : d - 1]])
+
     def kernel(block: np.ndarray) -> np.ndarray:
-        x, y = block[:, : d - 2], block[:, d - 2 : d - 1]
-        z = np.hstack([x, np.ones((len(block), 1)), y])
+        z = rows_of(block)
         return (z * block[:, d - 1 :]).T @ z if weight else z.T @ z
 
-    rows = sum_blocks(df, groups, [*features, label, *([weight] if weight else [])], kernel, d)
+    def products(block: np.ndarray) -> np.ndarray:
+        z = rows_of(block)
+        return (z * block[:, d - 1 :] if weight else z)[:, :, None] * z[:, None, :]
+
+    rows = sum_blocks(df, groups, [*features, label, *([weight] if weight else [])], kernel, d, products)
     ordered = F.sort_array(F.collect_list(F.struct("i", "v")))  # d rows per group
     return rows.groupBy(*groups).agg(F.flatten(F.transform(ordered, lambda r: r["v"])).alias("zz"))
 

@@ -117,6 +117,28 @@ def test_grouped_block_statistics_with_null_and_text_keys(spark, monkeypatch):
     assert all(np.allclose(got[k], want[k]) for k in got)
 
 
+def test_small_groups_share_one_matrix_product(spark, monkeypatch):
+    monkeypatch.setattr(G, "FLUSH_CELLS", 4 * 9 * 4)  # groups are cut every four rows
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": rng.integers(0, 12, 90).astype(float), "x": rng.normal(size=90), "y": rng.normal(size=90)})
+    frame.loc[frame["g"] == 11, "g"] = None
+    df = spark.createDataFrame(frame).withColumn("g", F.when(~F.isnan("g"), F.col("g").cast("int"))).repartition(3)
+
+    def refused(block):
+        raise AssertionError("a call for one small group")
+
+    def products(block):
+        z = np.column_stack([block[:, 0], np.ones(len(block)), block[:, 1]])
+        return z[:, :, None] * z[:, None, :]
+
+    rows = G.sum_blocks(df, ["g"], ["x", "y"], refused, 3, products).collect()
+    got = {(r["g"], r["i"]): r["v"] for r in rows}
+    assert len(rows) == len(got) == 12 * 3
+    for g, part in frame.fillna({"g": -1}).groupby("g"):
+        z = np.column_stack([part["x"], np.ones(len(part)), part["y"]])
+        assert np.allclose([got[None if g < 0 else int(g), i] for i in range(3)], z.T @ z)
+
+
 def test_weighted_statistics(spark, lin2):
     df = lin2.withColumn("w", F.lit(2.0))
     plain = np.array(G.gram_stats(lin2, ["x1", "x2"], "y").first()["zz"])
