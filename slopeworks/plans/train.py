@@ -17,7 +17,9 @@ from slopeworks.plans.config import FAMILY, SETUP_DDL, Setup, setups_frame
 from slopeworks.plans.steps import minimise
 
 MAX_SETUPS = 10_000
-RESULT_BYTES = 4 * 2**20  # of histories that a task gathers before it hands them on
+RESULT_BYTES = 4 * 2**20  # of Python objects that a task gathers before it hands them on
+ROW_BYTES, RECORD_BYTES, WEIGHT_BYTES = 2048, 256, 32  # of a result, of a history record without its weights, of a weight
+ROWS_AT_ONCE = 256  # statistics a task turns into Python objects at a time
 
 RESULT_DDL = (
     "stopped boolean, converged boolean, reason string, final_iteration int, final_loss double, final_gradient_norm double, "
@@ -44,6 +46,13 @@ def pair_with_setups(stats: DataFrame, setups: DataFrame | Sequence[Setup]) -> D
     return spread.join(packed, "__pack").withColumn("s", F.explode("all")).select(*stats.columns, "s.*")
 
 
+def held_bytes(result: dict) -> int:
+    """About what a result takes as Python objects, which is many times its numbers."""
+    records, width = len(result["history"]), len(result["weights"])
+    kept = sum(r[4] is not None for r in result["history"])
+    return ROW_BYTES + records * RECORD_BYTES + (kept + 2) * width * WEIGHT_BYTES
+
+
 def fit_stats(stats: DataFrame, setups: DataFrame | Sequence[Setup], group_cols: Sequence[str] = ()) -> DataFrame:
     """One row per (group, setup) with the result and the nested history.
 
@@ -60,14 +69,15 @@ def fit_stats(stats: DataFrame, setups: DataFrame | Sequence[Setup], group_cols:
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in frames:
-            for row in pdf.to_dict("records"):
+            rows = (row for at in range(0, len(pdf), ROWS_AT_ONCE) for row in pdf.iloc[at : at + ROWS_AT_ONCE].to_dict("records"))
+            for row in rows:
                 started = time.perf_counter()
                 m = np.asarray(row["zz"], dtype=float)
                 setup = {k: row[k] for k in SETUP_FIELDS}
                 result = minimise(m.reshape(int(len(m) ** 0.5), -1), setup)
                 made = {**{g: row[g] for g in groups}, **setup, **result, "training_time": time.perf_counter() - started}
                 held.append(made)
-                size += len(made["history"]) * (len(made["weights"]) + 4) * 8
+                size += held_bytes(made)
                 if size > RESULT_BYTES:  # histories can be long
                     yield pd.DataFrame(held, columns=schema.names)
                     held, size = [], 0

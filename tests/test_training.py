@@ -139,6 +139,26 @@ def test_small_groups_share_one_matrix_product(spark, monkeypatch):
         assert np.allclose([got[None if g < 0 else int(g), i] for i in range(3)], z.T @ z)
 
 
+@pytest.mark.parametrize("keep_weights", [False, True])
+def test_size_of_held_results_is_that_of_their_objects(keep_weights):
+    import sys
+    from dataclasses import asdict
+
+    from slopeworks.plans.steps import minimise
+    from slopeworks.plans.train import held_bytes
+
+    def deep(x):
+        inner = [*x, *x.values()] if isinstance(x, dict) else x if isinstance(x, (list, tuple)) else []
+        return sys.getsizeof(x) + sum(deep(v) for v in inner)
+
+    rng = np.random.default_rng(5)
+    z = np.column_stack([rng.normal(size=(50, 3)), np.ones(50), rng.normal(size=50)])
+    setup = asdict(C.Setup(method="gd", learning_rate=1e-3, max_iter=300, check_every=1, tolerance=0.0, keep_weights=keep_weights))
+    made = {**setup, **minimise(z.T @ z, setup)}
+    assert len(made["history"]) > 100
+    assert deep(made) / 2 < held_bytes(made) < deep(made) * 2
+
+
 def test_weighted_statistics(spark, lin2):
     df = lin2.withColumn("w", F.lit(2.0))
     plain = np.array(G.gram_stats(lin2, ["x1", "x2"], "y").first()["zz"])
