@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from slopeworks.functions import constants as K
 from slopeworks.functions.numeric import is_finite, ordered_code
-from slopeworks.operators.profile import null_rates, numeric_columns
+from slopeworks.operators.profile import column_facts, null_rates, numeric_columns
 from slopeworks.operators.quantiles import quantile_values
 
 
@@ -81,13 +81,13 @@ def numeric_matrix(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 def final_types(df: DataFrame, keep: Sequence[str] = (), categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Model-ready columns (B10): ordered categories to codes, booleans to 0/1, numeric strings to numbers.
 
-    Empty columns and strings without any number are dropped; one aggregate decides about all columns.
+    Empty columns and strings without any number are dropped, as counts of the known values decide.
     """
     categories = categories or {}
     fields = [f for f in df.schema if f.name not in keep]
     usable = {f.name: (F.col(f.name).try_cast("double") if isinstance(f.dataType, T.StringType) and f.name not in categories
                        else F.col(f.name)) for f in fields}
-    known = df.agg(*[F.count(e).alias(n) for n, e in usable.items()]).first().asDict() if usable else {}
+    known = column_facts(df, {n: [F.count(e).alias(n)] for n, e in usable.items()})
     out = list(keep)
     for f in fields:
         c = F.col(f.name)

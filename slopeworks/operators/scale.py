@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.operators.profile import column_facts
 from slopeworks.operators.quantiles import quantile_values
 
 
@@ -39,8 +40,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard", **
     if kind not in pairs:
         raise ValueError(f"unknown scaler {kind!r}")
     low, spread = pairs[kind]
-    row = df.agg(*[a for c in columns for a in (low(F.col(c).cast("double")).alias(f"a__{c}"),
-                                                spread(F.col(c).cast("double")).alias(f"b__{c}"))]).first().asDict()
+    row = column_facts(df, {c: [low(F.col(c).cast("double")).alias(f"a__{c}"), spread(F.col(c).cast("double")).alias(f"b__{c}")] for c in columns})
     shift = {c: row[f"a__{c}"] or 0.0 for c in columns}
     scale = {c: (row[f"b__{c}"] or 0.0) - (shift[c] if kind == "minmax" else 0.0) for c in columns}
     return Scaler(shift, scale, "centre" if kind == "standard" else "skip")

@@ -19,7 +19,7 @@ from slopeworks.operators.clean import clean_listings, final_types, listing_proj
 from slopeworks.operators.encode import fit_encoding
 from slopeworks.operators.features import add_features
 from slopeworks.operators.impute import fit_smart, impute
-from slopeworks.operators.profile import numeric_columns
+from slopeworks.operators.profile import column_facts, numeric_columns
 from slopeworks.operators.quantiles import quantile_values
 from slopeworks.operators.scale import fit_scaler, log_target
 from slopeworks.operators.split import split_exact
@@ -30,7 +30,7 @@ from slopeworks.sources.tables import assemble
 class Prepared:
     matrix: DataFrame  # row_id, split, features, label
     features: list[str]
-    kept: DataFrame  # cleaned rows held on the executors while the plan is fitted and read
+    kept: DataFrame  # coded rows held on the executors while the plan is fitted and read
 
     def release(self) -> None:
         """Frees the held rows once the matrix is written."""
@@ -57,19 +57,22 @@ def prepare_listings(raw: DataFrame, as_of: int, target: str = "price", test_siz
     filled = fit_smart(train(parted).drop("row_id", "split"), group_cols, skip=[target]).transform(parted)
     rich = add_features(filled, as_of)
     encoder = fit_encoding(train(rich).drop("row_id", "split", "performance_category"), target, max_categories=max_categories)
-    coded = encoder.transform(rich)
+    # The fits below and the matrix read the coded rows; the cleaned ones are let go once these are held.
+    coded = encoder.transform(rich).persist(StorageLevel.MEMORY_AND_DISK)
+    coded.count()
+    parsed.unpersist()
     typed = final_types(coded, plain, {"performance_category": K.PERFORMANCE_LABELS})
     features = [c for c in numeric_columns(typed) if c not in plain]
     doubled = typed.withColumns({c: F.col(c).cast("double") for c in features})
     whole = _fill_from_train(doubled, train(doubled), features)
     scaled = fit_scaler(train(whole), features, scaler).transform(whole)
     labelled = log_target(scaled.filter(F.col(target).isNotNull()), target)
-    return Prepared(assemble(labelled, features, "label", ["row_id", "split"]), features, parsed)
+    return Prepared(assemble(labelled, features, "label", ["row_id", "split"]), features, coded)
 
 
 def _fill_from_train(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Leftover nulls get the median of the training rows."""
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+    nulls = column_facts(df, {c: [F.count_if(F.col(c).isNull()).alias(c)] for c in columns})
     open_cols = [c for c in columns if nulls[c]]
     if not open_cols:
         return df

@@ -78,6 +78,26 @@ def test_prepare_and_train(spark):
     prepared.release()
 
 
+def test_preparation_holds_the_coded_rows_for_its_last_fits(spark):
+    prepared = prepare_listings(listing_frame(spark, raw_listings(60)), as_of=2021)
+    assert set(prepared.features) <= set(prepared.kept.columns) and prepared.kept.storageLevel.useDisk
+    assert "InMemoryTableScan" in prepared.matrix._jdf.queryExecution().executedPlan().toString()
+    prepared.release()
+    assert not prepared.kept.storageLevel.useDisk
+
+
+def test_facts_of_many_columns_come_from_narrow_aggregates(spark, monkeypatch):
+    wide = spark.range(9).select(*[F.when(F.col("id") >= k % 3, F.col("id") * 1.0 + k).alias(f"c{k}") for k in range(40)]).localCheckpoint()
+    widths, agg = [], type(wide).agg
+    monkeypatch.setattr(type(wide), "agg", lambda df, *e: widths.append(len(e)) or agg(df, *e))
+    scaler = fit_scaler(wide, wide.columns)
+    assert len(C.final_types(wide).columns) == 40
+    assert widths and max(widths) <= 2 * P.FACTS_AT_ONCE
+    values = {c: np.arange(int(c[1:]) % 3, 9) + float(c[1:]) for c in wide.columns}
+    assert scaler.shift == pytest.approx({c: v.mean() for c, v in values.items()})
+    assert scaler.scale == pytest.approx({c: v.std() for c, v in values.items()})
+
+
 def test_smart_imputation_tiers(spark):
     rows = []
     for i in range(100):
