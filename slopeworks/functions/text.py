@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.trim(squeezed), F.lit(""))
 
 
-def clean_text_columns(df: DataFrame) -> DataFrame:
-    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+def clean_text_columns(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in skip]
     return df.withColumns({n: clean_text(F.col(n)) for n in names}) if names else df
 
 
@@ -30,7 +31,7 @@ def to_number(c: Column) -> Column:
 
 def extract_number(c: Column, pattern: str = K.FIRST_NUMBER) -> Column:
     """First match of a one-group number pattern, thousands commas removed (H2, H3)."""
-    plain = F.regexp_replace(c, r"(?<=\d),(?=\d)", "")
+    plain = F.when(F.contains(c, F.lit(",")), F.regexp_replace(c, r"(?<=\d),(?=\d)", "")).otherwise(c)
     return to_number(F.nullif(F.regexp_extract(plain, pattern, 1), F.lit("")))
 
 

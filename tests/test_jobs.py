@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.operators import clean as C
@@ -86,6 +87,29 @@ def test_preparation_holds_the_coded_rows_for_its_last_fits(spark):
     assert not prepared.kept.storageLevel.useDisk
 
 
+def test_preparation_keeps_its_rows_on_disk_alone_and_in_short_batches(spark, monkeypatch):
+    in_memory, persist, batch = [], DataFrame.persist, "spark.sql.inMemoryColumnarStorage.batchSize"
+
+    def marked(df, *level):
+        out = persist(df, *level)
+        if out.storageLevel.useMemory:
+            in_memory.append(df.columns)
+        return out
+
+    monkeypatch.setattr(DataFrame, "persist", marked)
+    monkeypatch.setattr("slopeworks.plans.prepare.HELD_BATCH_ROWS", 7, raising=False)
+    before = spark.conf.get(batch)
+    raw = listing_frame(spark, raw_listings()).withColumn("seller_rating", F.lit(None))  # a column without a type
+    prepared = prepare_listings(raw, as_of=2021)
+    # The target of the trim bound and tables with one row a group or candidate, which have counts, are what memory may hold.
+    assert [c for c in in_memory if len(c) > 1 and not {"n", "n_group"} & set(c)] == []
+    assert not prepared.kept.storageLevel.useMemory
+    held = spark._jsparkSession.sharedState().cacheManager().lookupCachedData(prepared.kept._jdf).get().cachedRepresentation()
+    assert held.cacheBuilder().cachedColumnBuffers().count() >= prepared.kept.count() / 7
+    assert spark.conf.get(batch) == before
+    prepared.release()
+
+
 def test_facts_of_many_columns_come_from_narrow_aggregates(spark, monkeypatch):
     wide = spark.range(9).select(*[F.when(F.col("id") >= k % 3, F.col("id") * 1.0 + k).alias(f"c{k}") for k in range(40)]).localCheckpoint()
     widths, agg = [], type(wide).agg
